@@ -9,7 +9,7 @@ Level 1 of a cascade holds the listed keys. Level 2 holds the universe's keys th
 hold it: exact for the whole universe, so a scan needs the levels alone and no join with the list.
 
 Size: a level has BITS bits a key; the list's length bounds level 1, and each further level is a small share of the one before. Past
-MAX_BYTES the levels would not be fit to send to every worker; then `Cascade.build` raises and `semi_joined` gives the same answer
+MAX_BYTES the levels would not be fit to send to every worker; then `cascades` raises and `semi_joined` gives the same answer
 by a join of keys.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule and the default verdict. Repeated urls and ids
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import written
 
 #: Bits and hash functions a key, and the largest size of all levels together.
-BITS, HASHES, MAX_BYTES = 10, 5, 256 << 20
+BITS, HASHES, LEAST_BITS, MAX_BYTES = 10, 5, 1024, 256 << 20
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -98,11 +98,18 @@ class Level:
         return out
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def places(pairs: np.ndarray, level: int, n_bits: int) -> list[np.ndarray]:
-    """Bit positions of each key: double hashing, another step for each level."""
-    with np.errstate(over="ignore"):
-        step = pairs[:, 1] * np.uint64(2 * level + 1) | np.uint64(1)
-        return [(pairs[:, 0] + np.uint64(i + 7 * level) * step) % np.uint64(n_bits) for i in range(HASHES)]
+    """Bit positions of each key by double hashing. Each level mixes the hashes anew: keys that collide in one part again."""
+    start = mixed(pairs[:, 0] + mixed(np.array([2 * level + 1], np.uint64)))
+    step = mixed(pairs[:, 1] + mixed(np.array([2 * level + 2], np.uint64))) | np.uint64(1)
+    return [(start + np.uint64(i) * step) % np.uint64(n_bits) for i in range(HASHES)]
 
 
 class Cascade:
@@ -122,49 +129,61 @@ class Cascade:
         out[open_] = len(self.levels) % 2 == 1
         return out
 
-    @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade:
-        """From two DataFrames with one column key. The driver gets the levels' words, never the keys."""
-        inner, outer = written(listed.select("key").distinct(), "listed"), universe.select("key")
-        made: list[Level] = []
-        used = 0
-        while n := inner.count():
-            level = Level(n_bits := max(64, -(-n * BITS // 64) * 64), np.zeros(n_bits // 64, np.uint64))
-            used += n_bits // 8
-            if used > max_bytes:
-                raise ValueError(f"a cascade over {n} keys is larger than {max_bytes} bytes; use semi_joined")
-            for word, bits in inner.mapInArrow(_words(len(made), n_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-                level.words[word] = np.uint64(bits & (1 << 64) - 1)
-            made.append(level)
-            wrong = outer.mapInArrow(_held(level, len(made) - 1), "key string")
-            if len(made) == 1:  # the only step that meets the list: which of the few taken keys are really on it
-                wrong = wrong.join(inner, "key", "left_anti")
-            inner, outer = written(wrong, "level"), inner
-        return cls(made)
-
-
-def _words(level: int, n_bits: int):
+
+def cascades(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> dict[str, Cascade]:
+    """A cascade for each list, from listed(list, key) and universe(key). All lists grow a level at a time, together.
+
+    The driver gets the levels' words, never the keys.
+    """
+    made: dict[str, Cascade] = {}
+    inner, outer, level, used = written(listed.select("list", "key").distinct(), "listed"), universe.select("key"), 0, 0
+    while sizes := {r["list"]: r["n"] for r in inner.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}:
+        bits = {name: max(LEAST_BITS, -(-n * BITS // 64) * 64) for name, n in sizes.items()}
+        used += sum(bits.values()) // 8
+        if used > max_bytes:
+            raise ValueError(f"cascades over {sizes} keys are larger than {max_bytes} bytes; use semi_joined")
+        new = {name: Level(n, np.zeros(n // 64, np.uint64)) for name, n in bits.items()}
+        for name, word, found in inner.mapInArrow(_words(level, bits), "list string, word long, bits long").groupBy("list", "word").agg(F.bit_or("bits")).collect():
+            new[name].words[word] = np.uint64(found & (1 << 64) - 1)
+        for name, one in new.items():
+            made.setdefault(name, Cascade()).levels.append(one)
+        wrong = outer.mapInArrow(_held(level, new), "list string, key string")
+        if level == 0:  # the only step that meets the lists: which of the few taken keys are really on them
+            wrong = wrong.join(inner, ["list", "key"], "left_anti")
+        inner, outer, level = written(wrong, "level"), inner, level + 1
+    return made
+
+
+def _words(level: int, bits: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(np.concatenate([*places(hashed(batch.column(0).to_pylist()), level, n_bits), np.zeros(0, np.uint64)]))
-            word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
+            names, pairs = np.array(batch.column(0).to_pylist(), object), hashed(batch.column(1).to_pylist())
+            for name in set(names.tolist()):
+                at = np.unique(np.concatenate(places(pairs[names == name], level, bits[name])))
+                word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(word), pa.array(bit.view(np.int64))], names=["list", "word", "bits"])
 
     return run
 
 
-def _held(level: Level, k: int):
+def _held(level: int, new: dict[str, Level]):
+    """Keys that a level takes: of the universe for every list, else of the key's own list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(level.holds(hashed(batch.column(0).to_pylist()).reshape(-1, 2), k)))
+            keys = batch.column(batch.num_columns - 1)
+            pairs = hashed(keys.to_pylist())
+            own = np.array(batch.column(0).to_pylist(), object) if batch.num_columns == 2 else None
+            for name, one in new.items():
+                holds = one.holds(pairs, level)
+                if own is not None:
+                    holds &= own == name
+                kept = keys.filter(pa.array(holds))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kept), pa.string()), kept], names=["list", "key"])
 
     return run
 
 
-def _entries(spark: SparkSession, entries: tuple[Entry, ...]) -> DataFrame:
-    return spark.createDataFrame([(e.key,) for e in entries], "key string")
-
-
 def judged(pages: DataFrame, rules: tuple[Entry, ...] = RULES, listed: tuple[Entry, ...] = LISTED, default: str = ALLOW) -> DataFrame:
     """page_id, url, host, path, rule, verdict and listed (the listed entry that fits, or null) of every row of pages(page_id, url).
 
@@ -175,8 +194,8 @@ def judged(pages: DataFrame, rules: tuple[Entry, ...] = RULES, listed: tuple[Ent
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.select("*", keys_of(F.col("host"), F.col("path"), rules).alias("rule_keys"), keys_of(F.col("host"), F.col("path"), listed).alias("listed_keys"))
     universe = written(rows.select(F.explode(F.array_distinct(F.concat("rule_keys", "listed_keys"))).alias("key")).distinct(), "universe")
-    of = lambda entries, verdict: Cascade.build(_entries(spark, tuple(e for e in entries if e.verdict == verdict)), universe)
-    lists = {(name, v): of(entries, v) for name, entries in (("rule_keys", rules), ("listed_keys", listed)) for v in (ALLOW, BLOCK) if any(e.verdict == v for e in entries)}
+    on_list = [(f"{name} {e.verdict}", e.key) for name, entries in (("rule_keys", rules), ("listed_keys", listed)) for e in entries]
+    lists = cascades(spark.createDataFrame(on_list, "list string, key string"), universe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +203,7 @@ def judged(pages: DataFrame, rules: tuple[Entry, ...] = RULES, listed: tuple[Ent
             for name in ("rule_keys", "listed_keys"):
                 keys = batch.column(name).to_pylist()
                 flat = [k for row in keys for k in row]
-                took = {v: cascade.members(flat) for (at, v), cascade in lists.items() if at == name}
+                took = {v: lists[f"{name} {v}"].members(flat) for v in (ALLOW, BLOCK) if f"{name} {v}" in lists}
                 best: list[tuple[str | None, str | None]] = []
                 i = 0
                 for row in keys:  # keys are in falling length
