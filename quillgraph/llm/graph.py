@@ -1,0 +1,33 @@
+"""Connected components of links that live in the cluster, never on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillgraph.llm.common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id and component (the least id reachable) of every id in links(a, b).
+
+    Stars are formed again and again: each node's larger neighbours are tied to its least neighbour, then each node's smaller
+    neighbours and the node itself to the least of them, until nothing changes. A node of very many links is reduced by partial
+    minima first, and the joins with these are ones that Spark may split. The rounds grow with the logarithm of the longest path.
+    Nulls and self-links are ignored.
+    """
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges, before = written(edges, "links"), None
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
+        if before == now or not now[0]:
+            break
+        before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        tied = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = written(tied.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "links")
+    stars = edges.groupBy("a").agg(F.min("b").alias("b"))
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

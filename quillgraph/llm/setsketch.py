@@ -17,6 +17,7 @@ BASE, REGISTERS, BANDS, ROWS = 1.001, 160, 40, 4
 TOP = 65535
 #: Odd multipliers, one a register, from a digest of its number.
 MULTIPLIERS = np.array([int.from_bytes(hashlib.sha256(b"register%d" % k).digest()[:8], "little") | 1 for k in range(REGISTERS)], np.uint64)
+#: Odd multipliers, one a place of a shingle.
 PLACES = np.array([int.from_bytes(hashlib.sha256(b"place%d" % k).digest()[:8], "little") | 1 for k in range(8)], np.uint64)
 WORDS = 5
 
@@ -65,9 +66,10 @@ def merged(*sketches: np.ndarray) -> np.ndarray:
     return np.maximum.reduce(sketches)
 
 
-def band_keys(registers: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band."""
-    return [xxhash.xxh3_64_intdigest(registers[b * ROWS : (b + 1) * ROWS].tobytes(), b) - 2**63 for b in range(BANDS)]
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """A signed 64-bit key for each band of each row of registers: the band's four registers, mixed with its number."""
+    bands = np.ascontiguousarray(np.atleast_2d(registers)[:, : BANDS * ROWS]).view(np.uint64)
+    return mixed(bands + mixed(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
 
 
 def _apart(x: np.ndarray) -> np.ndarray:
