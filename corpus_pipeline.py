@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, quality rules, near-dedup, packing."""
+"""The corpus pipeline: language ID, quality rules, near-dedup, packing.
+
+Each stage gets what the stage before it kept, written as Parquet and read again. The last gives one row for each piece of a packed
+sequence, with its token ids. Nulls, ties, repeated rows and other columns are treated as each stage's module says; an empty table
+gives no piece.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import langid, quality
+from quillgraph.llm import langid, neardup, packing, quality
 from quillgraph.llm.common import table, written
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", lambda spark, docs, sf_dir: langid.accepted(docs)),
     ("quality_rules", lambda spark, docs, sf_dir: quality.accepted(docs)),
+    ("near_dedup", lambda spark, docs, sf_dir: neardup.deduplicated(docs)),
+    ("packing", lambda spark, docs, sf_dir: packing.packed(docs)),
 ]
 
+#: Language profiles, sketches and token ids are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -13,8 +13,8 @@
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^40 < 3e-7; a pair's likelihood estimate has a standard error
 of 0.035 there, and the bound SURE lies over four of them below the threshold.
 
-Defined results: a text without a word has an empty set, size 0, links with nothing and is its own component. Rows of one id are one
-document. A null id is linked with nothing: its component is null and the row is kept. Equal sizes and similarities leave nothing
+Defined results: a text without a word has an empty set, size 0, links with nothing and is its own component. Rows of one id
+are judged each by its own text. A null id is linked with nothing: its component is null and the row is kept. Equal sizes and similarities leave nothing
 open, since the component is a minimum. An empty table gives an empty result; other columns are ignored.
 """
 
