@@ -1 +1,6 @@
-"""plans of the engine."""
+"""The reference's operators as queries over the test tables."""
+
+from quillgraph.plans import aggregates, retrieval
+from quillgraph.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "aggregates", "retrieval"]
