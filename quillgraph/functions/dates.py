@@ -78,7 +78,7 @@ def date_phrase(c: Column) -> Column:
 
 def next_weekday(c: Column, day: Column) -> Column:
     """The same time of day on the next such weekday, a week on if that is today."""
-    return c + F.make_dt_interval(F.date_diff(F.next_day(c.cast("date"), day), c.cast("date")))
+    return c + F.make_dt_interval(F.date_diff(F.call_function("next_day", c.cast("date"), day), c.cast("date")))
 
 
 def resolved_phrase(phrase: Column, now: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Number words and what they stand for.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
@@ -44,8 +45,9 @@ def normalize_text(c: Column) -> Column:
     return collapse(F.regexp_replace(folded, r"[^\p{L}\p{N}_\s]", ""))
 
 
-def slug_of_text(c: Column) -> Column:
-    return F.regexp_replace(normalize_text(c), r"\s+", "_")
+def slug_of_text(normal: Column) -> Column:
+    """Slug of a normalized text."""
+    return F.regexp_replace(normal, r"\s+", "_")
 
 
 def slug_of_name(c: Column) -> Column:
@@ -54,17 +56,17 @@ def slug_of_name(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(slug, " ", "-"), F.lit("")), F.lit("unknown"))
 
 
-def fact_key(c: Column) -> Column:
-    text = normalize_text(c)
-    out = None
-    for pattern, key in FACT_KEYS:
-        out = F.when(text.rlike(pattern), key) if out is None else out.when(text.rlike(pattern), key)
-    return out.otherwise(slug_of_text(c))
+def fact_key(normal: Column) -> Column:
+    """The key of a fact by its normalized text: select normalize_text() first, so that it is computed once."""
+    out = F.when(normal.rlike(FACT_KEYS[0][0]), FACT_KEYS[0][1])
+    for pattern, key in FACT_KEYS[1:]:
+        out = out.when(normal.rlike(pattern), key)
+    return out.otherwise(slug_of_text(normal))
 
 
-def leading_number(c: Column) -> Column:
-    """The first run of digits anywhere in the normalized text."""
-    return F.regexp_extract(normalize_text(c), r"(\d+)", 1).try_cast("long")
+def leading_number(normal: Column) -> Column:
+    """The first run of digits anywhere in a normalized text."""
+    return F.regexp_extract(normal, r"(\d+)", 1).try_cast("long")
 
 
 def tokens(c: Column) -> Column:
@@ -112,7 +114,7 @@ def json_block(c: Column) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def project_name(names: pd.Series) -> pd.Series:
     """Accents stripped and joiners (+ & / -) as spaces; normalize_text() goes over the result."""
 
@@ -140,6 +142,6 @@ def sorted_token_ratio(a: str | None, b: str | None) -> float:
     return 100.0 * 2 * rows[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sorted_token_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

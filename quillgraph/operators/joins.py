@@ -63,11 +63,14 @@ def newest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: str
 def earlier_ones(df: DataFrame, group: str, key: str, date: str, n: int = 10) -> DataFrame:
     """(key, earlier, rank): up to n strictly earlier rows of the group, newest first.
 
-    A running list of the last dates replaces the self-join. Ties of the row's own date are passed over, so the frame is by range.
+    Keys of one date are listed first, then the n dates before each date hold all that is asked for: a frame of n rows replaces the
+    self-join.
     """
-    w = Window.partitionBy(group).orderBy(F.unix_micros(F.col(date).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    newest = F.slice(F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(key).alias("k"))).over(w), asc=False), 1, n)
-    return df.select(key, F.posexplode(newest).alias("rank", "e")).select(key, F.col("e.k").alias("earlier"), (F.col("rank") + 1).alias("rank"))
+    dates = df.groupBy(group, date).agg(F.slice(F.sort_array(F.collect_list(key), asc=False), 1, n).alias("_keys"))
+    before = F.collect_list("_keys").over(Window.partitionBy(group).orderBy(date).rowsBetween(-n, -1))
+    dates = dates.withColumn("_newest", F.slice(F.flatten(F.reverse(before)), 1, n)).drop("_keys")
+    rows = df.select(key, group, date).join(dates, [group, date])
+    return rows.select(key, F.posexplode("_newest").alias("rank", "earlier")).select(key, "earlier", (F.col("rank") + 1).alias("rank"))
 
 
 def anchored_pairs(df: DataFrame, key: str, *same: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """The reference's operators as queries over the test tables."""
 
-from quillgraph.plans import aggregates, retrieval
+from quillgraph.plans import aggregates, relations, retrieval, streams, text
 from quillgraph.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "retrieval"]
+__all__ = ["QUERIES", "SQL", "aggregates", "relations", "retrieval", "streams", "text"]
