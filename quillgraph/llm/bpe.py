@@ -26,8 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries of a piece cache; it is emptied when full.
-CACHE = 500_000
+#: Entries of a cache's generation: when the new one is full it becomes the old one, and the old one goes.
+CACHE = 400_000
+
+#: Lengths of tokens of less than four bytes.
+SHORT = (3, 2, 1)
 
 #: Texts with other white space than blanks and newlines are matched whole.
 ODD_SPACE = re.compile(r"[^\S \n]")
@@ -44,15 +47,17 @@ class Ranks:
         for token, i in self.ids.items():
             self.tokens[i] = token
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
-        #: The longest token that ends in a byte pair.
-        self.reach: dict[bytes, int] = {}
+        self.longest = max(map(len, self.ids))
+        #: Lengths, falling, of the tokens that end in four bytes, and of shorter ones.
+        found: dict[bytes, set[int]] = {}
         for token in self.ids:
-            self.reach[token[-2:]] = max(self.reach.get(token[-2:], 1), len(token))
-        self.longest = max(self.reach.values())
+            if len(token) > 3:
+                found.setdefault(token[-4:], {1, 2, 3}).add(len(token))
+        self.lengths = {end: tuple(sorted(sizes, reverse=True)) for end, sizes in found.items()}
         self.left: list[int] = [-1] * len(self.tokens)
         self.right: list[int] = [-1] * len(self.tokens)
         self.whole = [False] * len(self.tokens)  # whether the token's own bytes are encoded as it
-        self._apart: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}  # recent answers of apart()
         for i, token in sorted((i, t) for t, i in self.ids.items()):
             if len(token) == 1:
                 self.whole[i] = True
@@ -73,12 +78,9 @@ class Ranks:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether tokens a, b next to each other stay two tokens."""
-        key = a << 32 | b
-        found = self._apart.get(key)
-        if found is None:
-            if len(self._apart) >= CACHE:
-                self._apart.clear()
-            found = self._apart[key] = self._stay(a, b)
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        found = self.known[a << 32 | b] = self._stay(a, b)
         return found
 
     def _stay(self, a: int, b: int) -> bool:
@@ -113,13 +115,19 @@ class PrefixTable:
         self._grow(len(self.text))
 
     def _grow(self, end: int) -> None:
-        text, last, usable, apart, reach = self.text, self.last, self.ranks.usable.get, self.ranks.apart, self.ranks.reach.get
+        text, last, ranks = self.text, self.last, self.ranks
+        usable, lengths, known, apart = ranks.usable.get, ranks.lengths.get, ranks.known.get, ranks.apart
         for i in range(len(last), end + 1):
-            for at in range(max(0, i - reach(text[max(0, i - 2) : i], 1)), i):
-                token = usable(text[at:i])
-                if token is not None and (at == 0 or apart(last[at], token)):
-                    last.append(token)
-                    break
+            for size in lengths(text[i - 4 : i], SHORT) if i > 3 else SHORT:
+                at = i - size
+                if at >= 0 and (token := usable(text[at:i])) is not None:
+                    if not at:
+                        last.append(token)
+                        break
+                    stay = known(last[at] << 32 | token)
+                    if stay if stay is not None else apart(last[at], token):
+                        last.append(token)
+                        break
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
 
@@ -140,11 +148,31 @@ class PrefixTable:
         return end - start
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.text)
+        out, at, last, tokens = [], len(self.text), self.last, self.ranks.tokens
         while at:
-            out.append(self.last[at])
-            at -= len(self.ranks.tokens[self.last[at]])
-        return out[::-1]
+            out.append(last[at])
+            at -= len(tokens[last[at]])
+        out.reverse()
+        return out
+
+
+class Recent:
+    """A bounded cache of two generations; what is met again moves to the new one. Texts of over 64 characters are not kept."""
+
+    def __init__(self, size: int = CACHE):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= 64:
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
 
 
 def pieces_of(text: str) -> list[str] | None:
@@ -157,17 +185,13 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.ranks, self.find = ranks(path), regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Recent(), Recent()
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
             found = b"".join(map(self.ranks.packed.__getitem__, PrefixTable(self.ranks, word.encode()).ids()))
-            if len(word) <= 64:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = found
+            self.words.put(word, found)
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -182,16 +206,16 @@ class Encoder:
         return b"".join(map(self.ranks.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def joined(pieces: list[str], cache: dict[str, bytes], make: Callable[[list[str]], list[bytes]]) -> bytes:
-    """The pieces' ids, from the cache or made now. Pieces of over 64 characters are not kept."""
-    found = list(map(cache.get, pieces))
+def joined(pieces: list[str], cache: Recent, make: Callable[[list[str]], list[bytes]]) -> bytes:
+    """The pieces' ids, from the cache or made now."""
+    found = list(map(cache.new.get, pieces))
     if None in found:
-        new = list({p: None for p, x in zip(pieces, found, strict=True) if x is None})
-        made = dict(zip(new, make(new), strict=True))
-        if len(cache) + len(made) > CACHE:
-            cache.clear()
-        cache.update((p, x) for p, x in made.items() if len(p) <= 64)
-        found = [made[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
+        known = {p: cache.get(p) for p, x in zip(pieces, found, strict=True) if x is None}
+        new = [p for p, x in known.items() if x is None]
+        for p, x in zip(new, make(new), strict=True):
+            known[p] = x
+            cache.put(p, x)
+        found = [known[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
     return b"".join(found)
 
 
