@@ -193,9 +193,8 @@ def label(text: str, block: Block) -> str:
 
 def inherited(labels: list[str], headings: list[bool], ends: str) -> list[bool]:
     """Pass 2: which blocks are kept. `ends` is the label that stands before the first and after the last block."""
-    n = len(labels)
-    if not any(x in (GOOD, BAD) for x in labels):
-        return [True] * n
+    if ends == BAD and not any(x in (GOOD, BAD) for x in labels):
+        ends = GOOD  # nothing is decided: the page is its few words
     left, last = [], (1, ends)
     for x in labels:
         last = (0, x) if x in (GOOD, BAD) else (last[0] + 1, last[1])
@@ -225,7 +224,7 @@ def extract(page: str | None) -> str:
     found = blocks(page) if page else []
     marked = any(b.marked and not b.place_bad for _, b in found)
     if marked:
-        found = [(t, b) for t, b in found if b.marked]
+        found = [(t, b) for t, b in found if b.marked and not b.place_bad]
     kept = inherited([label(t, b) for t, b in found], [b.heading for _, b in found], GOOD if marked else BAD)
     return "\n".join(t for (t, _), keep in zip(found, kept, strict=True) if keep)
 
