@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quillgraph.llm.common import small_batches
+
 #: Entries of a cache's generation: when the new one is full it becomes the old one, and the old one goes.
 CACHE = 400_000
 
@@ -240,5 +242,5 @@ def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", pa
                 ids = [coder.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")

@@ -61,3 +61,16 @@ def crc_of_id(doc_id: Column) -> Column:
 def replaced(c: Column, letters: str) -> Column:
     """c without the given characters."""
     return F.translate(c, letters, "")
+
+
+#: Bytes of an Arrow batch on its way to Python: with the default of 64 MB, batches of long texts fill the workers.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Arrow batches of at most BATCH_BYTES (or a single row) from now on, unless it already sends smaller ones."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df

@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import small_batches
+
 #: Chunk sizes in bytes, and the bits of the strict and the loose mask.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 16, 64, 512, 8, 4
 WINDOW = 32
@@ -98,13 +100,13 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([written_form(chunks(t)) for t in texts], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
 def by_range(docs: DataFrame, n_ranges: int) -> DataFrame:
     """docs(doc_id, text) dealt by ranges of ids: columns range, after (0 own row, 1 the row after the range), doc_id, text; sorted."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     first = -(2**63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(first)).alias("id"))
     shares = [k / n_ranges for k in range(1, n_ranges)]

@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillgraph.llm.common import small_batches
+
 # Frequent function words of English, French, German, Spanish, Italian, Portuguese and Dutch.
 STOP_WORDS = frozenset(
     """the of and to in is that it was for on are as with they be at this have from or by not but what all were when we there can
@@ -237,6 +239,6 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [extract(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select("page_id", "url", "html")
+    rows = small_batches(pages).select("page_id", "url", "html")
     kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]
     return rows.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_of_id, shared_path
+from quillgraph.llm.common import crc_of_id, shared_path, small_batches
 from quillgraph.llm.setsketch import mixed
 
 END = xxhash.xxh3_64_intdigest(b" end")  # no word has a blank
@@ -436,7 +436,7 @@ def held_out(doc_id: Column) -> Column:
 
 def modelled(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """Scores of every row of docs(doc_id, text), learned from the rows whose crc32(doc_id) mod 7 is not 2."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     folder = shared_path(spark, "kneser-ney")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_of_id, written
+from quillgraph.llm.common import crc_of_id, small_batches, written
 
 #: Entries of a profile, and the number of documents of a language whose n-grams are counted (expected; rows are picked by hash).
 PROFILE = 300
@@ -70,7 +70,7 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE_PER_LANG) -
     About `sample` documents of a language are read, those of least hashed id (all where it has fewer). What comes to the driver is
     a count a language and `size` codes a language.
     """
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(docs).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
             langs, scores = pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), langs, scores], names=["doc_id", "lang_pred", "score"])
 
-    kept = docs.select("doc_id", "text")
+    kept = small_batches(docs).select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 

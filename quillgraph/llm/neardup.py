@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import setsketch
-from quillgraph.llm.common import written
+from quillgraph.llm.common import small_batches, written
 from quillgraph.llm.graph import components
 
 #: Links need 100 * common >= PERCENT * union. SURE: the least estimate that is looked into. Agreeing registers that it takes.
@@ -50,7 +50,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 registers.append(setsketch.sketch(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "n", "digest", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, registers binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, registers binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

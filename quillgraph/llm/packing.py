@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from quillgraph.llm.common import small_batches
+
 LENGTH, POOL, END = 1024, 4096, 0
 
 
@@ -36,9 +38,8 @@ class TextIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         ranks = ranks_of(path)
+        self.tokenizer = None if ranks else library(path)
         self.fast = ranks and tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
@@ -46,6 +47,12 @@ class TextIds:
         return np.asarray(ids, "<u4").tobytes()
 
 
+def library(path: str) -> Tokenizer:
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
 def ranks_of(path: str) -> dict[bytes, int] | None:
     """Bytes to id of a byte-level BPE file whose ids are its bytes and then its merges in order, else None."""
     with open(path, encoding="utf-8") as f:
@@ -140,6 +147,6 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int =
         if rows:
             yield made()
 
-    source = docs.select("doc_id", "text")
+    source = small_batches(docs).select("doc_id", "text")
     id_kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {id_kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import written
+from quillgraph.llm.common import small_batches, written
 
 #: Bits and hash functions a key, and the largest size of all levels together.
 BITS, HASHES, LEAST_BITS, MAX_BYTES = 10, 5, 1024, 256 << 20
@@ -189,7 +189,7 @@ def judged(pages: DataFrame, rules: tuple[Entry, ...] = RULES, listed: tuple[Ent
 
     The longest fitting rule decides; without one, the longest fitting listed entry; without that, the default.
     """
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.select("*", keys_of(F.col("host"), F.col("path"), rules).alias("rule_keys"), keys_of(F.col("host"), F.col("path"), listed).alias("listed_keys"))
