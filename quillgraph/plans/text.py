@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import arrays, classify, dates, text
-from quillgraph.plans.registry import query, table
+from quillgraph.plans.registry import query, table, under, whole
 
 # SQL building blocks.
 
@@ -31,15 +31,18 @@ _PHRASES = ["Re: budget of one hundred seats", "we have twenty users", "the clos
 _PHRASE_SQL = "CASE (o_orderkey % 7) " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PHRASES)) + " END"
 
 
-def _phrases(s, d, n=700):
+def _phrases(s, d, below):
     pick = F.get(F.array(*map(F.lit, _PHRASES)), (F.col("o_orderkey") % 7).cast("int"))
-    return table(s, d, "orders").where(F.col("o_orderkey") < n).select("o_orderkey", pick.alias("p"))
+    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", pick.alias("p"))
 
 
 @query(f"SELECT o_orderkey, {_collapse(r'''regexp_replace(trim(p), '(?i)^(\s*(re|fwd|fw)\s*:\s*)+', '')''')} AS subject FROM (SELECT o_orderkey, {_PHRASE_SQL} AS p FROM orders WHERE o_orderkey < 700)")
-def normalize_subjects(s, d):
+def normalize_subjects(s, d, below=700):
     """FN1, FN2."""
-    return _phrases(s, d).select("o_orderkey", text.normalize_subject(F.col("p")).alias("subject"))
+    return _phrases(s, d, below).select("o_orderkey", text.normalize_subject(F.col("p")).alias("subject"))
+
+
+whole("normalize_subjects", " WHERE o_orderkey < 700")
 
 
 @query(f"SELECT doc_id, sha256({_normalize('text')}) AS digest FROM documents")
@@ -49,13 +52,16 @@ def normalize_text_docs(s, d):
 
 
 @query(f"SELECT o_orderkey, regexp_replace({_normalize('p')}, '\\s+', '_', 'g') AS slug, {_cases(_normalize('p'), text.FACT_KEYS, 'regexp_replace(' + _normalize('p') + ', ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + '_' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS fact_key, try_cast(nullif(regexp_extract({_normalize('p')}, '(\\d+)', 1), '') AS BIGINT) AS number FROM (SELECT o_orderkey, {_PHRASE_SQL} AS p FROM orders WHERE o_orderkey < 700)")
-def fact_keys(s, d):
+def fact_keys(s, d, below=700):
     """FN4, FN6, FN7."""
     p = F.col("n")
-    rows = _phrases(s, d).select("o_orderkey", text.normalize_text(F.col("p")).alias("n"))
+    rows = _phrases(s, d, below).select("o_orderkey", text.normalize_text(F.col("p")).alias("n"))
     return rows.select("o_orderkey", text.slug_of_text(p).alias("slug"), text.fact_key(p).alias("fact_key"), text.leading_number(p).alias("number"))
 
 
+whole("fact_keys", " WHERE o_orderkey < 700")
+
+
 @query("""SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(trim(p_name || ' & ' || p_brand)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM part""")
 def slugify_names(s, d):
     """FN5."""
@@ -113,10 +119,13 @@ def fuzzy_names(s, d):
 
 
 @query("""SELECT o_orderkey, '{"k": ' || o_orderkey || '}' AS block FROM orders WHERE o_orderkey < 200""")
-def json_blocks(s, d):
+def json_blocks(s, d, below=200):
     """FN18."""
     body = F.concat(F.lit("Sure:\n```json\n{\"k\": "), F.col("o_orderkey").cast("string"), F.lit("}\n```\n"))
-    return table(s, d, "orders").where("o_orderkey < 200").select("o_orderkey", text.json_block(body).alias("block"))
+    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", text.json_block(body).alias("block"))
+
+
+whole("json_blocks", " WHERE o_orderkey < 200")
 
 
 @query("""SELECT event_id, printf('- [%s] %s: %s', event_type, CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d')) AS line, CASE WHEN value > 50 THEN 'ok' WHEN value > 10 THEN 'empty' ELSE 'error' END AS answer FROM events""")
@@ -134,19 +143,22 @@ _QUESTIONS = [
 _Q_SQL = "CASE (o_orderkey % 17) " + " ".join("WHEN {} THEN '{}'".format(k, q.replace("'", "''")) for k, q in enumerate(_QUESTIONS)) + " END"
 
 
-def _questions(s, d):
+def _questions(s, d, below=None):
     pick = F.get(F.array(*map(F.lit, _QUESTIONS)), (F.col("o_orderkey") % 17).cast("int"))
-    return table(s, d, "orders").where("o_orderkey < 1700").select("o_orderkey", pick.alias("q"))
+    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", pick.alias("q"))
 
 
 _INTENT_SQL = _cases("q", classify.INTENTS, "'unsupported'")
 
 
 @query(f"SELECT o_orderkey, {_INTENT_SQL} AS intent, {_cases('q', classify.DATE_KINDS)} AS date_kind, CASE WHEN {_INTENT_SQL} = 'commitments' THEN {_cases('q', classify.OWNERSHIP)} END AS ownership FROM (SELECT o_orderkey, {_Q_SQL} AS q FROM orders WHERE o_orderkey < 1700)")
-def intent_classify(s, d):
+def intent_classify(s, d, below=1700):
     """TX1-TX3, Q15, Q17: the parse of a question."""
     q = F.col("q")
-    return _questions(s, d).select("o_orderkey", classify.intent(q).alias("intent"), classify.date_kind(q).alias("date_kind"), classify.ownership(q).alias("ownership"))
+    return _questions(s, d, below).select("o_orderkey", classify.intent(q).alias("intent"), classify.date_kind(q).alias("date_kind"), classify.ownership(q).alias("ownership"))
+
+
+whole("intent_classify", " WHERE o_orderkey < 1700")
 
 
 @query()
@@ -162,9 +174,9 @@ _BODIES = [
 _B_SQL = "CASE (o_orderkey % 11) " + " ".join("WHEN {} THEN '{}'".format(k, b.replace("'", "''")) for k, b in enumerate(_BODIES)) + " END"
 
 
-def _bodies(s, d):
+def _bodies(s, d, below=None):
     pick = F.get(F.array(*map(F.lit, _BODIES)), (F.col("o_orderkey") % 11).cast("int"))
-    return table(s, d, "orders").where("o_orderkey < 1100").select("o_orderkey", pick.alias("b"), F.col("o_orderdate").alias("now"))
+    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", pick.alias("b"), F.col("o_orderdate").alias("now"))
 
 
 _SIGNALS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(b, '(?i){p}') THEN '{v}' END" for p, v in classify.SIGNALS) + "], lambda x: x IS NOT NULL)"
@@ -178,13 +190,16 @@ CASE WHEN contains(lower(b), 'meet') OR contains(lower(b), 'call') THEN 'meeting
 (length(regexp_replace(b, '(?i)\\b(?:i will|i''ll|we will)\\b', '@@', 'g')) <> length(b) AND NOT regexp_matches(b, '(?i)\\b(?:i will|i''ll|we will)\\b\\s+meet\\b')) AS mine, regexp_matches(b, '{classify.OWED_TO_ME}') AS owed_to_me,
 regexp_matches(b, '{classify.MEETING}') AND NOT regexp_matches(b, '{_PAST_SQL}') AS meeting, CASE WHEN len({_SIGNALS_SQL}) > 0 THEN '1. Needs reply: ASAP' ELSE '1. Read only' END AS label
 FROM (SELECT o_orderkey, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)""")
-def body_analysis(s, d):
+def body_analysis(s, d, below=1100):
     """TX6-TX8, UD1: the deterministic analyzer."""
-    a = _bodies(s, d).select("o_orderkey", classify.analysis(F.col("b")).alias("a"))
+    a = _bodies(s, d, below).select("o_orderkey", classify.analysis(F.col("b")).alias("a"))
     join = lambda c, n: F.array_join(F.col(c), ",").alias(n)
     return a.select("o_orderkey", join("a.competitors", "competitors"), join("a.pain_points", "pains"), join("a.buying_signals", "signals"), join("a.requirements", "requirements"), "a.intent", "a.mine", "a.owed_to_me", "a.meeting", F.col("a.label_applied").alias("label"))
 
 
+whole("body_analysis", " WHERE o_orderkey < 1100")
+
+
 @query("""SELECT conv_id, turn, contains(text, '?') OR turn % 5 = 0 AS needs_reply FROM conversations""")
 def needs_reply(s, d):
     """TX9, TX10."""
@@ -194,11 +209,14 @@ def needs_reply(s, d):
 
 @query(f"""SELECT o_orderkey, nullif(regexp_extract(b, '(?i)\\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b', 1), '') AS day, CASE WHEN NOT regexp_matches(b, '{classify.SCHEDULE}') THEN CASE WHEN regexp_matches(b, '{classify.VAGUE.replace("'", "''")}') THEN 'date and time' END
 WHEN NOT regexp_matches(b, '(?i)\\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow)\\b') THEN 'date' WHEN try_cast(nullif(regexp_extract(b, '(?i)\\b(\\d{{1,2}})(?::(\\d{{2}}))?\\s*(am|pm)?\\b', 1), '') AS INT) IS NULL THEN 'time' END AS asks FROM (SELECT o_orderkey, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)""")
-def meeting_clarification(s, d):
+def meeting_clarification(s, d, below=1100):
     """TX11: which part of a meeting must be asked for."""
     b = F.col("b")
     asks = F.when(~b.rlike(classify.SCHEDULE), F.when(b.rlike(classify.VAGUE), "date and time")).when(~(b.rlike(dates.WEEKDAY) | b.rlike(dates.TOMORROW)), "date").when(dates.clock(b).isNull(), "time")
-    return _bodies(s, d).select("o_orderkey", F.nullif(F.regexp_extract(b, dates.WEEKDAY, 1), F.lit("")).alias("day"), asks.alias("asks"))
+    return _bodies(s, d, below).select("o_orderkey", F.nullif(F.regexp_extract(b, dates.WEEKDAY, 1), F.lit("")).alias("day"), asks.alias("asks"))
+
+
+whole("meeting_clarification", " WHERE o_orderkey < 1100")
 
 
 @query()
@@ -227,9 +245,12 @@ _PHRASE = "coalesce(" + ", ".join(f"nullif(regexp_extract(b, '{p}', 0), '')" for
 
 
 @query(f"SELECT o_orderkey, {_PHRASE} AS phrase FROM (SELECT o_orderkey, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)")
-def date_phrases(s, d):
+def date_phrases(s, d, below=1100):
     """DT2."""
-    return _bodies(s, d).select("o_orderkey", dates.date_phrase(F.col("b")).alias("phrase"))
+    return _bodies(s, d, below).select("o_orderkey", dates.date_phrase(F.col("b")).alias("phrase"))
+
+
+whole("date_phrases", " WHERE o_orderkey < 1100")
 
 
 @query(f"""WITH p AS (SELECT o_orderkey, o_orderdate AS now, {_PHRASE} AS phrase FROM (SELECT o_orderkey, o_orderdate, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)),
@@ -237,32 +258,41 @@ w AS (SELECT *, CASE lower(phrase) WHEN 'monday' THEN 1 WHEN 'tuesday' THEN 2 WH
 SELECT o_orderkey, CASE WHEN phrase = 'June 5th' THEN CASE WHEN make_date(year(now), 6, 5) < CAST(now AS DATE) THEN make_date(year(now) + 1, 6, 5) ELSE make_date(year(now), 6, 5) END::TIMESTAMP
 WHEN phrase = 'tomorrow' THEN now + INTERVAL 1 DAY WHEN dow IS NOT NULL THEN now + to_days(CAST(CASE WHEN (dow - isodow(now) + 7) % 7 = 0 THEN 7 ELSE (dow - isodow(now) + 7) % 7 END AS INTEGER)) WHEN phrase = 'in 2 weeks' THEN now + INTERVAL 14 DAY END AS at,
 CASE WHEN phrase IS NULL THEN NULL WHEN phrase = 'June 5th' THEN 'stated' WHEN phrase = 'sometime' THEN 'window' ELSE 'inferred' END AS kind FROM w""")
-def date_phrase_resolution(s, d):
+def date_phrase_resolution(s, d, below=1100):
     """DT3."""
-    rows = _bodies(s, d).select("o_orderkey", "now", dates.date_phrase(F.col("b")).alias("phrase")).select("o_orderkey", dates.resolved_phrase(F.col("phrase"), F.col("now")).alias("r"))
+    rows = _bodies(s, d, below).select("o_orderkey", "now", dates.date_phrase(F.col("b")).alias("phrase")).select("o_orderkey", dates.resolved_phrase(F.col("phrase"), F.col("now")).alias("r"))
     return rows.select("o_orderkey", "r.at", "r.kind")
 
 
+whole("date_phrase_resolution", " WHERE o_orderkey < 1100")
+
+
 _BUSINESS = "(SELECT x FROM (SELECT unnest(generate_series(CAST(o_orderdate AS DATE) + 1, CAST(o_orderdate AS DATE) + 9, INTERVAL 1 DAY))::TIMESTAMP AS x) WHERE isodow(x) < 6 ORDER BY x LIMIT 1 OFFSET {})"
 
 
 @query(f"SELECT o_orderkey, {_BUSINESS.format(1)} AS two, {_BUSINESS.format(2)} AS three FROM orders WHERE o_orderkey < 2000")
-def business_days(s, d):
+def business_days(s, d, below=2000):
     """DT4."""
     at = F.col("o_orderdate")
-    return table(s, d, "orders").where("o_orderkey < 2000").select("o_orderkey", dates.business_days_after(at, 2).alias("two"), dates.business_days_after(at, 3).alias("three"))
+    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", dates.business_days_after(at, 2).alias("two"), dates.business_days_after(at, 3).alias("three"))
+
+
+whole("business_days", " WHERE o_orderkey < 2000")
 
 
 @query(f"""SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN NULL WHEN o_custkey % 3 = 0 THEN 'internal' WHEN o_orderstatus = 'P' THEN 'client_open_window' ELSE 'client_fixed_date' END AS audience,
 CASE WHEN o_orderpriority <> '1-URGENT' THEN NULL WHEN o_custkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY WHEN o_orderstatus = 'P' THEN NULL ELSE {_BUSINESS.format(1)} END AS earliest FROM orders WHERE o_orderkey < 2000""")
-def follow_up_timing(s, d):
+def follow_up_timing(s, d, below=2000):
     """DT5."""
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "owed_to_me").otherwise("mine")
     date_type = F.when(F.col("o_orderstatus") == "P", "window").otherwise("stated")
-    rows = table(s, d, "orders").where("o_orderkey < 2000")
+    rows = under(table(s, d, "orders"), "o_orderkey", below)
     return rows.select("o_orderkey", dates.follow_up_timing(kind, date_type, F.col("o_orderdate"), F.col("o_custkey") % 3 == 0).alias("t")).select("o_orderkey", "t.audience", "t.earliest")
 
 
+whole("follow_up_timing", " WHERE o_orderkey < 2000")
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1998-06-17 10:00:00' AND o_orderstatus = 'O' THEN 'reminded' ELSE o_orderstatus END AS status, least(CAST(substr(o_orderpriority, 1, 1) AS INT) + 1, 4) AS next_level FROM orders WHERE CAST(substr(o_orderpriority, 1, 1) AS INT) <= 4""")
 def reminders_and_escalation(s, d):
     """DT7-DT9, SS8."""

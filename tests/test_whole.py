@@ -1,0 +1,43 @@
+"""Queries that once read an id prefix, over all rows: against DuckDB on tables that are larger than every prefix."""
+
+import datetime
+import math
+
+import duckdb
+import pytest
+from quillgraph.plans import QUERIES, SQL
+
+DATA = "/root/testdata/sf0.01"
+LARGER = {"asof_thread_14d": "/root/testdata/sf0.1"}  # the users of smaller tables are all below its prefix
+PREFIXED = """normalize_subjects fact_keys json_blocks intent_classify body_analysis meeting_clarification date_phrases date_phrase_resolution business_days follow_up_timing
+token_subset_resolution asof_thread_14d bfs_depth3 direct_edges plan_validation rollback_check field_delta cross_entity_union""".split()
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 9)
+    return v.replace(tzinfo=None).isoformat() if isinstance(v, datetime.datetime) else v
+
+
+def duck(data):
+    con = duckdb.connect()
+    for t in ("nation", "customer", "part", "orders", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", PREFIXED)
+def test_whole_table(spark, name):
+    data = LARGER.get(name, DATA)
+    df, con = QUERIES[f"{name}_whole"](spark, data), duck(data)
+    found = con.execute(SQL[f"{name}_whole"])
+    columns = [c[0] for c in found.description]
+    want = sorted(repr([plain(x) for x in r]) for r in found.fetchall())
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want
+    assert len(want) > con.execute(f"SELECT count(*) FROM ({SQL[name]})").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["mentions", "meeting_times"])
+def test_query_without_sql_reads_all_orders(spark, name):
+    assert QUERIES[name](spark, DATA).count() == duck(DATA).execute("SELECT count(*) FROM orders").fetchone()[0]
