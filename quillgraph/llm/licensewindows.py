@@ -1,0 +1,118 @@
+"""Licence windows: licence texts and notices anywhere in a text, over lines and within paragraphs, in DataFrame functions only.
+
+The words of a text are those of `licenses`. A window is any run of a text's words. A template of b distinct bigrams is met where a
+window of at most (2 - t) * b / t bigrams has a Dice coefficient of t or more with it, over distinct bigrams. The best windows start
+and end with a bigram of the template, since others at an end only lower Dice; so each place of a template's bigram is tried as a
+start, and one fold from there gives its best end. Templates are tried only on texts that have t * b / (2 - t) of their bigrams,
+which any window that reaches t has.
+
+Of windows that overlap, the one with the most bigrams in common stays; then the higher Dice, the first name, the first start. So a
+licence's text wins over a notice that it quotes, and two licences that differ in a word are told apart.
+
+Defined results: a null or empty text, or one with fewer than two words, has n_hits 0 and null names. Repeated rows and ids are
+scanned row by row; other columns are ignored. All work is done within a row: nothing is shuffled, joined or collected. A row that
+could meet a template of b bigrams costs m * b steps for m places of its bigrams; others cost one look at each bigram.
+"""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillgraph.llm.licenses import TEMPLATES, THRESHOLD, words_of
+
+#: Templates of up to so many bigrams are looked for together first.
+SHORT = 64
+
+_GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+# The notices of the line scan, usual headers, and whole licences. A name ends at the slash.
+HEADERS = {
+    "Apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-2.0/header": _GPL.format(2),
+    "GPL-3.0/header": _GPL.format(3),
+    "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Proprietary/notice": "All rights reserved.",
+}
+
+
+def texts() -> dict[str, str]:
+    """All templates by name: notices, headers and the licences beside this module."""
+    whole = {f"{p.stem}/text": p.read_text("utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+    whole["BSD-2-Clause/text"] = re.sub(r"3\. Neither.*?permission\.", "", whole["BSD-3-Clause/text"], flags=re.S)
+    return {f"{k.removesuffix('-text')}/{'notice' if not k.endswith('-text') else 'abridged'}": v for k, v in TEMPLATES.items()} | HEADERS | whole
+
+
+def bigrams(text: str) -> list[str]:
+    w = re.findall(r"[^\W_]+", text.lower().replace("licence", "license"))
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+
+
+def _literal(pairs: list[str]) -> Column:
+    return F.split(F.lit("|".join(pairs)), r"\|")
+
+
+def scanned(docs: DataFrame, known: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_hits (windows that stand), licenses (their distinct names, sorted, joined by a comma), best_license, best_dice, best_words."""
+    t = threshold
+    sets = {k: bigrams(v) for k, v in sorted((texts() if known is None else known).items())}
+    short = {k: p for k, p in sets.items() if len(p) <= SHORT}
+
+    def template(name: str) -> Column:
+        return F.struct(F.lit(name.split("/")[0]).alias("name"), _literal(sets[name]).alias("pairs"))
+
+    def enough(found: Column, name: str) -> Column:
+        return F.size(found) * (2 - t) >= t * len(sets[name]) - 1e-9
+
+    rows = docs.select("doc_id", words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    rows = rows.select("doc_id", "words", F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("words", i), w)).alias("all"))
+    rows = rows.select("*", F.array_intersect("all", _literal(list(dict.fromkeys(x for p in short.values() for x in p)))).alias("few"))
+    tried = [F.when(enough(F.col("few"), k) & enough(F.array_intersect("few", _literal(p)), k), template(k)) for k, p in short.items()]
+    tried += [F.when(enough(F.col("all"), k) & enough(F.array_intersect("all", _literal(p)), k), template(k)) for k, p in sets.items() if k not in short]
+    rows = rows.select("doc_id", "words", "all", F.array_compact(F.array(*tried)).alias("tried"))
+
+    def windows(k: Column) -> Column:
+        """The best window from each place of one template's bigrams, where it reaches the threshold."""
+        size = F.size(k.pairs)
+        longest = F.floor(size * ((2 - t) / t) + 1e-9).cast("int")
+
+        def place(w: Column, i: Column) -> Column:
+            # back: how far before it the same bigram is, within the longest window; 0 if it is not
+            first = F.greatest(i - longest + 1, F.lit(0))
+            return F.struct(i.alias("i"), F.array_contains(k.pairs, w).alias("own"), F.array_position(F.reverse(F.slice("all", first + 1, i - first)), w).alias("back"))
+
+        def step(s: Column, x: Column, start: Column) -> Column:
+            new = ((x.back == 0) | (x.i - x.back < start)).cast("int")
+            a, c = s.a + new, s.c + new * x.own.cast("int")
+            dice = F.lit(2.0) * c / (a + size)
+            better = dice > s.dice
+            return F.struct(a.alias("a"), c.alias("c"), F.when(better, dice).otherwise(s.dice).alias("dice"), F.when(better, c).otherwise(s.common).alias("common"), F.when(better, x.i).otherwise(s.end).alias("end"))
+
+        def best(places: Column, p: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(0).alias("common"), p.i.alias("end"))
+            return F.aggregate(F.slice(places, p.i + 1, longest), zero, lambda s, x: step(s, x, p.i), lambda s: F.struct((-s.common).alias("less"), (-s.dice).alias("far"), k["name"].alias("name"), p.i.alias("start"), s.end.alias("end")))
+
+        # an array of one, so that the places are made once
+        found = F.transform(F.array(F.transform("all", place)), lambda places: F.transform(F.filter(places, lambda x: x.own), lambda p: best(places, p)))
+        return F.filter(F.flatten(found), lambda h: h.far <= -t + 1e-12)
+
+    rows = rows.select("doc_id", "words", F.array_sort(F.flatten(F.transform("tried", windows))).alias("hits"))
+    none = F.slice("hits", 1, 0)
+    kept = F.aggregate("hits", none, lambda s, h: F.when(F.exists(s, lambda x: (x.start <= h.end + 1) & (h.start <= x.end + 1)), s).otherwise(F.concat(s, F.array(h))))
+    # The zero is not deterministic, which keeps a later filter above this select: pushed below, it would repeat every window.
+    zero = F.monotonically_increasing_id().bitwiseAND(F.lit(0)).cast("int")
+    rows = rows.select("doc_id", "words", F.slice(kept, zero + 1, F.size("hits")).alias("hits"))
+    top = F.get("hits", F.lit(0))
+    return rows.select(
+        "doc_id",
+        F.size("hits").cast("long").alias("n_hits"),
+        F.when(F.size("hits") > 0, F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"]))), ",")).alias("licenses"),
+        top["name"].alias("best_license"),
+        F.coalesce(-top.far, F.lit(0.0)).alias("best_dice"),
+        F.when(F.size("hits") > 0, F.array_join(F.slice("words", F.coalesce(top.start, F.lit(0)) + 1, F.coalesce(top.end - top.start, F.lit(0)) + 2), " ")).alias("best_words"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, licenses, neardup, packing, quality, urlfilter
+from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, licenses, licensewindows, neardup, packing, quality, urlfilter
 from quillgraph.llm.common import table
 
 OP4_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensewindows.scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_near_duplicates": op7_near_duplicates,
         "op8_fingerprints": op8_fingerprints,
         "op10_license_scan": op10_license_scan,
+        "op10_license_windows": op10_license_windows,
         "op9_language_id": op9_language_id,
     }
 
