@@ -9,8 +9,11 @@ Level 1 of a cascade holds the listed keys. Level 2 holds the universe's keys th
 hold it: exact for the whole universe, so a scan needs the levels alone and no join with the list.
 
 Size: a level has BITS bits a key; the list's length bounds level 1, and each further level is a small share of the one before. Past
-MAX_BYTES the levels would not be fit to send to every worker; then `cascades` raises and `semi_joined` gives the same answer
-by a join of keys.
+MAX_BYTES the levels would not be fit to send to every worker; then `cascades` raises and `judged` gives the same answer by
+joins of keys (`semi_joined`).
+
+A list is a tuple of entries or, at any length, a DataFrame of verdict, host and path. Of a DataFrame only the shapes of its entries
+(label counts and path lengths) come to the driver. An entry that is there under both verdicts counts as allowed.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule and the default verdict. Repeated urls and ids
 are judged row by row; other columns are ignored. An empty table or list works: nothing is listed.
@@ -73,9 +76,28 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, entries: tuple[Entry, ...]) -> Column:
-    """The keys of a url for these entries, the longest first. Entries share few label counts and path lengths."""
-    shapes = sorted({(e.host.count(".") + 1, len(e.path)) for e in entries}, reverse=True)
+Entries = tuple[Entry, ...] | DataFrame
+
+
+def shapes_of(entries: Entries) -> list[tuple[int, int]]:
+    """Label counts and path lengths of entries; they share few."""
+    if isinstance(entries, DataFrame):
+        shape = F.size(F.split("host", r"\.")).alias("k"), F.length(F.coalesce("path", F.lit(""))).alias("n")
+        return sorted(((r.k, r.n) for r in entries.where("host is not null").select(*shape).distinct().collect()), reverse=True)
+    return sorted({(e.host.count(".") + 1, len(e.path)) for e in entries}, reverse=True)
+
+
+def listing(spark: SparkSession, name: str, entries: Entries) -> DataFrame:
+    """list, key of entries; a list's name is that of the keys and the verdict."""
+    if isinstance(entries, DataFrame):
+        rows = entries.where("host is not null and verdict is not null")
+        return rows.select(F.concat_ws(" ", F.lit(name), "verdict").alias("list"), F.concat("host", F.coalesce("path", F.lit(""))).alias("key"))
+    return spark.createDataFrame([(f"{name} {e.verdict}", e.key) for e in entries], "list string, key string")
+
+
+def keys_of(host: Column, path: Column, entries: Entries) -> Column:
+    """The keys of a url for these entries, the longest first."""
+    shapes = shapes_of(entries)
     found = [F.when((F.length(path) >= n) & (F.size(F.split(host, r"\.", k + 1)) >= k), F.concat(F.substring_index(host, ".", -k), F.substring(path, 1, n))) for k, n in shapes]
     kept = F.array_distinct(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
     return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("key")))), lambda s: s.key)
@@ -112,6 +134,10 @@ def places(pairs: np.ndarray, level: int, n_bits: int) -> list[np.ndarray]:
     return [(start + np.uint64(i) * step) % np.uint64(n_bits) for i in range(HASHES)]
 
 
+class TooLarge(ValueError):
+    """The levels of the cascades are larger than may be sent to every worker."""
+
+
 class Cascade:
     def __init__(self, levels: list[Level] | None = None):
         self.levels = levels or []
@@ -141,7 +167,7 @@ def cascades(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES)
         bits = {name: max(LEAST_BITS, -(-n * BITS // 64) * 64) for name, n in sizes.items()}
         used += sum(bits.values()) // 8
         if used > max_bytes:
-            raise ValueError(f"cascades over {sizes} keys are larger than {max_bytes} bytes; use semi_joined")
+            raise TooLarge(f"cascades over {sizes} keys are larger than {max_bytes} bytes; use semi_joined")
         new = {name: Level(n, np.zeros(n // 64, np.uint64)) for name, n in bits.items()}
         for name, word, found in inner.mapInArrow(_words(level, bits), "list string, word long, bits long").groupBy("list", "word").agg(F.bit_or("bits")).collect():
             new[name].words[word] = np.uint64(found & (1 << 64) - 1)
@@ -184,7 +210,7 @@ def _held(level: int, new: dict[str, Level]):
     return run
 
 
-def judged(pages: DataFrame, rules: tuple[Entry, ...] = RULES, listed: tuple[Entry, ...] = LISTED, default: str = ALLOW) -> DataFrame:
+def judged(pages: DataFrame, rules: Entries = RULES, listed: Entries = LISTED, default: str = ALLOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, url, host, path, rule, verdict and listed (the listed entry that fits, or null) of every row of pages(page_id, url).
 
     The longest fitting rule decides; without one, the longest fitting listed entry; without that, the default.
@@ -194,8 +220,11 @@ def judged(pages: DataFrame, rules: tuple[Entry, ...] = RULES, listed: tuple[Ent
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.select("*", keys_of(F.col("host"), F.col("path"), rules).alias("rule_keys"), keys_of(F.col("host"), F.col("path"), listed).alias("listed_keys"))
     universe = written(rows.select(F.explode(F.array_distinct(F.concat("rule_keys", "listed_keys"))).alias("key")).distinct(), "universe")
-    on_list = [(f"{name} {e.verdict}", e.key) for name, entries in (("rule_keys", rules), ("listed_keys", listed)) for e in entries]
-    lists = cascades(spark.createDataFrame(on_list, "list string, key string"), universe)
+    on_list = listing(spark, "rule_keys", rules).unionByName(listing(spark, "listed_keys", listed))
+    try:
+        lists = cascades(on_list, universe, max_bytes)
+    except TooLarge:
+        return _judged_by_joins(rows, on_list, universe, default)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,6 +248,22 @@ def judged(pages: DataFrame, rules: tuple[Entry, ...] = RULES, listed: tuple[Ent
     return rows.mapInArrow(run, f"page_id {kind}, url string, host string, path string, rule string, verdict string, listed string")
 
 
+def _judged_by_joins(rows: DataFrame, on_list: DataFrame, universe: DataFrame, default: str) -> DataFrame:
+    """judged without cascades: the urls' keys that are listed, then each row's longest one of either kind."""
+    verdicts = on_list.select("key", F.substring_index("list", " ", 1).alias("kind"), F.substring_index("list", " ", -1).alias("verdict"))
+    verdicts = verdicts.groupBy("key", "kind").agg(F.min("verdict").alias("verdict"))  # allow comes first
+    hits = semi_joined(universe, on_list).join(verdicts, "key")
+    # kept as a table: the row numbers must be the same on both sides of the last join
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "judged")
+    tagged = lambda kind: F.transform(kind, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    keys = F.concat(tagged("rule_keys"), tagged("listed_keys"))
+    found = rows.select("row", F.explode(keys).alias("k")).select("row", "k.kind", "k.key").join(hits, ["kind", "key"])
+    best = lambda kind: F.max_by(F.struct("key", "verdict"), F.when(F.col("kind") == kind, F.length("key"))).alias(kind)
+    found = found.groupBy("row").agg(best("rule_keys"), best("listed_keys")).select("row", F.col("rule_keys").alias("r"), F.col("listed_keys").alias("l"))
+    verdict = F.coalesce("r.verdict", "l.verdict", F.lit(default)).alias("verdict")
+    return rows.drop("rule_keys", "listed_keys").join(found, "row", "left").select("page_id", "url", "host", "path", F.col("r.key").alias("rule"), verdict, F.col("l.key").alias("listed"))
+
+
 def semi_joined(keys: DataFrame, listed: DataFrame) -> DataFrame:
     """The way beyond MAX_BYTES: the rows of keys whose key is listed, by a join that Spark may split where a key is hot."""
     return keys.join(listed.select("key").distinct(), "key", "left_semi")
