@@ -45,6 +45,9 @@ OWNERSHIP = [
     (r"\bwhat do i owe\b|\bi owe\b|\bmy commitments?\b|\bcommitments? did i make\b|\bi committed\b", "user_owes"),
 ]
 
+# The pillars that name a class of meeting.
+PILLARS = ["sales", "finance"]
+
 # The deterministic analyzer's words.
 COMPETITORS = ["Salesforce", "HubSpot", "Microsoft", "Zoho"]
 PAINS = ["pricing", "manual", "slow", "integration", "clunky", "expensive"]
@@ -63,8 +66,12 @@ PAST_MEETING = (
     r"(?i)\b(?:during|after|following)\s+(?:our|the|that|this)\s+(?:meeting|meetings|call|sync|catch up)\b"
     r"|\b(?:yesterday|today|last\s+\w+)'?s\s+(?:meeting|meetings|call|sync)\b|\bwe\s+discussed\s+in\b|\bas\s+discussed\b"
 )
+
+# Language of a proposed meeting, and of a vague one.
 SCHEDULE = r"(?i)\b(meet|call|sync|discussion|chat)\b"
 VAGUE = r"(?i)\b(maybe|sometime|soon|at some point|let'?s connect)\b"
+
+# A name after a preposition, and words that start no name.
 MENTION = r"(?i)\b(?:with|for|about|on|who(?:'s| is))\s+((?!this\b)[A-Za-z][\w' .-]*?)(?=\s*[?.!]|\s+(?:today|tomorrow|yesterday|this|next|last|with|for|about|on)\b|$)"
 NOT_NAMES = ["my", "the", "a", "an", "our", "your", "their", "his", "her"]
 
@@ -151,6 +158,6 @@ def confidence(shared_threads: Column, same_org: Column) -> Column:
 
 
 def meeting_class(pillar: Column, all_internal: Column) -> Column:
-    """The pillar where it names a class, else what the attendees' domains say (null: no attendee known)."""
-    known = ["Sales", "Delivery", "Hiring", "Finance", "Personal"]
-    return F.when(pillar.isin(known), F.lower(pillar)).when(all_internal.isNull(), "unknown").when(all_internal, "internal").otherwise("external")
+    """Sales or finance where the pillar says so, else what the attendees' domains say (null: no attendee or own domain known)."""
+    known = F.lower(F.trim(pillar))
+    return F.when(known.isin(PILLARS), known).when(all_internal.isNull(), "unknown").when(all_internal, "internal").otherwise("customer")

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Date phrases, in order of precedence.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 EXPLICIT = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{1,2})(?:st|nd|rd|th)?\b"
 TOMORROW = r"(?i)\btomorrow\b"
 WEEKDAY = r"(?i)\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"
@@ -18,11 +18,14 @@ DAYS = r"(?i)\bin\s+(\d+|a|an|one|two|three|four|five|six|seven|eight|nine|ten)\
 VAGUE = r"(?i)\bnext month\b|\bnext week\b|\bsometime\b|\bend of (?:the )?month\b"
 PHRASES = [EXPLICIT, TOMORROW, WEEKDAY, HOURS, DAYS, VAGUE]
 COUNT_WORDS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+
+# Clock times, durations and their defaults.
 CLOCK = r"(?i)\b(\d{1,2})(?::(\d{2}))?\s*(am|pm)?\b"
 DURATION = r"(?i)\bfor\s+(\d+)\s*(minutes?|mins?|hours?|hrs?)\b"
 RECENT_DAYS, DEFAULT_MINUTES = 7, 30
 
-KINDS = "today tomorrow yesterday this_week next_week last_week this_month next_month between before after upcoming overdue recent latest all_time".split()
+# The named ranges.
+KINDS = ["today", "tomorrow", "yesterday", "this_week", "next_week", "last_week", "this_month", "next_month", "between", "before", "after", "upcoming", "overdue", "recent", "latest", "all_time"]
 
 
 def date_range(kind: str, now: datetime, zone: str = "UTC", start: datetime | None = None, end: datetime | None = None) -> tuple[datetime | None, datetime | None]:

@@ -1,9 +1,8 @@
-"""Text functions: normal forms, slugs, domains, tokens. All are column expressions, but for the two at the end."""
+"""Text functions: normal forms, slugs, domains, tokens. All are column expressions, but for those at the end."""
 
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Number words and what they stand for.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"]
 TENS = {"thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 NUMBERS = [("one hundred", "100"), *((w, str(k)) for k, w in enumerate(NUMBER_WORDS)), *((w, str(n)) for w, n in TENS.items())]
 
@@ -41,7 +40,10 @@ def normalize_subject(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Trimmed, lower-cased, number words as digits, without punctuation, with single spaces."""
-    folded = reduce(lambda x, p: F.regexp_replace(x, rf"\b{p[0]}\b", p[1]), NUMBERS, F.lower(F.trim(c)))
+    hundred, *single = NUMBERS
+    digits = F.create_map(*[F.lit(x) for pair in single for x in pair])
+    parts = F.split(F.regexp_replace(F.lower(F.trim(c)), rf"\b{hundred[0]}\b", hundred[1]), r"\b")  # words and what is between them
+    folded = F.array_join(F.transform(parts, lambda w: F.when(F.length(w).between(3, 9), F.coalesce(F.try_element_at(digits, w), w)).otherwise(w)), "")
     return collapse(F.regexp_replace(folded, r"[^\p{L}\p{N}_\s]", ""))
 
 
@@ -102,16 +104,26 @@ def fingerprint(*parts: Column) -> Column:
     return F.concat_ws("_", *parts)
 
 
-def short_nickname(a: Column, b: Column) -> Column:
-    """One of the names is a single token of at most three letters, and they are not equal."""
-    short = lambda x: (F.size(tokens(x)) == 1) & (F.length(normalize_text(x)) <= 3)
-    return (normalize_text(a) != normalize_text(b)) & (short(a) | short(b))
+def short_nickname(name: Column, other: Column) -> Column:
+    """`name` is a single token of at most three letters, and `other` is not that token alone. Both are arrays of distinct tokens."""
+    return (F.size(name) == 1) & (F.length(F.get(name, F.lit(0))) <= 3) & ~((F.size(other) == 1) & F.arrays_overlap(name, other))
 
 
 def json_block(c: Column) -> Column:
-    """The first JSON object of a text, with or without a code fence around it."""
-    bare = F.regexp_replace(c, r"```(?:json)?", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
+    """The JSON object that a text, less the code fence around it, starts with; what follows it does not count. Null if there is none."""
+    bare = F.trim(c, F.lit(" \t\r\n"))
+    bare = F.trim(F.regexp_replace(bare, r"(?is)\A```(?:json)?\s*\n?(.*?)\n?```\z", "$1"), F.lit(" \t\r\n"))
+    return F.when(bare.startswith("{"), F.get_json_object(bare, "$"))
+
+
+def normalize_message(subject: Column, body: Column) -> tuple[Column, Column]:
+    """Subject and body of a mail in normal form."""
+    return normalize_subject(subject), collapse(F.trim(body, F.lit(" \t\r\n")))
+
+
+def normalize_address(address: Column) -> Column:
+    """struct(name, email) with the email lower-cased."""
+    return F.struct(address["name"].alias("name"), F.lower(address["email"]).alias("email"))
 
 
 @F.pandas_udf(T.StringType())
@@ -134,12 +146,19 @@ def sorted_token_ratio(a: str | None, b: str | None) -> float:
     a, b = (" ".join(sorted(x.split())) for x in (a, b))
     if not a and not b:
         return 100.0
-    rows = [0] * (len(b) + 1)
-    for ch in a:
-        left = 0
-        for k, other in enumerate(b, 1):
-            rows[k], left = (left + 1 if ch == other else max(rows[k], rows[k - 1])), rows[k]
-    return 100.0 * 2 * rows[-1] / (len(a) + len(b))
+    return 100.0 * 2 * common_subsequence(a, b) / (len(a) + len(b))
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence; bit k of `open_` is 0 where a row of the table steps up at a[k]."""
+    at: dict[str, int] = {}
+    for k, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << k
+    full = open_ = (1 << len(a)) - 1
+    for ch in b:
+        hit = open_ & at.get(ch, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return len(a) - open_.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())

@@ -54,10 +54,11 @@ def only_candidate(pairs: DataFrame, source: str, target: str) -> DataFrame:
 def newest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left_time: str, right_id: str, right_time: str, days: int = 14) -> DataFrame:
     """For each left row the candidate with an equal key that is newest, where left_time - right_time <= days.
 
-    One-sided: candidates later than the left row match as well. The newest is taken by an aggregate, so a busy key needs no sort.
+    One-sided: candidates later than the left row match as well, so a key's newest candidate is the answer or there is none. It comes
+    from one aggregate, then each left row meets one row: a busy key costs what its rows cost.
     """
-    pairs = left.join(right, on).where(F.col(left_time) - F.expr(f"INTERVAL {days} DAYS") <= F.col(right_time))
-    return pairs.groupBy(left_id).agg(F.max_by(right_id, F.struct(right_time, right_id)).alias(right_id), F.max(right_time).alias(right_time))
+    newest = right.groupBy(*on).agg(F.max(F.struct(right_time, right_id)).alias("_newest")).select(*on, f"_newest.{right_time}", f"_newest.{right_id}")
+    return left.join(newest, on).where(F.col(left_time) - F.expr(f"INTERVAL {days} DAYS") <= F.col(right_time)).select(left_id, right_id, right_time)
 
 
 def earlier_ones(df: DataFrame, group: str, key: str, date: str, n: int = 10) -> DataFrame:

@@ -1,8 +1,8 @@
 """Order-dependent resolution: folds over blocks in order of arrival.
 
-A block holds all that can match each other. Threads: mails joined by shared participants, source threads or replies (their connected
-components). Facts: thread, subject and predicate. A fold keeps what it created so far, so a block is one task's work; blocks are as
-large as the correspondence of people who write to each other, not as the table.
+A block holds all that can match each other. Threads: mails joined by source threads, or by the replies and participants that mails
+without one ask for (their connected components). Facts: thread, subject and predicate. A fold keeps what it created so far, so a
+block is one task's work; blocks are as large as the correspondence of people who write to each other, not as the table.
 """
 
 from __future__ import annotations
@@ -11,27 +11,23 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import fact_key, normalize_subject, normalize_text, sorted_token_ratio
+from quillgraph.operators.graph import components
+from quillgraph.tables import written
 
 WINDOW = timedelta(days=14)
 SAME, MAYBE, VERIFIED = 90, 60, 80
 
 
 def blocks(rows: DataFrame, key: str, links: str) -> DataFrame:
-    """(key, block): the least key among all that share a link, directly or over others. Labels spread until none changes."""
-    pairs = rows.select(key, F.explode(links).alias("link")).distinct().cache()
-    labels = rows.select(key, F.col(key).alias("block"))
-    for _ in range(64):
-        least = pairs.join(labels, key).groupBy("link").agg(F.min("block").alias("least"))
-        new = pairs.join(least, "link").groupBy(key).agg(F.min("least").alias("least"))
-        step = labels.join(new, key, "left").select(key, F.least("block", F.coalesce("least", "block")).alias("block"), (F.coalesce("least", "block") < F.col("block")).alias("moved")).cache()
-        if step.where("moved").isEmpty():
-            break
-        labels = step.drop("moved")
-    return labels
+    """(key, block) of every row: rows that share a link, directly or over others, have one block, whatever the length of the way."""
+    pairs = rows.select(F.concat(F.lit("row "), F.col(key).cast("string")).alias("a"), F.explode(links).alias("link")).select("a", F.concat(F.lit("to "), "link").alias("b"))
+    found = components(pairs).where(F.col("id").startswith("row ")).select(F.substring("id", 5, 1 << 30).alias("k"), F.col("component").alias("block"))
+    return rows.select(key).join(found, F.col(key).cast("string") == F.col("k"), "left").select(key, F.coalesce("block", F.concat(F.lit("row "), F.col(key).cast("string"))).alias("block"))
 
 
 def threads(mails: DataFrame) -> DataFrame:
@@ -40,44 +36,88 @@ def threads(mails: DataFrame) -> DataFrame:
     Columns: message_id, source_thread_id, in_reply_to, references, subject, participants, at. The first signal that finds a thread
     decides: source thread (and no other once it is given), reply, references, subject with a shared participant, shared participants
     within 14 days of the thread's last mail (newest thread first; an older mail matches too).
+
+    Only a mail without a source thread asks for replies or participants, so a participant or message ties mails into a block only if
+    such a mail names it: mails with source threads fall into blocks of one thread each. A block is folded as its rows come, in order
+    of time, by lookups of the thread that a message, a subject with a person, or a person alone leads to; its rows are never held.
     """
+    asks = F.coalesce("source_thread_id", F.lit("")) == ""
     tagged = F.array_compact(
         F.concat(
-            F.transform("participants", lambda p: F.concat(F.lit("p:"), p)),
-            F.array(F.concat(F.lit("s:"), "source_thread_id"), F.concat(F.lit("m:"), "in_reply_to"), F.concat(F.lit("m:"), "message_id")),
-            F.transform("references", lambda r: F.concat(F.lit("m:"), r)),
+            F.transform(F.coalesce("participants", F.array().cast("array<string>")), lambda p: F.concat(F.lit("p:"), p)),
+            F.array(F.concat(F.lit("m:"), "message_id"), F.when(asks, F.concat(F.lit("m:"), "in_reply_to"))),
+            F.when(asks & F.col("references").isNotNull(), F.transform("references", lambda r: F.concat(F.lit("m:"), r))).otherwise(F.array().cast("array<string>")),
         )
     )
-    rows = mails.withColumn("normal", normalize_subject(F.col("subject"))).withColumn("links", tagged)
-    placed = rows.drop("links").join(blocks(rows, "message_id", "links"), "message_id")
-    return placed.groupBy("block").applyInPandas(_fold_threads, "message_id string, thread_id string, signal string")
-
-
-def _fold_threads(mails: pd.DataFrame) -> pd.DataFrame:
-    known: list[dict] = []
-    out = []
-    for m in mails.sort_values(["at", "message_id"]).to_dict("records"):
-        people = set(m["participants"])
+    rows = mails.withColumn("normal", normalize_subject(F.col("subject")))
+    links = written(rows.select("message_id", asks.alias("asks"), F.explode(F.array_distinct(tagged)).alias("link")), "mail-links")
+    asked = links.where("asks").select("link").distinct()
+    own = rows.where(~asks).select("message_id", F.concat(F.lit("s:"), "source_thread_id").alias("link"))
+    tied = own.unionByName(links.select("message_id", "link").join(asked, "link", "left_semi"))
+    found = components(tied.select(F.concat(F.lit("row "), "message_id").alias("a"), F.concat(F.lit("to "), "link").alias("b")))
+    found = found.where(F.col("id").startswith("row ")).select(F.substring("id", 5, 1 << 30).alias("message_id"), F.col("component").alias("block"))
+    placed = rows.join(found, "message_id", "left").withColumn("block", F.coalesce("block", "message_id"))
+    ordered = placed.select("block", "message_id", "source_thread_id", "in_reply_to", "references", "normal", "participants", "at").repartition("block").sortWithinPartitions("block", "at", "message_id")
+    return ordered.mapInArrow(_fold_threads, "message_id string, thread_id string, signal string")
+
+
+class Threads:
+    """The threads of a block so far. Threads are numbered as they are made; the lookups keep the first, or the newest, of each key."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.subjects: list[str | None] = []
+        self.people: list[set[str]] = []
+        self.last: list = []
+        self.by_source: dict[str, int] = {}
+        self.by_message: dict[str, int] = {}
+        self.by_subject: dict[tuple[str | None, str], int] = {}
+        self.newest: dict[str, tuple] = {}  # person: (last mail, -thread) of the newest thread
+
+    def take(self, message: str, source: str | None, reply: str | None, refs: list[str], normal: str | None, people: list[str], at) -> tuple[str, str]:
         found, signal = None, "new"
-        if m["source_thread_id"]:
-            found, signal = next((t for t in known if t["source"] == m["source_thread_id"]), None), "source"
+        if source:
+            found, signal = self.by_source.get(source), "source"
         else:
-            refs = set(m["references"] if m["references"] is not None else [])
-            rungs = (
-                ("reply", [t for t in known if m["in_reply_to"] and m["in_reply_to"] in t["ids"]]),
-                ("references", [t for t in known if t["ids"] & refs]),
-                ("subject", [t for t in known if t["normal"] == m["normal"] and t["people"] & people]),
-                ("recent", sorted((t for t in known if t["people"] & people and m["at"] - t["last"] <= WINDOW), key=lambda t: t["last"], reverse=True)),
-            )
-            signal, found = next(((name, ts[0]) for name, ts in rungs if ts), ("new", None))
+            known = [self.by_message[r] for r in refs if r in self.by_message]
+            same = [self.by_subject[normal, p] for p in people if (normal, p) in self.by_subject]
+            near = max((self.newest[p] for p in people if p in self.newest), default=None)
+            if reply and reply in self.by_message:
+                found, signal = self.by_message[reply], "reply"
+            elif known:
+                found, signal = min(known), "references"
+            elif same:
+                found, signal = min(same), "subject"
+            elif near is not None and at - near[0] <= WINDOW:
+                found, signal = -near[1], "recent"
         if found is None:
-            found, signal = {"id": m["message_id"], "source": m["source_thread_id"], "ids": set(), "normal": m["normal"], "people": set(), "last": m["at"]}, "new"
-            known.append(found)
-        found["ids"].add(m["message_id"])
-        found["people"] |= people
-        found["last"] = max(found["last"], m["at"])
-        out.append((m["message_id"], found["id"], signal))
-    return pd.DataFrame(out, columns=["message_id", "thread_id", "signal"])
+            found, signal = len(self.names), "new"
+            self.names.append(message)
+            self.subjects.append(normal)
+            self.people.append(set())
+            self.last.append(at)
+            if source:
+                self.by_source.setdefault(source, found)
+        self.by_message[message] = min(self.by_message.get(message, found), found)
+        self.last[found] = max(self.last[found], at)
+        for p in people:
+            self.people[found].add(p)
+            key = self.subjects[found], p
+            self.by_subject[key] = min(self.by_subject.get(key, found), found)
+        for p in self.people[found]:
+            self.newest[p] = max(self.newest.get(p, (self.last[found], -found)), (self.last[found], -found))
+        return self.names[found], signal
+
+
+def _fold_threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, state = None, Threads()
+    for batch in batches:
+        out = []
+        for own, message, source, reply, refs, normal, people, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != block:
+                block, state = own, Threads()
+            out.append((message, *state.take(message, source, reply, [r for r in refs or [] if r], normal, sorted({p for p in people or [] if p}), at)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["message_id", "thread_id", "signal"])
 
 
 def facts(mentions: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from datetime import datetime
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,24 +32,5 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-def whole(name: str, *prefixes: str) -> None:
-    """Register a query that reads an id prefix over its whole table too, as NAME_whole.
-
-    The query takes the prefix as its parameter `below`, None for all rows. Its SQL stays as it is; that of NAME_whole is the same
-    without the conditions given.
-    """
-    f, sql = QUERIES[name], SQL.get(name)
-    for prefix in prefixes:
-        if sql is None or sql.count(prefix) != 1:
-            raise ValueError(f"the SQL of {name} does not have {prefix!r} once")
-        sql = sql.replace(prefix, "")
-    query(sql, f"{name}_whole")(lambda s, d: f(s, d, below=None))
-
-
-def under(df: DataFrame, column: str, below: int | None) -> DataFrame:
-    """The rows whose column is less than `below`; all rows where that is None."""
-    return df if below is None else df.where(F.col(column) < below)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

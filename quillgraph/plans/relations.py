@@ -6,22 +6,20 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text
 from quillgraph.operators import graph, joins, maintenance, resolve, retrieve
-from quillgraph.plans.registry import query, table, under, whole
+from quillgraph.plans.registry import query, table
 from quillgraph.sources import export
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name AS n, string_split(p_name, ' ') AS t FROM part), b AS (SELECT DISTINCT p_brand || ' ' || p_name AS n, string_split(p_brand || ' ' || p_name, ' ') AS t FROM part WHERE p_partkey < 300)
+@query("""WITH p AS (SELECT DISTINCT p_name AS n, string_split(p_name, ' ') AS t FROM part), b AS (SELECT DISTINCT p_brand || ' ' || p_name AS n, string_split(p_brand || ' ' || p_name, ' ') AS t FROM part)
 SELECT p.n AS a, b.n AS b FROM p JOIN b ON len(list_filter(p.t, lambda x: NOT list_contains(b.t, x))) = 0 OR len(list_filter(b.t, lambda x: NOT list_contains(p.t, x))) = 0""")
-def token_subset_resolution(s, d, below=300):
+def token_subset_resolution(s, d):
     """JN15, Q11, ER5, ER17: one name's tokens within the other's."""
     part = table(s, d, "part")
     names = part.select(F.col("p_name").alias("n")).distinct().withColumn("t", F.split("n", " "))
-    longer = under(part, "p_partkey", below).select(F.concat_ws(" ", "p_brand", "p_name").alias("m")).distinct().withColumn("u", F.split("m", " "))
+    longer = part.select(F.concat_ws(" ", "p_brand", "p_name").alias("m")).distinct().withColumn("u", F.split("m", " "))
     return joins.token_subsets(names, longer, "n", "t", "m", "u")
 
 
-whole("token_subset_resolution", " WHERE p_partkey < 300")
-
 
 @query("""SELECT p_name, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, count(*)::BIGINT AS candidates FROM part WHERE p_name IN ('small ring', 'red widget') GROUP BY 1 UNION ALL SELECT 'no such part', 'not_found', 0::BIGINT""")
 def reference_resolution(s, d):
@@ -32,16 +30,14 @@ def reference_resolution(s, d):
     return asked.join(found, "p_name", "left").select("p_name", F.when(n == 0, "not_found").when(n == 1, "resolved").otherwise("ambiguous").alias("status"), n.cast("long").alias("candidates"))
 
 
-@query("""SELECT o_orderkey, arg_max(event_id, (ts, event_id))::BIGINT AS event_id FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 60 AS INTEGER)) AS at FROM orders WHERE o_custkey < 150) o JOIN events e ON e.user_id = o.o_custkey AND o.at - INTERVAL 14 DAY <= e.ts GROUP BY 1""")
-def asof_thread_14d(s, d, below=150):
+@query("""SELECT o_orderkey, arg_max(event_id, (ts, event_id))::BIGINT AS event_id FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 60 AS INTEGER)) AS at FROM orders) o JOIN events e ON e.user_id = o.o_custkey AND o.at - INTERVAL 14 DAY <= e.ts GROUP BY 1""")
+def asof_thread_14d(s, d):
     """JN16: the newest candidate of the participant within 14 days; one-sided."""
-    o = under(table(s, d, "orders"), "o_custkey", below).select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("o_orderkey") % 60).cast("int"))).alias("at"))
+    o = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("o_orderkey") % 60).cast("int"))).alias("at"))
     e = table(s, d, "events").select("user_id", "event_id", "ts")
     return joins.newest_within(o, e, ["user_id"], "o_orderkey", "at", "event_id", "ts").select("o_orderkey", "event_id")
 
 
-whole("asof_thread_14d", " WHERE o_custkey < 150")
-
 
 @query("""SELECT a.event_id, b.event_id AS earlier FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts WHERE a.event_type = 'purchase' AND b.event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts DESC, b.event_id DESC) <= 10""")
 def previous_meetings_10(s, d):
@@ -118,15 +114,13 @@ def canonical_chain(s, d):
     return graph.canonical(rows, "id", "target", F.col("target").isNotNull()).select(F.col("id").cast("long").alias("id"), "canonical_id", "hops", "error")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey < 2000), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, depth) AS (SELECT 'p7', 0 UNION SELECT b.b, w.depth + 1 FROM w JOIN b ON b.a = w.node WHERE w.depth < 3) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""")
-def bfs_depth3(s, d, below=2000):
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, depth) AS (SELECT 'p7', 0 UNION SELECT b.b, w.depth + 1 FROM w JOIN b ON b.a = w.node WHERE w.depth < 3) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""")
+def bfs_depth3(s, d):
     """REC2, GR5."""
-    e = under(table(s, d, "lineitem"), "l_orderkey", below).select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    e = table(s, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
     return graph.reachable(e, s.createDataFrame([("p7",)], "node string"), 3)
 
 
-whole("bfs_depth3", " WHERE l_orderkey < 2000")
-
 
 @query("""SELECT a.l_partkey AS a, b.l_partkey AS b, count(*)::BIGINT AS n, min(a.l_orderkey)::BIGINT AS first_source FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2""")
 def cooccurrence_edges(s, d):
@@ -134,17 +128,15 @@ def cooccurrence_edges(s, d):
     return graph.co_occurrence(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
 
 
-@query("""SELECT DISTINCT 'WORKS_AT' AS label, 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION SELECT 'SUBMITTED_BY', 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey < 500 UNION SELECT 'BELONGS_TO', 'n' || n_nationkey, 'r' || n_regionkey FROM nation ORDER BY label, b""")
-def direct_edges(s, d, below=500):
+@query("""SELECT DISTINCT 'WORKS_AT' AS label, 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION SELECT 'SUBMITTED_BY', 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION SELECT 'BELONGS_TO', 'n' || n_nationkey, 'r' || n_regionkey FROM nation ORDER BY label, b""")
+def direct_edges(s, d):
     """GR2, GR3, ST10."""
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    o = under(table(s, d, "orders"), "o_orderkey", below)
+    o = table(s, d, "orders")
     made = graph.edges(("WORKS_AT", table(s, d, "customer"), tag("c", "c_custkey"), tag("n", "c_nationkey")), ("SUBMITTED_BY", o, tag("o", "o_orderkey"), tag("c", "o_custkey")), ("BELONGS_TO", table(s, d, "nation"), tag("n", "n_nationkey"), tag("r", "n_regionkey")))
     return made.orderBy("label", "b")
 
 
-whole("direct_edges", " WHERE o_orderkey < 500")
-
 
 @query("""SELECT p_partkey, 2 AS tier FROM part WHERE contains(lower(p_name), 'ring')""")
 def tiered_search(s, d):
@@ -172,30 +164,26 @@ def retire_merged(s, d):
     return maintenance.retired(table(s, d, "customer").select("c_custkey"), _mapping(s, d), "c_custkey")
 
 
-@query("""WITH m AS (SELECT CASE WHEN c_custkey % 30 = 0 THEN c_custkey + 100000 ELSE c_custkey END AS old, CASE WHEN c_custkey % 20 = 0 THEN c_custkey ELSE c_custkey + 10 END AS new FROM customer WHERE c_custkey % 10 = 0 AND c_custkey < 600)
+@query("""WITH m AS (SELECT CASE WHEN c_custkey % 30 = 0 THEN c_custkey + 100000 ELSE c_custkey END AS old, CASE WHEN c_custkey % 20 = 0 THEN c_custkey ELSE c_custkey + 10 END AS new FROM customer WHERE c_custkey % 10 = 0)
 SELECT DISTINCT old, fault FROM (SELECT old, 'self' AS fault FROM m WHERE old = new UNION ALL SELECT old, 'repeated' FROM m GROUP BY old HAVING count(*) > count(DISTINCT new) UNION ALL SELECT old, 'multi_target' FROM m GROUP BY old HAVING count(DISTINCT new) > 1
 UNION ALL SELECT old, 'chained' FROM m WHERE new IN (SELECT old FROM m) AND old <> new UNION ALL SELECT old, 'unknown' FROM m WHERE old NOT IN (SELECT c_custkey FROM customer))""")
-def plan_validation(s, d, below=600):
+def plan_validation(s, d):
     """DQ12."""
     c = F.col("c_custkey")
-    m = under(table(s, d, "customer"), "c_custkey", below).where("c_custkey % 10 = 0").select(F.when(c % 30 == 0, c + 100000).otherwise(c).alias("old"), F.when(c % 20 == 0, c).otherwise(c + 10).alias("new"))
+    m = table(s, d, "customer").where("c_custkey % 10 = 0").select(F.when(c % 30 == 0, c + 100000).otherwise(c).alias("old"), F.when(c % 20 == 0, c).otherwise(c + 10).alias("new"))
     return maintenance.plan_faults(m, table(s, d, "customer"), "c_custkey")
 
 
-whole("plan_validation", " AND c_custkey < 600")
-
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'missing' WHEN c_custkey % 3 = 0 THEN 'conflict' ELSE 'restore' END AS verdict FROM customer WHERE c_custkey < 300""")
-def rollback_check(s, d, below=300):
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'missing' WHEN c_custkey % 3 = 0 THEN 'conflict' ELSE 'restore' END AS verdict FROM customer""")
+def rollback_check(s, d):
     """DQ14: restored only where the row still is what the change left."""
-    c = under(table(s, d, "customer"), "c_custkey", below).select("c_custkey", "c_name", "c_mktsegment")
+    c = table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     after = c.withColumn("c_mktsegment", F.lit("MERGED"))
     now = after.where("c_custkey % 5 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, "other").otherwise(F.col("c_name")))
     return maintenance.restorable(c, after, now, "c_custkey")
 
 
-whole("rollback_check", " WHERE c_custkey < 300")
-
 
 @query("""SELECT c_custkey, coalesce(n.seg, c_mktsegment) AS seg, coalesce(c.c_acctbal, 0) AS bal FROM customer c FULL OUTER JOIN (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' END AS seg FROM customer WHERE c_custkey % 3 = 0) n USING (c_custkey)""")
 def keyed_upsert(s, d):
@@ -257,12 +245,14 @@ def historical_scan(s, d):
 
 @query()
 def thread_resolution(s, d):
-    """ER1: each mail's thread by the five signals, in order of time, within the participants that can meet."""
-    c = table(s, d, "conversations").where("role = 'user'")
-    mails = c.select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("t"), F.col("conv_id").cast("string"))).alias("source_thread_id"),
-        F.lit(None).cast("string").alias("in_reply_to"), F.array().cast("array<string>").alias("references"), F.concat(F.lit("Re: topic "), (F.col("conv_id") % 5).cast("string")).alias("subject"),
-        F.array(F.concat(F.lit("u"), (F.col("conv_id") % 20).cast("string"), F.lit("@x.example"))).alias("participants"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("turn").cast("int"))).alias("at"),
+    """ER1: each mail's thread by the five signals, in order of time, within the mails that can meet."""
+    k, turn = F.col("conv_id"), F.col("turn")
+    name = lambda n: F.concat_ws("-", k.cast("string"), (turn - n).cast("string"))
+    no_refs = F.array().cast("array<string>")
+    mails = table(s, d, "conversations").select(
+        name(0).alias("message_id"), F.when(k % 3 == 0, F.concat(F.lit("t"), k.cast("string"))).alias("source_thread_id"), F.when((k % 4 == 1) & (turn > 0), name(1)).alias("in_reply_to"),
+        F.when((k % 4 == 2) & (turn > 1), F.array(name(2), F.lit("lost"))).otherwise(no_refs).alias("references"), F.concat(F.lit("Re: topic "), (k % 5).cast("string")).alias("subject"),
+        F.array(F.concat(F.lit("u"), (k % 20).cast("string"), F.lit("@x.example")), F.concat(F.col("role"), (k % 7).cast("string"))).alias("participants"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((turn * 3 + k % 40).cast("int"))).alias("at"),
     )
     return resolve.threads(mails)
 

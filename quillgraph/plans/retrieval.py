@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import arrays, dates
 from quillgraph.operators import joins, retrieve
-from quillgraph.plans.registry import EVENTS_NOW, ORDERS_NOW, query, table, under, whole
+from quillgraph.plans.registry import EVENTS_NOW, ORDERS_NOW, query, table
 
 # commitments = orders, people = customers, organizations = nations, follow-ups = line items, meetings = events
 
@@ -161,16 +161,14 @@ def filter_required_fields(s, d):
     return rows.where(F.col("segment").isNotNull() & F.col("c_acctbal").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT c_custkey, concat_ws(',', CASE WHEN c_mktsegment IS DISTINCT FROM s2 THEN 'segment:' || c_mktsegment || '>' || s2 END) AS delta FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'AUTO' ELSE c_mktsegment END AS s2 FROM customer) WHERE c_custkey < 300""")
-def field_delta(s, d, below=300):
+@query("""SELECT c_custkey, concat_ws(',', CASE WHEN c_mktsegment IS DISTINCT FROM s2 THEN 'segment:' || c_mktsegment || '>' || s2 END) AS delta FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'AUTO' ELSE c_mktsegment END AS s2 FROM customer)""")
+def field_delta(s, d):
     """PRJ6."""
-    rows = under(table(s, d, "customer"), "c_custkey", below).withColumn("s2", F.when(F.col("c_custkey") % 3 == 0, "AUTO").otherwise(F.col("c_mktsegment")))
+    rows = table(s, d, "customer").withColumn("s2", F.when(F.col("c_custkey") % 3 == 0, "AUTO").otherwise(F.col("c_mktsegment")))
     delta = arrays.changed_fields({"segment": F.col("c_mktsegment")}, {"segment": F.col("s2")})
     return rows.select("c_custkey", F.array_join(F.transform(F.map_entries(delta), lambda e: F.concat(e.key, F.lit(":"), e["value"].old, F.lit(">"), e["value"].new)), ",").alias("delta"))
 
 
-whole("field_delta", " WHERE c_custkey < 300")
-
 
 @query("""SELECT n_name, n_nationkey, 'canonical_id' AS basis FROM nation""")
 def project_priority_columns(s, d):
@@ -224,10 +222,10 @@ def label_fallback(s, d):
     return joins.labelled(table(s, d, "events").select("event_id", "user_id"), "user_id", some, "c_custkey", "c_name", "label").select("event_id", "label")
 
 
-@query("""SELECT conv_id, arg_min(substr(text, 1, 40), turn) AS title FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, arg_min(text, turn) AS title FROM conversations GROUP BY conv_id""")
 def meeting_title_first_row(s, d):
     """JN5."""
-    return joins.first_by(table(s, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("title")), "conv_id", "title", "turn")
+    return joins.first_by(table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("title")), "conv_id", "title", "turn")
 
 
 @query("""WITH t AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) SELECT p, max(l_orderkey)::BIGINT AS thread FROM (SELECT unnest(parts) AS p, l_orderkey FROM t) GROUP BY p""")
@@ -274,19 +272,17 @@ def indirect_by_thread(s, d):
     return o.join(e, F.col("o_custkey") == F.col("user_id")).select("o_orderkey", "event_id", F.lit("shared_thread").alias("basis"))
 
 
-@query("""SELECT 'commitment' AS record_type, CAST(o_orderkey AS VARCHAR) AS record_id, o_orderdate AS at FROM orders WHERE o_orderpriority = '2-HIGH' AND o_custkey < 50
-UNION ALL SELECT 'meeting', CAST(event_id AS VARCHAR), ts FROM events WHERE event_type = 'purchase' AND user_id < 50""")
-def cross_entity_union(s, d, below=50):
+@query("""SELECT 'commitment' AS record_type, CAST(o_orderkey AS VARCHAR) AS record_id, o_orderdate AS at FROM orders WHERE o_orderpriority = '2-HIGH'
+UNION ALL SELECT 'meeting', CAST(event_id AS VARCHAR), ts FROM events WHERE event_type = 'purchase'""")
+def cross_entity_union(s, d):
     """SET1, SET2, AR7: unlike records as one evidence relation."""
-    o = under(_orders(s, d), "o_custkey", below).where("o_orderpriority = '2-HIGH'")
-    e = under(table(s, d, "events"), "user_id", below).where("event_type = 'purchase'")
+    o = _orders(s, d).where("o_orderpriority = '2-HIGH'")
+    e = table(s, d, "events").where("event_type = 'purchase'")
     a = retrieve.evidence(o, "commitment", "o_orderkey", ["o_orderstatus"], "o_orderdate", person=F.col("o_custkey"))
     b = retrieve.evidence(e, "meeting", "event_id", ["event_type"], "ts", person=F.col("user_id"))
     return a.unionByName(b).select("record_type", "record_id", "at")
 
 
-whole("cross_entity_union", " AND o_custkey < 50", " AND user_id < 50")
-
 
 @query("""WITH v AS (SELECT l_orderkey, list_distinct(list(l_returnflag)) AS a, list_distinct(list(l_linestatus)) AS b FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(list_sort(list_intersect(a, ['A', 'R'])), ',') AS both_, array_to_string(list_sort(list_filter(a, lambda x: x NOT IN ('A', 'R'))), ',') AS only_, len(list_distinct(list_concat(a, b)))::BIGINT AS n_any FROM v""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import arrays, classify, dates, text
-from quillgraph.plans.registry import query, table, under, whole
+from quillgraph.plans.registry import query, table
 
 # SQL building blocks.
 
@@ -28,21 +28,24 @@ def _cases(x: str, rules: list[tuple[str, str]], otherwise: str = "NULL") -> str
 
 
 _PHRASES = ["Re: budget of one hundred seats", "we have twenty users", "the closing date moves", "pricing tier or plan tier", "term length is two years", "forty-two things", "FW: re:  Plan  B"]
-_PHRASE_SQL = "CASE (o_orderkey % 7) " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PHRASES)) + " END"
 
 
-def _phrases(s, d, below):
-    pick = F.get(F.array(*map(F.lit, _PHRASES)), (F.col("o_orderkey") % 7).cast("int"))
-    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", pick.alias("p"))
+def _said(options: list[str], name: str) -> str:
+    """Conversations' whole texts, each after one of the options: as a DuckDB relation of conv_id, turn and the text."""
+    whens = " ".join("WHEN {} THEN '{}'".format(k, x.replace("'", "''")) for k, x in enumerate(options))
+    return f"(SELECT conv_id, turn, CASE (conv_id * 31 + turn) % {len(options)} {whens} END || ' ' || coalesce(text, '') AS {name} FROM conversations)"
 
 
-@query(f"SELECT o_orderkey, {_collapse(r'''regexp_replace(trim(p), '(?i)^(\s*(re|fwd|fw)\s*:\s*)+', '')''')} AS subject FROM (SELECT o_orderkey, {_PHRASE_SQL} AS p FROM orders WHERE o_orderkey < 700)")
-def normalize_subjects(s, d, below=700):
-    """FN1, FN2."""
-    return _phrases(s, d, below).select("o_orderkey", text.normalize_subject(F.col("p")).alias("subject"))
+def _say(s, d, options: list[str], name: str):
+    pick = F.get(F.array(*map(F.lit, options)), ((F.col("conv_id") * 31 + F.col("turn")) % len(options)).cast("int"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", pick, F.coalesce("text", F.lit(""))).alias(name))
+
 
+@query(f"SELECT conv_id, turn, {_collapse(r'''regexp_replace(trim(p), '(?i)^(\s*(re|fwd|fw)\s*:\s*)+', '')''')} AS subject FROM {_said(_PHRASES, 'p')}")
+def normalize_subjects(s, d):
+    """FN1, FN2."""
+    return _say(s, d, _PHRASES, "p").select("conv_id", "turn", text.normalize_subject(F.col("p")).alias("subject"))
 
-whole("normalize_subjects", " WHERE o_orderkey < 700")
 
 
 @query(f"SELECT doc_id, sha256({_normalize('text')}) AS digest FROM documents")
@@ -51,15 +54,13 @@ def normalize_text_docs(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("digest"))
 
 
-@query(f"SELECT o_orderkey, regexp_replace({_normalize('p')}, '\\s+', '_', 'g') AS slug, {_cases(_normalize('p'), text.FACT_KEYS, 'regexp_replace(' + _normalize('p') + ', ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + '_' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS fact_key, try_cast(nullif(regexp_extract({_normalize('p')}, '(\\d+)', 1), '') AS BIGINT) AS number FROM (SELECT o_orderkey, {_PHRASE_SQL} AS p FROM orders WHERE o_orderkey < 700)")
-def fact_keys(s, d, below=700):
+@query(f"SELECT conv_id, turn, regexp_replace({_normalize('p')}, '\\s+', '_', 'g') AS slug, {_cases(_normalize('p'), text.FACT_KEYS, 'regexp_replace(' + _normalize('p') + ', ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + '_' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS fact_key, try_cast(nullif(regexp_extract({_normalize('p')}, '(\\d+)', 1), '') AS BIGINT) AS number FROM {_said(_PHRASES, 'p')}")
+def fact_keys(s, d):
     """FN4, FN6, FN7."""
     p = F.col("n")
-    rows = _phrases(s, d, below).select("o_orderkey", text.normalize_text(F.col("p")).alias("n"))
-    return rows.select("o_orderkey", text.slug_of_text(p).alias("slug"), text.fact_key(p).alias("fact_key"), text.leading_number(p).alias("number"))
-
+    rows = _say(s, d, _PHRASES, "p").select("conv_id", "turn", text.normalize_text(F.col("p")).alias("n"))
+    return rows.select("conv_id", "turn", text.slug_of_text(p).alias("slug"), text.fact_key(p).alias("fact_key"), text.leading_number(p).alias("number"))
 
-whole("fact_keys", " WHERE o_orderkey < 700")
 
 
 @query("""SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(trim(p_name || ' & ' || p_brand)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM part""")
@@ -70,8 +71,8 @@ def slugify_names(s, d):
 
 @query()
 def project_names(s, d):
-    """FN8: accents need Unicode tables that SQL lacks."""
-    rows = table(s, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("name"))
+    """FN8 over whole texts: accents need Unicode tables that SQL lacks."""
+    rows = table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("name"))
     return rows.select("conv_id", "turn", text.normalize_text(text.project_name("name")).alias("project"))
 
 
@@ -118,14 +119,13 @@ def fuzzy_names(s, d):
     return pairs.select("a", "b", F.round(text.fuzzy_ratio("a", "b"), 2).alias("ratio"))
 
 
-@query("""SELECT o_orderkey, '{"k": ' || o_orderkey || '}' AS block FROM orders WHERE o_orderkey < 200""")
-def json_blocks(s, d, below=200):
-    """FN18."""
-    body = F.concat(F.lit("Sure:\n```json\n{\"k\": "), F.col("o_orderkey").cast("string"), F.lit("}\n```\n"))
-    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", text.json_block(body).alias("block"))
-
-
-whole("json_blocks", " WHERE o_orderkey < 200")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN '{"k":' || o_orderkey || ',"s":"a } b"}' END AS block FROM orders""")
+def json_blocks(s, d):
+    """FN18: fenced, bare, followed by other text; a list or prose first is no object."""
+    one = F.concat(F.lit('{"k": '), F.col("o_orderkey").cast("string"), F.lit(', "s": "a } b"}'))
+    case = F.col("o_orderkey") % 5
+    body = F.when(case == 0, F.concat(F.lit("```json\n"), one, F.lit("\n```\n"))).when(case == 1, F.concat(one, F.lit("\nand {\"k\": 0}"))).when(case == 2, one).when(case == 3, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit("Sure: "), one))
+    return table(s, d, "orders").select("o_orderkey", text.json_block(body).alias("block"))
 
 
 @query("""SELECT event_id, printf('- [%s] %s: %s', event_type, CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d')) AS line, CASE WHEN value > 50 THEN 'ok' WHEN value > 10 THEN 'empty' ELSE 'error' END AS answer FROM events""")
@@ -140,31 +140,22 @@ _QUESTIONS = [
     "follow-ups that need a nudge next week", "context on the company Acme", "context on Dee", "show the project Atlas", "latest thread", "reply drafts", "what do we know",
     "meetings tomorrow", "customer list", "contact details", "nonsense", "overdue commitments about Eve",
 ]
-_Q_SQL = "CASE (o_orderkey % 17) " + " ".join("WHEN {} THEN '{}'".format(k, q.replace("'", "''")) for k, q in enumerate(_QUESTIONS)) + " END"
-
-
-def _questions(s, d, below=None):
-    pick = F.get(F.array(*map(F.lit, _QUESTIONS)), (F.col("o_orderkey") % 17).cast("int"))
-    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", pick.alias("q"))
-
 
 _INTENT_SQL = _cases("q", classify.INTENTS, "'unsupported'")
 
 
-@query(f"SELECT o_orderkey, {_INTENT_SQL} AS intent, {_cases('q', classify.DATE_KINDS)} AS date_kind, CASE WHEN {_INTENT_SQL} = 'commitments' THEN {_cases('q', classify.OWNERSHIP)} END AS ownership FROM (SELECT o_orderkey, {_Q_SQL} AS q FROM orders WHERE o_orderkey < 1700)")
-def intent_classify(s, d, below=1700):
+@query(f"SELECT conv_id, turn, {_INTENT_SQL} AS intent, {_cases('q', classify.DATE_KINDS)} AS date_kind, CASE WHEN {_INTENT_SQL} = 'commitments' THEN {_cases('q', classify.OWNERSHIP)} END AS ownership FROM {_said(_QUESTIONS, 'q')}")
+def intent_classify(s, d):
     """TX1-TX3, Q15, Q17: the parse of a question."""
     q = F.col("q")
-    return _questions(s, d, below).select("o_orderkey", classify.intent(q).alias("intent"), classify.date_kind(q).alias("date_kind"), classify.ownership(q).alias("ownership"))
-
+    return _say(s, d, _QUESTIONS, "q").select("conv_id", "turn", classify.intent(q).alias("intent"), classify.date_kind(q).alias("date_kind"), classify.ownership(q).alias("ownership"))
 
-whole("intent_classify", " WHERE o_orderkey < 1700")
 
 
 @query()
 def mentions(s, d):
     """TX4: the pattern looks ahead, which the SQL engine's cannot."""
-    return _questions(s, d).select("o_orderkey", classify.mention(F.col("q")).alias("mention"))
+    return _say(s, d, _QUESTIONS, "q").select("conv_id", "turn", classify.mention(F.col("q")).alias("mention"))
 
 
 _BODIES = [
@@ -174,9 +165,10 @@ _BODIES = [
 _B_SQL = "CASE (o_orderkey % 11) " + " ".join("WHEN {} THEN '{}'".format(k, b.replace("'", "''")) for k, b in enumerate(_BODIES)) + " END"
 
 
-def _bodies(s, d, below=None):
+def _bodies(s, d):
+    """Orders with one of the bodies, for rules that need a date of each row."""
     pick = F.get(F.array(*map(F.lit, _BODIES)), (F.col("o_orderkey") % 11).cast("int"))
-    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", pick.alias("b"), F.col("o_orderdate").alias("now"))
+    return table(s, d, "orders").select("o_orderkey", pick.alias("b"), F.col("o_orderdate").alias("now"))
 
 
 _SIGNALS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(b, '(?i){p}') THEN '{v}' END" for p, v in classify.SIGNALS) + "], lambda x: x IS NOT NULL)"
@@ -184,21 +176,19 @@ _WORDS_SQL = lambda words: "list_filter([" + ", ".join(f"'{w}'" for w in words)
 _PAST_SQL = classify.PAST_MEETING.replace("'", "''")
 
 
-@query(f"""SELECT o_orderkey, array_to_string({_WORDS_SQL(classify.COMPETITORS)}, ',') AS competitors, array_to_string({_WORDS_SQL(classify.PAINS)}, ',') AS pains, array_to_string({_SIGNALS_SQL}, ',') AS signals,
+@query(f"""SELECT conv_id, turn, array_to_string({_WORDS_SQL(classify.COMPETITORS)}, ',') AS competitors, array_to_string({_WORDS_SQL(classify.PAINS)}, ',') AS pains, array_to_string({_SIGNALS_SQL}, ',') AS signals,
 array_to_string(list_transform(regexp_extract_all(b, '(?i)\\b(\\d+)\\s*(seats?|users?|licen[sc]es?)\\b', 1), lambda x: x || ' seats'), ',') AS requirements,
 CASE WHEN contains(lower(b), 'meet') OR contains(lower(b), 'call') THEN 'meeting_request' WHEN len({_SIGNALS_SQL}) > 0 THEN 'buying_signal' ELSE 'evaluation' END AS intent,
 (length(regexp_replace(b, '(?i)\\b(?:i will|i''ll|we will)\\b', '@@', 'g')) <> length(b) AND NOT regexp_matches(b, '(?i)\\b(?:i will|i''ll|we will)\\b\\s+meet\\b')) AS mine, regexp_matches(b, '{classify.OWED_TO_ME}') AS owed_to_me,
 regexp_matches(b, '{classify.MEETING}') AND NOT regexp_matches(b, '{_PAST_SQL}') AS meeting, CASE WHEN len({_SIGNALS_SQL}) > 0 THEN '1. Needs reply: ASAP' ELSE '1. Read only' END AS label
-FROM (SELECT o_orderkey, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)""")
-def body_analysis(s, d, below=1100):
+FROM {_said(_BODIES, 'b')}""")
+def body_analysis(s, d):
     """TX6-TX8, UD1: the deterministic analyzer."""
-    a = _bodies(s, d, below).select("o_orderkey", classify.analysis(F.col("b")).alias("a"))
+    a = _say(s, d, _BODIES, "b").select("conv_id", "turn", classify.analysis(F.col("b")).alias("a"))
     join = lambda c, n: F.array_join(F.col(c), ",").alias(n)
-    return a.select("o_orderkey", join("a.competitors", "competitors"), join("a.pain_points", "pains"), join("a.buying_signals", "signals"), join("a.requirements", "requirements"), "a.intent", "a.mine", "a.owed_to_me", "a.meeting", F.col("a.label_applied").alias("label"))
+    return a.select("conv_id", "turn", join("a.competitors", "competitors"), join("a.pain_points", "pains"), join("a.buying_signals", "signals"), join("a.requirements", "requirements"), "a.intent", "a.mine", "a.owed_to_me", "a.meeting", F.col("a.label_applied").alias("label"))
 
 
-whole("body_analysis", " WHERE o_orderkey < 1100")
-
 
 @query("""SELECT conv_id, turn, contains(text, '?') OR turn % 5 = 0 AS needs_reply FROM conversations""")
 def needs_reply(s, d):
@@ -207,91 +197,89 @@ def needs_reply(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", classify.needs_reply(F.col("text"), signals).alias("needs_reply"))
 
 
-@query(f"""SELECT o_orderkey, nullif(regexp_extract(b, '(?i)\\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b', 1), '') AS day, CASE WHEN NOT regexp_matches(b, '{classify.SCHEDULE}') THEN CASE WHEN regexp_matches(b, '{classify.VAGUE.replace("'", "''")}') THEN 'date and time' END
-WHEN NOT regexp_matches(b, '(?i)\\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow)\\b') THEN 'date' WHEN try_cast(nullif(regexp_extract(b, '(?i)\\b(\\d{{1,2}})(?::(\\d{{2}}))?\\s*(am|pm)?\\b', 1), '') AS INT) IS NULL THEN 'time' END AS asks FROM (SELECT o_orderkey, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)""")
-def meeting_clarification(s, d, below=1100):
+@query(f"""SELECT conv_id, turn, nullif(regexp_extract(b, '(?i)\\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b', 1), '') AS day, CASE WHEN NOT regexp_matches(b, '{classify.SCHEDULE}') THEN CASE WHEN regexp_matches(b, '{classify.VAGUE.replace("'", "''")}') THEN 'date and time' END
+WHEN NOT regexp_matches(b, '(?i)\\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow)\\b') THEN 'date' WHEN try_cast(nullif(regexp_extract(b, '(?i)\\b(\\d{{1,2}})(?::(\\d{{2}}))?\\s*(am|pm)?\\b', 1), '') AS INT) IS NULL THEN 'time' END AS asks FROM {_said(_BODIES, 'b')}""")
+def meeting_clarification(s, d):
     """TX11: which part of a meeting must be asked for."""
     b = F.col("b")
     asks = F.when(~b.rlike(classify.SCHEDULE), F.when(b.rlike(classify.VAGUE), "date and time")).when(~(b.rlike(dates.WEEKDAY) | b.rlike(dates.TOMORROW)), "date").when(dates.clock(b).isNull(), "time")
-    return _bodies(s, d, below).select("o_orderkey", F.nullif(F.regexp_extract(b, dates.WEEKDAY, 1), F.lit("")).alias("day"), asks.alias("asks"))
-
+    return _say(s, d, _BODIES, "b").select("conv_id", "turn", F.nullif(F.regexp_extract(b, dates.WEEKDAY, 1), F.lit("")).alias("day"), asks.alias("asks"))
 
-whole("meeting_clarification", " WHERE o_orderkey < 1100")
 
 
 @query()
 def meeting_times(s, d):
     """DT6: start and length of a proposed meeting, in minutes."""
-    return _bodies(s, d).select("o_orderkey", dates.clock(F.col("b")).alias("start_minute"), dates.duration(F.col("b")).alias("minutes"))
+    return _say(s, d, _BODIES, "b").select("conv_id", "turn", dates.clock(F.col("b")).alias("start_minute"), dates.duration(F.col("b")).alias("minutes"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'sales' WHEN c_nationkey % 3 = 0 THEN 'unknown' WHEN c_nationkey % 3 = 1 THEN 'internal' ELSE 'external' END AS class, CASE WHEN c_custkey % 4 = 0 THEN 'HIGH' WHEN c_custkey % 4 = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'sales' WHEN c_nationkey % 3 = 0 THEN 'unknown' WHEN c_nationkey % 3 = 1 THEN 'internal' ELSE 'customer' END AS class, CASE WHEN c_custkey % 4 = 0 THEN 'HIGH' WHEN c_custkey % 4 = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM customer""")
 def class_and_confidence(s, d):
     """TX12, TX15."""
-    pillar = F.when(F.col("c_custkey") % 5 == 0, "Sales")
+    pillar = F.when(F.col("c_custkey") % 5 == 0, " Sales").when(F.col("c_custkey") % 5 == 1, "Hiring")
     internal = F.when(F.col("c_nationkey") % 3 == 0, F.lit(None).cast("boolean")).otherwise(F.col("c_nationkey") % 3 == 1)
     shared = F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("t"))).otherwise(F.array().cast("array<string>"))
     return table(s, d, "customer").select("c_custkey", classify.meeting_class(pillar, internal).alias("class"), classify.confidence(shared, F.col("c_custkey") % 4 == 1).alias("confidence"))
 
 
-@query("""SELECT p_name, count(*)::BIGINT AS n, CASE WHEN count(DISTINCT p_brand) > 20 THEN 'AMBIGUOUS' WHEN min(p_size) < 2 THEN 'CONFLICT' WHEN max(p_size) < 49 THEN 'MANUAL' ELSE 'SAFE' END AS class FROM part GROUP BY 1""")
+@query("""WITH d AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'ash' WHEN 1 THEN 'ash allen' WHEN 2 THEN 'ashley' ELSE 'bo lee' END AS name, c_nationkey % 5 AS org, c_custkey % 6 = 0 AS conflict FROM customer),
+c AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'ash' WHEN 1 THEN 'ash allen' WHEN 2 THEN 'ashley' ELSE 'bo lee' END AS canonical, n_regionkey AS org FROM nation),
+n AS (SELECT id, name, org, conflict, count(*) AS targets, min(canonical) AS canonical FROM d JOIN c USING (org) WHERE split_part(name, ' ', 1) = split_part(canonical, ' ', 1) GROUP BY 1, 2, 3, 4)
+SELECT id, CASE WHEN targets > 1 THEN 'AMBIGUOUS' WHEN conflict THEN 'CONFLICT' WHEN name = 'ash' AND canonical <> 'ash' THEN 'MANUAL' ELSE 'SAFE' END AS class FROM n""")
 def candidate_classes(s, d):
-    """TX13, TX14."""
-    g = table(s, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_brand").alias("t"), F.min("p_size").alias("a"), F.max("p_size").alias("b"))
-    return g.select("p_name", "n", classify.candidate_class(F.when(F.col("t") > 20, 2).otherwise(1), F.col("a") < 2, F.col("b") < 49, F.lit(True)).alias("class"))
+    """TX13, TX14: duplicates against canonical people of one organization by first name."""
+    k = F.col("c_custkey")
+    name = lambda x: F.when(x % 4 == 0, "ash").when(x % 4 == 1, "ash allen").when(x % 4 == 2, "ashley").otherwise("bo lee")
+    one = table(s, d, "customer").select(k.alias("id"), F.split(name(k), " ").alias("a"), (F.col("c_nationkey") % 5).alias("org"), (k % 6 == 0).alias("conflict"))
+    two = table(s, d, "nation").select(F.split(name(F.col("n_nationkey")), " ").alias("b"), F.col("n_regionkey").alias("org"))
+    pairs = one.withColumn("first", F.get("a", F.lit(0))).join(two.withColumn("first", F.get("b", F.lit(0))), ["org", "first"])
+    g = pairs.groupBy("id", "a", "conflict").agg(F.count(F.lit(1)).alias("targets"), F.min("b").alias("b"))
+    return g.select("id", classify.candidate_class(F.col("targets"), F.col("conflict"), text.short_nickname(F.col("a"), F.col("b")), F.lit(True)).alias("class"))
 
 
 _PHRASE = "coalesce(" + ", ".join(f"nullif(regexp_extract(b, '{p}', 0), '')" for p in dates.PHRASES) + ")"
 
 
-@query(f"SELECT o_orderkey, {_PHRASE} AS phrase FROM (SELECT o_orderkey, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)")
-def date_phrases(s, d, below=1100):
+@query(f"SELECT conv_id, turn, {_PHRASE} AS phrase FROM {_said(_BODIES, 'b')}")
+def date_phrases(s, d):
     """DT2."""
-    return _bodies(s, d, below).select("o_orderkey", dates.date_phrase(F.col("b")).alias("phrase"))
+    return _say(s, d, _BODIES, "b").select("conv_id", "turn", dates.date_phrase(F.col("b")).alias("phrase"))
 
 
-whole("date_phrases", " WHERE o_orderkey < 1100")
 
-
-@query(f"""WITH p AS (SELECT o_orderkey, o_orderdate AS now, {_PHRASE} AS phrase FROM (SELECT o_orderkey, o_orderdate, {_B_SQL} AS b FROM orders WHERE o_orderkey < 1100)),
+@query(f"""WITH p AS (SELECT o_orderkey, o_orderdate AS now, {_PHRASE} AS phrase FROM (SELECT o_orderkey, o_orderdate, {_B_SQL} AS b FROM orders)),
 w AS (SELECT *, CASE lower(phrase) WHEN 'monday' THEN 1 WHEN 'tuesday' THEN 2 WHEN 'friday' THEN 5 END AS dow FROM p)
 SELECT o_orderkey, CASE WHEN phrase = 'June 5th' THEN CASE WHEN make_date(year(now), 6, 5) < CAST(now AS DATE) THEN make_date(year(now) + 1, 6, 5) ELSE make_date(year(now), 6, 5) END::TIMESTAMP
 WHEN phrase = 'tomorrow' THEN now + INTERVAL 1 DAY WHEN dow IS NOT NULL THEN now + to_days(CAST(CASE WHEN (dow - isodow(now) + 7) % 7 = 0 THEN 7 ELSE (dow - isodow(now) + 7) % 7 END AS INTEGER)) WHEN phrase = 'in 2 weeks' THEN now + INTERVAL 14 DAY END AS at,
 CASE WHEN phrase IS NULL THEN NULL WHEN phrase = 'June 5th' THEN 'stated' WHEN phrase = 'sometime' THEN 'window' ELSE 'inferred' END AS kind FROM w""")
-def date_phrase_resolution(s, d, below=1100):
+def date_phrase_resolution(s, d):
     """DT3."""
-    rows = _bodies(s, d, below).select("o_orderkey", "now", dates.date_phrase(F.col("b")).alias("phrase")).select("o_orderkey", dates.resolved_phrase(F.col("phrase"), F.col("now")).alias("r"))
+    rows = _bodies(s, d).select("o_orderkey", "now", dates.date_phrase(F.col("b")).alias("phrase")).select("o_orderkey", dates.resolved_phrase(F.col("phrase"), F.col("now")).alias("r"))
     return rows.select("o_orderkey", "r.at", "r.kind")
 
 
-whole("date_phrase_resolution", " WHERE o_orderkey < 1100")
-
 
 _BUSINESS = "(SELECT x FROM (SELECT unnest(generate_series(CAST(o_orderdate AS DATE) + 1, CAST(o_orderdate AS DATE) + 9, INTERVAL 1 DAY))::TIMESTAMP AS x) WHERE isodow(x) < 6 ORDER BY x LIMIT 1 OFFSET {})"
 
 
-@query(f"SELECT o_orderkey, {_BUSINESS.format(1)} AS two, {_BUSINESS.format(2)} AS three FROM orders WHERE o_orderkey < 2000")
-def business_days(s, d, below=2000):
+@query(f"SELECT o_orderkey, {_BUSINESS.format(1)} AS two, {_BUSINESS.format(2)} AS three FROM orders")
+def business_days(s, d):
     """DT4."""
     at = F.col("o_orderdate")
-    return under(table(s, d, "orders"), "o_orderkey", below).select("o_orderkey", dates.business_days_after(at, 2).alias("two"), dates.business_days_after(at, 3).alias("three"))
+    return table(s, d, "orders").select("o_orderkey", dates.business_days_after(at, 2).alias("two"), dates.business_days_after(at, 3).alias("three"))
 
 
-whole("business_days", " WHERE o_orderkey < 2000")
-
 
 @query(f"""SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN NULL WHEN o_custkey % 3 = 0 THEN 'internal' WHEN o_orderstatus = 'P' THEN 'client_open_window' ELSE 'client_fixed_date' END AS audience,
-CASE WHEN o_orderpriority <> '1-URGENT' THEN NULL WHEN o_custkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY WHEN o_orderstatus = 'P' THEN NULL ELSE {_BUSINESS.format(1)} END AS earliest FROM orders WHERE o_orderkey < 2000""")
-def follow_up_timing(s, d, below=2000):
+CASE WHEN o_orderpriority <> '1-URGENT' THEN NULL WHEN o_custkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY WHEN o_orderstatus = 'P' THEN NULL ELSE {_BUSINESS.format(1)} END AS earliest FROM orders""")
+def follow_up_timing(s, d):
     """DT5."""
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "owed_to_me").otherwise("mine")
     date_type = F.when(F.col("o_orderstatus") == "P", "window").otherwise("stated")
-    rows = under(table(s, d, "orders"), "o_orderkey", below)
+    rows = table(s, d, "orders")
     return rows.select("o_orderkey", dates.follow_up_timing(kind, date_type, F.col("o_orderdate"), F.col("o_custkey") % 3 == 0).alias("t")).select("o_orderkey", "t.audience", "t.earliest")
 
 
-whole("follow_up_timing", " WHERE o_orderkey < 2000")
-
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1998-06-17 10:00:00' AND o_orderstatus = 'O' THEN 'reminded' ELSE o_orderstatus END AS status, least(CAST(substr(o_orderpriority, 1, 1) AS INT) + 1, 4) AS next_level FROM orders WHERE CAST(substr(o_orderpriority, 1, 1) AS INT) <= 4""")
 def reminders_and_escalation(s, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The stages of a record, in order; FAILED stands outside the order.
-STAGES = "RECEIVED VALIDATED THREADED ANALYZED CONTEXT_BUILT KNOWLEDGE_PROCESSED ENTITIES_PROCESSED REPLY_PROCESSED MEETING_PROCESSED COMPLETED".split()
+STAGES = ["RECEIVED", "VALIDATED", "THREADED", "ANALYZED", "CONTEXT_BUILT", "KNOWLEDGE_PROCESSED", "ENTITIES_PROCESSED", "REPLY_PROCESSED", "MEETING_PROCESSED", "COMPLETED"]
 FAILED = "FAILED"
 
 

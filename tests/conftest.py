@@ -26,6 +26,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-DATA = "/root/testdata/sf0.001"
