@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.fs
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -213,11 +214,40 @@ def test_kneser_ney_matches_brute_force(spark, docs, texts):
         return (k - high[min(k, 3)]) / ctx[a][0] + sum(high[j] * ctx[a][j] for j in (1, 2, 3)) / ctx[a][0] * p1(w)
 
     assert math.isclose(sum(map(p1, c1)) + mass / (v + 1), 1)
+    want = {d: sum(math.log10(p2(a, x)) for a, x in zip(["<s>", *w], w, strict=False)) for d, w in words.items()}
     for r in queries.op5_lm_scores(spark, DATA).collect():
         w = words[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in c1 for x in w), n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert math.isclose(r.base_score, sum(math.log10((c1.get(x, 0) + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p2(a, x)) for a, x in zip(["<s>", *w], w, strict=False)), rel_tol=1e-9)
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9)
+    # other numbers of shards, and pairs of ids sorted as two numbers, change nothing
+    for shards, packed_below in ((1, 0), (7, 0), (7, kneserney.PACKED)):
+        assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in kneserney.modelled(docs, shards, packed_below).collect())
+
+
+def test_kneser_ney_files_on_other_folders(tmp_path, monkeypatch):
+    arrays = {"a": np.arange(5, dtype=np.uint64), "none": np.zeros(0, np.uint8), "b": np.array([2**40, 1], np.uint64)}
+    folder = kneserney.as_uri(str(tmp_path))
+    name = kneserney.put(folder, arrays)
+    assert kneserney.put(folder, arrays) != name
+    assert kneserney.as_uri("file:/x") == "file:///x" and kneserney.as_uri("hdfs://n/x") == "hdfs://n/x"
+    for remote in (False, True):
+        if remote:  # a file system that cannot be mapped
+            sub = pyarrow.fs.SubTreeFileSystem(str(tmp_path), pyarrow.fs.LocalFileSystem())
+            monkeypatch.setattr(kneserney, "located", lambda _: (sub, ""))
+        got = kneserney.get(folder, name)
+        assert got.keys() == arrays.keys() and all((got[k] == arrays[k]).all() and got[k].dtype == arrays[k].dtype for k in arrays)
+
+
+def test_runs_are_searched_like_sorted_arrays():
+    random.seed(2)
+    runs = [sorted(random.sample(range(50), random.randint(0, 9))) for _ in range(200)]
+    ends = np.cumsum(list(map(len, runs)))
+    flat, k = np.array([x for r in runs for x in r], np.uint64), np.array([random.randrange(200) for _ in range(2000)])
+    w = np.array([random.randrange(50) for _ in k], np.uint64)
+    got = kneserney.found_in_runs(flat, ends[k] - np.array(list(map(len, runs)))[k], ends[k], w)
+    for i, run, x in zip(got.tolist(), k.tolist(), w.tolist(), strict=True):
+        assert (i >= 0) == (x in runs[run]) and (i < 0 or flat[i] == x)
 
 
 def test_kneser_ney_odd_tables(spark, odd, clashing, empty):
@@ -344,6 +374,44 @@ def test_near_duplicates_odd_tables(odd, clashing, empty):
     assert kept.columns == clashing.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "None"]
 
 
+def test_near_duplicates_of_one_id_and_of_text_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, a + " more", "w"), (4, b, "v"), (5, "", "e"), (5, None, "f")], "doc_id long, text string, class string")
+    got = neardup.deduplicated(rows)
+    assert got.columns == rows.columns and sorted((r.doc_id, r.text or "")[0:2] for r in got.collect()) == [(1, a), (1, b), (5, ""), (5, "")]
+    assert sorted((r.doc_id, r.component_id) for r in neardup.linked(rows).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 5)]
+    named = spark.createDataFrame([("p/2", a), ("p/10", a), ("q", b), (None, b), ("r", a[:-4])], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in neardup.linked(named).collect()} == {"p/2": "p/10", "p/10": "p/10", "q": "q", None: None, "r": "p/10"}
+
+
+def test_small_sets_meet_in_no_bucket():
+    random.seed(11)
+    tables = [setsketch.sketch(setsketch.shingles(f"only {random.random()} {k}")) for k in range(3000)]
+    keys = collections.Counter(setsketch.band_keys(np.array(tables)).ravel().tolist())
+    assert max(keys.values()) <= 2 and np.array(tables).min() > 0
+
+
+def test_large_near_copy_groups_ask_only_for_the_rest(spark, monkeypatch):
+    """A group of copies of one text with edits of its own in each, some chained ones, more than a block."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(120):
+        words = list(base)
+        words[random.randrange(200)] = f"own{i}"
+        texts[i] = " ".join(words)
+    chain = list(base)
+    for i in range(200, 240):
+        k = (i * 11) % 200
+        chain[k : k + 2] = [f"c{i}", f"d{i}"]
+        texts[i] = " ".join(chain)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = linked_by_hand(texts)
+    assert near_rows(rows) == want
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    assert near_rows(rows) == want
+
+
 def test_setsketch_merges_and_estimates():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 3000).astype(np.uint64)
