@@ -1,6 +1,7 @@
 """SetSketch registers: exponentially spaced truncated minima of a set of 64-bit hashes.
 
-Register k is q = floor(1 - log_b x), where x is the least of the elements' k-th exponential hash values. Sketches of parts merge by
+Register k is q = floor(1 - log_b x) + SHIFT, where x is the least of the elements' k-th exponential hash values, from 2^-65 to 45. The
+shift keeps all of them within 16 bits, so that small sets are not truncated at 0 and do not meet there. Sketches of parts merge by
 the register-wise maximum. Two sets' registers agree with probability close to their Jaccard similarity (b is near 1), so tuples of
 registers are locality-sensitive; with both sizes known, the numbers of smaller, equal and larger registers give the most likely
 similarity.
@@ -14,7 +15,7 @@ import numpy as np
 import xxhash
 
 BASE, REGISTERS, BANDS, ROWS = 1.001, 160, 40, 4
-TOP = 65535
+TOP, SHIFT = 65535, 4096
 #: Odd multipliers, one a register, from a digest of its number.
 MULTIPLIERS = np.array([int.from_bytes(hashlib.sha256(b"register%d" % k).digest()[:8], "little") | 1 for k in range(REGISTERS)], np.uint64)
 #: Odd multipliers, one a place of a shingle.
@@ -55,7 +56,7 @@ def minima(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
 def registers_of(least: np.ndarray) -> np.ndarray:
     """Truncated exponents of the minima, as 16-bit numbers."""
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64 * (1 - 1e-16))
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
+    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)) + SHIFT, 0, TOP).astype(np.uint16)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
