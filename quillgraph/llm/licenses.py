@@ -1,23 +1,37 @@
-"""Licence scan: normalised text against licence templates by the Dice coefficient of word bigrams, in DataFrame functions only.
+"""Licence scan: licence texts, headers and notices anywhere in a text, by the Dice coefficient of word bigrams, in DataFrame functions only.
 
-Units are the lines of a text and, where it has several lines with words, the whole text. A unit is lower-cased, `licence` becomes
-`license`, and runs of other characters than letters and digits become one blank. Dice is 2 * common / (a + b) over distinct
-bigrams. A template can only reach the threshold t where its number of bigrams b and the unit's a satisfy
-t * a / (2 - t) <= b <= (2 - t) * a / t; others are pruned before any bigram is compared.
+A text is lower-cased, `licence` becomes `license`, and its words are its runs of letters and digits. A window is any run of words, so
+also within a paragraph or over lines. A template of b distinct bigrams is met where a window of at most (2 - t) * b / t bigrams has a
+Dice coefficient of t or more with it, over distinct bigrams. The best windows start and end with a bigram of the template, since
+others at an end only lower Dice; so each place of a template's bigram is tried as a start, and one fold from there gives its best end.
 
-Defined results: a null or empty text, or one without a unit of two words, matches nothing: n_hits 0, null names, best_dice 0.
-Ties of Dice go to the template that is first by name. Repeated rows and ids are scanned row by row; other columns are ignored.
-All work is done within a row: nothing is shuffled, joined or collected, so a hot source or group costs what its rows cost.
+Size bounds prune: a window that reaches t has t * b / (2 - t) of the template's bigrams. So it has a word of any set of words that
+meets more bigrams than may be missing (`cover`, of long words first): a text without one is left before a bigram is made. Templates
+are then tried only on texts that have that many of their bigrams.
+
+Of windows that overlap, the one with the most bigrams in common stays; then the higher Dice, the first name, the first start. So a
+licence's text wins over a notice that it quotes, and two licences that differ in a word are told apart.
+
+Defined results: a null or empty text, or one with fewer than two words, has n_hits 0, null names and best_dice 0; an empty table gives
+no row. Repeated rows and ids are scanned row by row; other columns are ignored. All work is done within a row: nothing is shuffled,
+joined or collected, so a hot source costs what its rows cost. Texts are scanned whole; a row that could meet a template of b bigrams
+costs m * b steps for m places of its bigrams, others one look at each word.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.html import STOP_WORDS
+
 THRESHOLD = 0.8
+#: Templates of up to so many bigrams are looked for together first.
+SHORT = 64
 
 # Short notices in common use.
 TEMPLATES = {
@@ -39,83 +53,161 @@ TEMPLATES = {
 }
 
 
+_GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+# The notices of the line scan, usual headers, and whole licences. A name ends at the slash.
+HEADERS = {
+    "Apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-2.0/header": _GPL.format(2),
+    "GPL-3.0/header": _GPL.format(3),
+    "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Proprietary/notice": "All rights reserved.",
+}
+
+
+@cache
+def texts() -> dict[str, str]:
+    """All templates by name: notices, headers and the licences beside this module."""
+    whole = {f"{p.stem}/text": p.read_text("utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+    whole["BSD-2-Clause/text"] = re.sub(r"3\. Neither.*?permission\.", "", whole["BSD-3-Clause/text"], flags=re.S)
+    return {f"{k.removesuffix('-text')}/{'notice' if not k.endswith('-text') else 'abridged'}": v for k, v in TEMPLATES.items()} | HEADERS | whole
+
+
+def bigrams(text: str) -> list[str]:
+    w = re.findall(r"[^\W_]+", text.lower().replace("licence", "license"))
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+
+
+def _literal(pairs: list[str]) -> Column:
+    return F.split(F.lit("|".join(pairs)), r"\|")
+
+
+def _literal(items: list[str]) -> Column:
+    return F.split(F.lit("|".join(items)), r"\|")
+
+
 def words_of(text: Column) -> Column:
     """Normalised words of a text."""
-    plain = F.regexp_replace(F.lower(text), "licence", "license")
-    return F.array_remove(F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), " "), "")
-
-
-def pairs_of(words: Column) -> Column:
-    """Distinct bigrams of an array of words; words must be a lambda variable or a plain column."""
-    return F.array_distinct(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w)))
-
-
-def templates(texts: dict[str, str] = TEMPLATES) -> Column:
-    """The templates as an array<struct<name, pairs>> literal, by name."""
-    rows = []
-    for name, text in sorted(texts.items()):
-        w = re.findall(r"[^\W_]+", text.lower().replace("licence", "license"))
-        bigrams = list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
-        rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, bigrams)).alias("pairs")))
-    return F.array(*rows)
-
-
-def scanned(docs: DataFrame, texts: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_hits (units with a match), licenses (their distinct names, sorted, joined by a comma), best_license, best_dice, best_unit."""
-    t, known = threshold, templates(texts)
-    fits = lambda n, b: (n > 0) & (b * (2 - t) >= t * n) & (b * t <= (2 - t) * n)
-    dice = lambda p, q: F.lit(2.0) * F.size(F.array_intersect(p, q)) / (F.size(p) + F.size(q))
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.split(text, "\n").alias("lines"), text.alias("text"))
-    units = F.when(F.size("lines") > 1, F.concat("lines", F.array("text"))).otherwise(F.col("lines"))
-    rows = rows.select("doc_id", F.transform(units, lambda u: F.struct(u.alias("unit"), words_of(u).alias("words"))).alias("units"))
-    rows = rows.select("doc_id", F.transform("units", lambda u: F.struct(u.unit.alias("unit"), pairs_of(u.words).alias("pairs"))).alias("units"))
-    matches = F.transform(
-        "units",
-        lambda u: F.struct(
-            u.unit.alias("unit"),
-            F.array_min(  # least distance, ties by name
-                F.transform(
-                    F.filter(known, lambda k: fits(F.size(u.pairs), F.size(k.pairs))),
-                    lambda k: F.struct((1 - dice(u.pairs, k.pairs)).alias("far"), k["name"].alias("name")),
-                )
-            ).alias("best"),
-        ),
-    )
-    rows = rows.select("doc_id", matches.alias("units"))
-    hits = rows.select("doc_id", F.filter("units", lambda u: u.best.far <= 1 - t).alias("hits"))
-    first = F.get(F.array_sort(F.transform("hits", lambda h: F.struct(h.best.far.alias("far"), h.best["name"].alias("name"), h.unit.alias("unit")))), F.lit(0))
-    hits = hits.select("doc_id", F.size("hits").alias("n_hits"), F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h.best["name"]))), ",").alias("licenses"), first.alias("top"))
-    return hits.select(
+    return F.array_remove(F.split(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), r"[^\p{L}\p{N}]+"), "")
+
+
+def least(b: int, t: float) -> int:
+    """How many of a template's b bigrams every window has that reaches t."""
+    return -int(-(b * t / (2 - t) - 1e-9) // 1)
+
+
+def cover(pairs: list[str], t: float = THRESHOLD) -> list[str]:
+    """Words of which every window has one that reaches t: they meet more of the bigrams than may be missing. Long, rare words first."""
+    met: dict[str, set[str]] = {}
+    for p in pairs:
+        for w in p.split():
+            met.setdefault(w, set()).add(p)
+    out, covered = [], set()
+    for w in sorted(met, key=lambda w: (w in STOP_WORDS, -min(len(w), 8), -len(met[w]), w)):
+        if len(covered) > len(pairs) - least(len(pairs), t):
+            break
+        if met[w] - covered:
+            covered |= met[w]
+            out.append(w)
+    return out
+
+
+def scanned(docs: DataFrame, known: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_hits (windows that stand), licenses (their distinct names, sorted, joined by a comma), best_license, best_dice, best_words."""
+    t = threshold
+    sets = {k: p for k, v in sorted((texts() if known is None else known).items()) if (p := bigrams(v))}
+    covers = {k: cover(p, t) for k, p in sets.items()}
+    short = {k: p for k, p in sets.items() if len(p) <= SHORT}
+    none = F.array().cast("array<string>")
+
+    def template(name: str) -> Column:
+        return F.struct(F.lit(name.split("/")[0]).alias("name"), _literal(sets[name]).alias("pairs"))
+
+    def enough(found: Column, name: str) -> Column:
+        return F.size(found) >= least(len(sets[name]), t)
+
+    rows = docs.select("doc_id", words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    rows = rows.select("doc_id", "words", F.array_intersect("words", _literal(sorted({w for c in covers.values() for w in c}))).alias("met"))
+    made = F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("words", i), w))
+    rows = rows.select("doc_id", "words", "met", F.when(F.size("met") > 0, made).otherwise(none).alias("all"))
+    rows = rows.select("*", F.when(F.size("met") > 0, F.array_intersect("all", _literal(list(dict.fromkeys(x for p in short.values() for x in p))))).otherwise(none).alias("few"))
+    own = lambda k: F.arrays_overlap("met", _literal(covers[k])) & enough(F.col("few" if k in short else "all"), k)
+    tried = [F.when(own(k) & enough(F.array_intersect("few" if k in short else "all", _literal(p)), k), template(k)) for k, p in sets.items()]
+    rows = rows.select("doc_id", "words", "all", F.when(F.size("met") > 0, F.array_compact(F.array(*tried))).alias("tried"))
+
+    def windows(k: Column) -> Column:
+        """The best window from each place of one template's bigrams, where it reaches the threshold."""
+        size = F.size(k.pairs)
+        longest = F.floor(size * ((2 - t) / t) + 1e-9).cast("int")
+
+        def place(w: Column, i: Column) -> Column:
+            # back: how far before it the same bigram is, within the longest window; 0 if it is not
+            first = F.greatest(i - longest + 1, F.lit(0))
+            return F.struct(i.alias("i"), F.array_contains(k.pairs, w).alias("own"), F.array_position(F.reverse(F.slice("all", first + 1, i - first)), w).alias("back"))
+
+        def step(s: Column, x: Column, start: Column) -> Column:
+            new = ((x.back == 0) | (x.i - x.back < start)).cast("int")
+            a, c = s.a + new, s.c + new * x.own.cast("int")
+            dice = F.lit(2.0) * c / (a + size)
+            better = dice > s.dice
+            return F.struct(a.alias("a"), c.alias("c"), F.when(better, dice).otherwise(s.dice).alias("dice"), F.when(better, c).otherwise(s.common).alias("common"), F.when(better, x.i).otherwise(s.end).alias("end"))
+
+        def best(places: Column, p: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(0).alias("common"), p.i.alias("end"))
+            return F.aggregate(F.slice(places, p.i + 1, longest), zero, lambda s, x: step(s, x, p.i), lambda s: F.struct((-s.common).alias("less"), (-s.dice).alias("far"), k["name"].alias("name"), p.i.alias("start"), s.end.alias("end")))
+
+        # an array of one, so that the places are made once
+        found = F.transform(F.array(F.transform("all", place)), lambda places: F.transform(F.filter(places, lambda x: x.own), lambda p: best(places, p)))
+        return F.filter(F.flatten(found), lambda h: h.far <= -t + 1e-12)
+
+    empty = "array<struct<less: int, far: double, name: string, start: int, end: int>>"
+    found = F.coalesce(F.array_sort(F.flatten(F.transform("tried", windows))), F.array().cast(empty))
+    rows = rows.select("doc_id", "words", found.alias("hits"))
+    kept = F.aggregate("hits", F.slice("hits", 1, 0), lambda s, h: F.when(F.exists(s, lambda x: (x.start <= h.end + 1) & (h.start <= x.end + 1)), s).otherwise(F.concat(s, F.array(h))))
+    # The zero is not deterministic, which keeps a later filter above this select: pushed below, it would repeat every window.
+    zero = F.monotonically_increasing_id().bitwiseAND(F.lit(0)).cast("int")
+    rows = rows.select("doc_id", "words", F.slice(kept, zero + 1, F.size("hits")).alias("hits"))
+    top = F.get("hits", F.lit(0))
+    return rows.select(
         "doc_id",
-        F.col("n_hits").cast("long").alias("n_hits"),
-        F.when(F.col("n_hits") > 0, F.col("licenses")).alias("licenses"),
-        F.col("top.name").alias("best_license"),
-        F.coalesce(1 - F.col("top.far"), F.lit(0.0)).alias("best_dice"),
-        F.col("top.unit").alias("best_unit"),
+        F.size("hits").cast("long").alias("n_hits"),
+        F.when(F.size("hits") > 0, F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"]))), ",")).alias("licenses"),
+        top["name"].alias("best_license"),
+        F.coalesce(-top.far, F.lit(0.0)).alias("best_dice"),
+        F.when(F.size("hits") > 0, F.array_join(F.slice("words", F.coalesce(top.start, F.lit(0)) + 1, F.coalesce(top.end - top.start, F.lit(0)) + 2), " ")).alias("best_words"),
     )
 
 
-def sql(texts: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same scan as DuckDB SQL."""
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in sorted(texts.items()))
-    norm = "list_filter(string_split(regexp_replace(replace(lower({0}), 'licence', 'license'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
-    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+def sql(threshold: float = THRESHOLD) -> str:
+    """The same scan as DuckDB SQL: all windows that start at a template's bigram, from the texts that have enough of its bigrams."""
+    t = threshold
+    rows = ", ".join("({}, '{}', '{}')".format(i, k.split("/")[0], v.replace("'", "''")) for i, (k, v) in enumerate(sorted(texts().items())))
+    norm = "list_filter(regexp_split_to_array(replace(lower({0}), 'licence', 'license'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     return f"""
-WITH templates AS (SELECT name, {pairs} AS q FROM (SELECT name, {norm.format("text")} AS w FROM (VALUES {rows}) v(name, text))),
-docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT *, string_split(text, chr(10)) AS lines FROM docs),
-units AS (SELECT rid, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, text) ELSE lines END) AS unit, unnest(range(CASE WHEN len(lines) > 1 THEN len(lines) + 1 ELSE 1 END)) AS k FROM lines),
-parts AS (SELECT rid, k, unit, {pairs} AS p FROM (SELECT *, {norm.format("unit")} AS w FROM units)),
-dice AS (
-  SELECT rid, k, unit, name, 1 - 2.0::DOUBLE * len(list_intersect(p, q)) / (len(p) + len(q)) AS far FROM parts JOIN templates
-  ON len(p) > 0 AND len(q) * (2 - {threshold}) >= {threshold} * len(p) AND len(q) * {threshold} <= (2 - {threshold}) * len(p)
+WITH RECURSIVE templates AS (SELECT tid, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS q FROM (SELECT tid, name, {norm.format("text")} AS w FROM (VALUES {rows}) v(tid, name, text))),
+tp AS (SELECT tid, name, len(q) AS b, floor(len(q) * (2 - {t}::DOUBLE) / {t} + 1e-9)::BIGINT AS longest, unnest(q) AS g FROM templates),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {norm.format("coalesce(text, '')")} AS w FROM documents),
+places AS (SELECT rid, pos, w[pos] || ' ' || w[pos + 1] AS g FROM (SELECT rid, w, unnest(range(1, len(w))) AS pos FROM docs)),
+occ AS (SELECT *, lag(pos) OVER (PARTITION BY rid, g ORDER BY pos) AS prev FROM places),
+cand AS (SELECT rid, tid FROM occ JOIN tp USING (g) WHERE prev IS NULL GROUP BY rid, tid, b HAVING count(*) * (2 - {t}::DOUBLE) >= {t} * b - 1e-9),
+own AS (SELECT rid, tid, pos, name, b, longest FROM cand JOIN tp USING (tid) JOIN occ USING (rid, g)),
+ends AS (
+  SELECT s.rid, s.tid, s.name, s.b, s.pos AS s, o.pos AS e, sum(CASE WHEN coalesce(o.prev, 0) < s.pos THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN coalesce(o.prev, 0) < s.pos AND x.pos IS NOT NULL THEN 1 ELSE 0 END) OVER w AS c
+  FROM own s JOIN occ o ON o.rid = s.rid AND o.pos BETWEEN s.pos AND s.pos + s.longest - 1 LEFT JOIN own x ON x.rid = s.rid AND x.tid = s.tid AND x.pos = o.pos
+  WINDOW w AS (PARTITION BY s.rid, s.tid, s.pos ORDER BY o.pos)
+),
+best AS (SELECT rid, name, s, e, c, 2.0::DOUBLE * c / (a + b) AS dice FROM ends QUALIFY row_number() OVER (PARTITION BY rid, tid, s ORDER BY 2.0::DOUBLE * c / (a + b) DESC, e) = 1),
+hits AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY c DESC, dice DESC, name, s, e) AS k FROM best WHERE dice >= {t}::DOUBLE - 1e-12),
+stands(rid, k, kept) AS (
+  SELECT rid, 1::BIGINT, [k] FROM hits WHERE k = 1
+  UNION ALL SELECT h.rid, h.k, CASE WHEN EXISTS (SELECT 1 FROM hits x WHERE x.rid = h.rid AND list_contains(r.kept, x.k) AND x.s <= h.e + 1 AND h.s <= x.e + 1) THEN r.kept ELSE list_append(r.kept, h.k) END
+  FROM stands r JOIN hits h ON h.rid = r.rid AND h.k = r.k + 1
 ),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid, k ORDER BY far, name) AS n FROM dice) WHERE n = 1 AND far <= 1 - {threshold}::DOUBLE),
 found AS (
-  SELECT rid, count(*) AS n_hits, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses,
-    first(name ORDER BY far, name, unit) AS best_license, 1 - min(far) AS best_dice, first(unit ORDER BY far, name, unit) AS best_unit FROM best GROUP BY rid
+  SELECT r.rid, any_value(len(r.kept)) AS n_hits, string_agg(DISTINCT h.name, ',' ORDER BY h.name) AS licenses, arg_min(h.name, h.k) AS best_license, arg_min(h.dice, h.k) AS best_dice, arg_min(h.s, h.k) AS s, arg_min(h.e, h.k) AS e
+  FROM (SELECT rid, arg_max(kept, k) AS kept FROM stands GROUP BY rid) r JOIN hits h ON h.rid = r.rid AND list_contains(r.kept, h.k) GROUP BY r.rid
 )
-SELECT doc_id, coalesce(n_hits, 0)::BIGINT AS n_hits, licenses, best_license, coalesce(best_dice, 0.0)::DOUBLE AS best_dice, best_unit
+SELECT doc_id, coalesce(n_hits, 0)::BIGINT AS n_hits, licenses, best_license, coalesce(best_dice, 0.0)::DOUBLE AS best_dice, array_to_string(list_slice(w, s, e + 1), ' ') AS best_words
 FROM docs LEFT JOIN found USING (rid)"""

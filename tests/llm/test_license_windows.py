@@ -2,7 +2,8 @@
 
 import random
 
-from quillgraph.llm import licenses, licensewindows as lw
+import duckdb
+from quillgraph.llm import licenses as lw
 
 
 def brute(text, known, t=0.8):
@@ -34,8 +35,19 @@ def test_whole_texts_headers_and_wrapped_notices(spark):
     rows = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     got = {r.doc_id: r.licenses for r in lw.scanned(rows).collect()}
     assert [got[i] for i in range(13)] == ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MIT", "CC-BY-NC-4.0", "Proprietary", None, None, None, None, "GPL-2.0,MIT"]
-    old = {r.doc_id: r.licenses for r in licenses.scanned(rows).collect()}
-    assert old[0] is old[4] is old[6] is old[7] is None  # what the line scan can't meet
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(t)))
+    want = con.execute(lw.sql())
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in lw.scanned(rows).collect())
+
+
+def test_covers_are_necessary():
+    for name, body in lw.texts().items():
+        pairs = lw.bigrams(body)
+        words = set(lw.cover(pairs))
+        assert sum(not words & set(p.split()) for p in pairs) < lw.least(len(pairs), 0.8), name
 
 
 def test_windows_equal_all_runs(spark):
@@ -60,3 +72,5 @@ def test_windows_equal_all_runs(spark):
 
 def test_odd_tables(odd, clashing, empty):
     assert lw.scanned(empty).count() == 0 and lw.scanned(odd).count() == lw.scanned(clashing).count() == 10
+    got = {r.doc_id: (r.n_hits, r.licenses, r.best_license, r.best_dice) for r in lw.scanned(clashing).collect()}
+    assert set(got.values()) == {(0, None, None, 0.0)}

@@ -12,7 +12,7 @@ import pyarrow.fs
 import public_tokenizers as P
 import pytest
 import tiktoken
-from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, licenses, neardup, packing, quality, queries, setsketch, urlfilter
+from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, neardup, packing, quality, queries, setsketch, urlfilter
 from tokenizers import Tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -484,18 +484,3 @@ def test_ngrams_by_hand():
     codes = collections.Counter(langid.ngrams(text).tolist())
     of = lambda s: sum(0 if ch == "_" else ord(ch) << 21 * (len(s) - 1 - i) for i, ch in enumerate(s))
     assert codes == collections.Counter(map(of, ["a", "b", "c", "_a", "ab", "b_", "_c", "c_", "_ab", "ab_", "_c_"]))
-
-
-# 10 licences
-
-
-def test_license_scan(spark, odd, clashing, empty):
-    t = [
-        "Some words.\nReleased under the MIT Licence.\nMore.", "licensed under the apache license version 2.0", "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.", "Licensed to drive.", None, "",
-        "Released under the MIT License. " * 5,
-    ]
-    rows = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
-    got = {r.doc_id: (r.licenses, r.best_dice >= 0.8) for r in licenses.scanned(rows).collect()}
-    assert got[0] == ("MIT", True) and got[1] == ("Apache-2.0", True) and got[2] == ("CC-BY-NC-4.0,GPL-3.0", True) and got[6][0] == "MIT"
-    assert got[3] == got[4] == got[5] == (None, False)
-    assert licenses.scanned(empty).count() == 0 and licenses.scanned(odd).count() == licenses.scanned(clashing).count() == 10
