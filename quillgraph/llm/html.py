@@ -3,20 +3,28 @@
 Pass 1 cuts the page into blocks at block-level tags and labels each by its words, its share of stop words and its share of linked
 characters: good, bad, near (some stop words) or short. Blocks inside menus, headers, footers, side bars, notices, adverts, forms,
 comments and the like are bad by their place. Pass 2 gives every undecided block the label of its nearest decided neighbours: two
-that agree decide; where they differ, the nearer one; at the same distance a near block is good and a short one bad. A heading is
-kept where the next decided block is good.
-
-Defined results: null or empty html, or html without a good block, gives an empty text and 0. Broken markup is read as far as it
-goes: an unclosed tag ends with the page, a stray end tag is ignored. Character references are decoded once. Repeated rows and
-ids are read row by row; other columns are ignored. Pages are read whole, in time linear in their length.
+that agree decide; where they differ, the one with the same parent element, then the nearer one; at the same distance a near block is
+good and a short one bad. A heading is kept where the next decided block is good.
+
+Place: an element's tag, or a word of its class, id or role. A word of a class is passed over where another class of the element names
+the article itself (`post-content share-enabled`). Where marked articles (`article`, `main`) hold at least half of the good text, their
+bounds count as good neighbours and blocks outside them as bad; where they hold less (teasers), the marks are not looked at.
+
+Defined results: null or empty html gives an empty text and 0; html without a good block, its undecided ones; an empty table gives
+no row. Broken
+markup is read as far as it goes: an unclosed tag ends with the page, a stray end tag is ignored. Character references are decoded
+once. Repeated rows and ids are read row by row; other columns are ignored. Pages are read whole, in time linear in their length, but
+that a tag left open costs its own closing.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,8 +94,9 @@ def beside(attributes: str) -> bool:
         value = a or b or c
         name = name.lower()
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in SPLIT.split(value)}
-            if words & (ROLE_WORDS - {"header"} if words & OWN_WORDS else ROLE_WORDS):
+            parts = [{w.lower() for w in SPLIT.split(x)} for x in value.split()]
+            named = [bool(words & (ROLE_WORDS - {"header"} if words & OWN_WORDS else ROLE_WORDS)) for words in parts]
+            if any(named) and not any(words & OWN_WORDS and not bad for words, bad in zip(parts, named, strict=True)):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -95,35 +104,47 @@ def beside(attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("heading", "linked", "marked", "parts", "place_bad")
+    __slots__ = ("heading", "home", "linked", "marked", "parts", "place_bad")
 
-    def __init__(self, place_bad: bool = False, heading: bool = False, marked: bool = False):
+    def __init__(self, place_bad: bool = False, heading: bool = False, marked: bool = False, home: int = 0):
         self.parts: list[str] = []
-        self.linked, self.place_bad, self.heading, self.marked = 0, place_bad, heading, marked
+        self.linked, self.place_bad, self.heading, self.marked, self.home = 0, place_bad, heading, marked, home
 
     def text(self) -> str:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
+class Element(NamedTuple):
+    """An open element: its name, whether it is bad by place, skipped, in an article, in a heading, and the numbers of its innermost block element and of that one's parent."""
+
+    name: str
+    bad: bool = False
+    skipped: bool = False
+    marked: bool = False
+    heading: bool = False
+    block: int = 0
+    home: int = 0
+
+
 def blocks(page: str) -> list[tuple[str, Block]]:
     """Blocks of the page in order, each with its text; none is empty."""
     out: list[tuple[str, Block]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, bad by place, skipped, in an article
-    links = 0
-    now = Block()
+    root = Element("")
+    stack: list[Element] = []
+    open_: Counter[str] = Counter()  # names on the stack
+    now, number = Block(), 0
 
     def close() -> None:
         nonlocal now
         if now.parts and (text := now.text()):
             out.append((text, now))
-        top = stack[-1] if stack else ("", False, False, False)
-        now = Block(top[1], any(s[0] in HEADINGS for s in stack[-3:]), top[3])
+        top = stack[-1] if stack else root
+        now = Block(top.bad, top.heading, top.marked, top.home)
 
     def pop(name: str) -> None:
-        nonlocal links
         while stack:
-            top = stack.pop()[0]
-            links -= top == "a"
+            top = stack.pop().name
+            open_[top] -= 1
             if top == name:
                 return
 
@@ -131,9 +152,9 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     while at <= end:
         m = TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
-        if piece and not (stack and stack[-1][2]):
+        if piece and not (stack and stack[-1].skipped):
             now.parts.append(piece)
-            if links:
+            if open_["a"]:
                 now.linked += len("".join(piece.split()))
         if not m:
             break
@@ -143,7 +164,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             continue
         block = name in BLOCK_TAGS
         if m[1]:  # an end tag
-            if any(s[0] == name for s in reversed(stack)):
+            if open_[name]:
                 pop(name)
             if block:
                 close()
@@ -155,16 +176,19 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if block:
                 close()
             continue
-        if name in ENDS_P and any(s[0] == "p" for s in stack[-8:]):
+        if name in ENDS_P and open_["p"]:
             pop("p")
-        if name in AUTO_END and stack and stack[-1][0] in AUTO_END[name]:
-            pop(stack[-1][0])
-        if name == "body" and any(s[0] == "head" for s in stack):
+        if name in AUTO_END and stack and stack[-1].name in AUTO_END[name]:
+            pop(stack[-1].name)
+        if name == "body" and open_["head"]:
             pop("head")
-        _, bad, skipped, marked = stack[-1] if stack else ("", False, False, False)
-        away = name in ASIDE and not (name == "header" and marked) or name not in PAGE and m[3] and beside(m[3])
-        stack.append((name, bad or bool(away), skipped or name in SKIPPED or bool(away and not block), marked or name in ("article", "main")))
-        links += name == "a"
+        up = stack[-1] if stack else root
+        away = name in ASIDE and not (name == "header" and up.marked) or name not in PAGE and m[3] and beside(m[3])
+        number += 1
+        heading = name in HEADINGS or up.heading and not block
+        place = (number, up.block) if block else (up.block, up.home)
+        stack.append(Element(name, up.bad or bool(away), up.skipped or name in SKIPPED or bool(away and not block), up.marked or name in ("article", "main"), heading, *place))
+        open_[name] += 1
         if block:
             close()
         if name in RAW_END:
@@ -193,27 +217,31 @@ def label(text: str, block: Block) -> str:
     return NEAR if share >= SOME_STOPS else SHORT_BLOCK
 
 
-def inherited(labels: list[str], headings: list[bool], ends: str) -> list[bool]:
-    """Pass 2: which blocks are kept. `ends` is the label that stands before the first and after the last block."""
-    if ends == BAD and not any(x in (GOOD, BAD) for x in labels):
-        ends = GOOD  # nothing is decided: the page is its few words
-    left, last = [], (1, ends)
-    for x in labels:
-        last = (0, x) if x in (GOOD, BAD) else (last[0] + 1, last[1])
-        left.append(last)
-    right, last = [], (1, ends)
-    for x in reversed(labels):
-        last = (0, x) if x in (GOOD, BAD) else (last[0] + 1, last[1])
-        right.append(last)
-    right.reverse()
+def inherited(labels: list[str], headings: list[bool], ends: str, homes: list[int] | None = None) -> list[bool]:
+    """Pass 2: which blocks are kept. `ends` is the label that stands before the first and after the last block; homes are parents."""
+    homes = homes or [0] * len(labels)
+    if ends == BAD and GOOD not in labels:
+        return [x != BAD for x in labels]  # no neighbour to inherit from: the page is its few words
+
+    def nearest(rows: list[tuple[str, int]]) -> list[tuple[int, str, int]]:
+        """Distance, label and home of the last decided block up to each."""
+        out, last = [], (1, ends, -1)
+        for x, home in rows:
+            last = (0, x, home) if x in (GOOD, BAD) else (last[0] + 1, *last[1:])
+            out.append(last)
+        return out
+
+    rows = list(zip(labels, homes, strict=True))
     kept = []
-    for x, heading, (a, before), (b, after) in zip(labels, headings, left, right, strict=True):
+    for x, heading, home, (a, before, one), (b, after, two) in zip(labels, headings, homes, nearest(rows), nearest(rows[::-1])[::-1], strict=True):
         if x in (GOOD, BAD):
             kept.append(x == GOOD)
         elif before == after:
             kept.append(after == GOOD)
         elif heading and after == GOOD:
             kept.append(True)
+        elif (home == one) != (home == two):
+            kept.append((before if home == one else after) == GOOD)
         elif a != b:
             kept.append((before if a < b else after) == GOOD)
         else:
@@ -222,12 +250,15 @@ def inherited(labels: list[str], headings: list[bool], ends: str) -> list[bool]:
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page. Where the page marks an article, only blocks inside it count, and its bounds are good neighbours."""
+    """The main text of a page."""
     found = blocks(page) if page else []
-    marked = any(b.marked and not b.place_bad for _, b in found)
+    labels = [label(t, b) for t, b in found]
+    good = lambda marked: sum(len(t) for (t, b), x in zip(found, labels, strict=True) if x == GOOD and b.marked >= marked)
+    inside = [b.marked and not b.place_bad for _, b in found]
+    marked = any(inside) and 2 * good(True) >= good(False)
     if marked:
-        found = [(t, b) for t, b in found if b.marked and not b.place_bad]
-    kept = inherited([label(t, b) for t, b in found], [b.heading for _, b in found], GOOD if marked else BAD)
+        found, labels = [x for x, i in zip(found, inside, strict=True) if i], [x for x, i in zip(labels, inside, strict=True) if i]
+    kept = inherited(labels, [b.heading for _, b in found], GOOD if marked else BAD, [b.home for _, b in found])
     return "\n".join(t for (t, _), keep in zip(found, kept, strict=True) if keep)
 
 
