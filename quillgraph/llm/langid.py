@@ -6,7 +6,7 @@ profile length where the profile lacks it. The language with the least sum wins;
 
 Defined results: a null text, or one without a letter, gives `und` with score 0. With no labelled row at all every document is
 `und`. Rows are scored one by one, so repeated rows and repeated ids give repeated results; other columns are ignored. A null id
-belongs to the held-out part. Whole texts are used, whatever their length.
+belongs to the held-out part. Whole texts are used, whatever their length. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_of_id, small_batches, written
+from quillgraph.llm.common import crc_of_id, small_batches
 
 #: Entries of a profile, and the number of documents of a language whose n-grams are counted (expected; rows are picked by hash).
 PROFILE = 300
 SAMPLE_PER_LANG = 2000
 UND = "und"
+BLANK = 32
 #: The least score that the pipeline accepts.
 LEAST = 0.05
 
@@ -35,15 +36,14 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Codes of the text's n-grams, 21 bits a code point; empty if the text has no letter. Code point 0 is the blank."""
+    """Codes of the text's n-grams, 21 bits a code point; empty if the text has no letter. A blank has its own code point, which no letter has."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where(letters()[points], points, 0)
-    points = np.concatenate(([0], points, [0]))
-    points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]  # one blank between words
+    points = np.concatenate(([BLANK], np.where(letters()[points], points, BLANK), [BLANK]))
+    points = points[np.concatenate(([True], (points[1:] != BLANK) | (points[:-1] != BLANK)))]  # one blank between words
     if len(points) < 2:
         return points[:0]
-    one, two = points[points != 0], points[:-1] << 21 | points[1:]
-    inner = points[1:-1] != 0  # no blank in the middle
+    one, two = points[points != BLANK], points[:-1] << 21 | points[1:]
+    inner = points[1:-1] != BLANK  # no blank in the middle
     three = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inner]
     return np.concatenate((one, two, three))
 
@@ -56,33 +56,32 @@ def ranked(text: str, size: int) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in sorted(set(langs)):
-            found = [ngrams(t) for at, t in zip(langs, texts, strict=True) if at == lang and t]
-            if found:
-                codes, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
+        if not batch.num_rows:
+            continue
+        langs = batch.column(0).dictionary_encode()
+        order = np.argsort(of := langs.indices.to_numpy(), kind="stable")
+        texts = batch.column(1).take(pa.array(order)).to_pylist()
+        edges = np.searchsorted(of[order], np.arange(len(langs.dictionary) + 1)).tolist()
+        for lang, a, b in zip(langs.dictionary.to_pylist(), edges[:-1], edges[1:], strict=True):
+            codes, counts = np.unique(np.concatenate([ngrams(t) for t in texts[a:b]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
 
 def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE_PER_LANG) -> dict[str, list[int]]:
-    """Profiles from docs(doc_id, text, lang): one list of n-gram codes a language.
+    """Profiles from docs(doc_id, text, lang): one list of n-gram codes a language, all from one job.
 
     About `sample` documents of a language are read, those of least hashed id (all where it has fewer). What comes to the driver is
-    a count a language and `size` codes a language.
+    the model: `size` codes a language, in order.
     """
     rows = small_batches(docs).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
+    shares = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / 2.0**53
-    picked = rows.where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counts = written(picked.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "langid")
-    best = {}
-    for lang in sorted(sizes):
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(size).select("code").collect()
-        if top:
-            best[lang] = [r["code"] for r in top]
+    picked = rows.withColumn("place", place).join(shares, "lang").where("place < share").select("lang", "text")
+    counts = picked.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")).alias("place")
+    best: dict[str, list[int]] = {}
+    for r in sorted(counts.select("lang", "code", place).where(F.col("place") <= size).collect(), key=lambda r: (r["lang"], r["place"])):
+        best.setdefault(r["lang"], []).append(r["code"])
     return best
 
 

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import html.parser as html_parser
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ import pyarrow.fs
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, neardup, packing, quality, queries, setsketch, urlfilter
 from tokenizers import Tokenizer
 
@@ -57,6 +60,70 @@ def test_html_marked_article_and_odd_pages():
     assert len(html.extract("<article>" + "<p>the word of the day is one</p>" * 20_000 + "</article>").split("\n")) == 20_000
 
 
+class Marked(html_parser.HTMLParser):
+    """The blocks of the marked article, by the standard library's parser."""
+
+    ENDS = {"p", "h1", "h2", "h3", "li", "ul", "ol", "div", "table", "tr", "td", "blockquote", "pre", "article", "section", "figure", "figcaption", "aside", "nav", "form", "footer"}
+    OUT = {"aside", "nav", "form", "footer", "script", "style", "button", "noscript"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out, self.found, self.now = 0, 0, [], ""
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join(self.now.split()):
+            self.found.append(text)
+        self.now = ""
+
+    def handle_starttag(self, tag, attributes):
+        if tag in self.ENDS:
+            self.end()
+        if tag == "br":
+            self.now += " "
+        self.inside += tag == "article"
+        if self.inside and (self.out or tag in self.OUT or html.beside(" ".join(f'{k}="{v}"' for k, v in attributes))) and tag not in html.VOID:
+            self.out += 1
+
+    def handle_endtag(self, tag):
+        if tag in self.ENDS:
+            self.end()
+        self.out -= bool(self.out)
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.now += data
+
+
+def test_html_matches_the_marked_articles(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    texts = [html.extract(p) for p in pages]
+    assert sum(t == "\n".join(Marked(p).found) for t, p in zip(texts, pages, strict=True)) >= 0.97 * len(pages)
+    unmarked = [html.extract(re.sub("<(/?)article", r"<\1div", p)) for p in pages]  # the density rules alone
+    assert sum(map(str.__eq__, texts, unmarked)) >= 0.95 * len(pages)
+
+
+def test_html_place_by_compound_classes_and_teasers():
+    body = "<p>" + " the story of the man who was in the house on the hill and what he did there" * 3 + "</p>"
+    for name in ("post-content share-enabled", "article tags-3", "entry related-off", "post-content"):
+        assert len(html.extract(f"<div class='{name}'>{body}</div>")) > 200
+    for name in ("related-posts", "comment-content", "sidebar", "share", "cookie notice"):
+        assert html.extract(f"<div>{body}</div><div class='{name}'>{body}</div>").count("story") == 3
+    teasers = "<article class=teaser><h2>One</h2><p>More of it</p></article>" * 3
+    assert "Title\nthe story" in html.extract(f"{teasers}<div><h1>Title</h1>{body}{body}</div>")
+
+
+def test_html_deep_markup():
+    inner = "<b>" * 30 + "x" + "<p>the word of the day is one that we know</p>"
+    assert html.extract(f"<p class=notice>{inner}") == "the word of the day is one that we know"
+    deep = "<div>" * 40_000 + "the word" + "</i>" * 40_000 + "</div>" * 40_000
+    began = time.monotonic()
+    assert html.extract(deep) == "the word" and time.monotonic() - began < 5
+
+
 def test_html_query_keeps_every_page(spark):
     out = queries.op1_html_text(spark, DATA)
     assert out.count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
@@ -131,12 +198,15 @@ def test_url_rules_by_hand(spark):
         "https://a.EXAMPLE.org/es/1": ("a.example.org", "/es/1", "example.org/es/", "block"), "http://example.org/en/12?x": ("example.org", "/en/12", "example.org/en/1", "block"), "http://example.org/en/2": ("example.org", "/en/2", "org/", "allow"),
         "http://x.com/fr/1#t": ("x.com", "/fr/1", "com/fr/", "allow"), "http://x.com/de/": ("x.com", "/de/", "com/de/", "block"), "http://x.com/en/": ("x.com", "/en/", None, "allow"), "ftp://org": ("org", "", None, "allow"),
         "http://m.cheap-pills.example.com/en/1": ("m.cheap-pills.example.com", "/en/1", None, "block"), "http://notcheap-pills.example.com/": ("notcheap-pills.example.com", "/", None, "allow"), "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"),
-        "://?x": ("", "", None, "allow"), "http://" + "a." * 3000 + "org/": ("a." * 3000 + "org", "/", "org/", "allow"),
+        "http://CASINO-win.example.net/": ("casino-win.example.net", "/", None, "block"), "http://casino.example.net/": ("casino.example.net", "/", None, "allow"), "://?x": ("", "", None, "allow"), "http://" + "a." * 3000 + "org/": ("a." * 3000 + "org", "/", "org/", "allow"),
     }
     rows = spark.createDataFrame([(k, u, "x") for k, u in enumerate(cases)], "page_id long, url string, rule string")
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judged(rows).collect()}
     assert got == cases
     assert urlfilter.judged(rows.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "http://x.com/de/"), (None, "http://x.com/de/"), (1, None), (1, "")], "page_id long, url string")
+    for most in (urlfilter.MAX_BYTES, 1):
+        assert sorted(map(str, urlfilter.judged(odd, max_bytes=most).select("page_id", "verdict").collect())) == ["Row(page_id=1, verdict='allow')"] * 2 + ["Row(page_id=None, verdict='block')"] * 2
     assert urlfilter.judged(rows, rules=(), listed=urlfilter.LISTED).where("rule is not null").count() == 0
 
 
@@ -469,6 +539,44 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_profiles_and_distances_by_hand(spark):
+    """Counts, ranks and out-of-place sums in plain Python."""
+    random.seed(12)
+    syllables = {"aa": "ka lo mi ru", "bb": "sch ei ung ver", "cc": "tion re les ka"}
+    rows = [(i, " ".join("".join(random.choices(syllables[lang].split(), k=random.randint(1, 4))).title() for _ in range(30)), lang) for i, lang in enumerate(list(syllables) * 12)]
+    rows += [(100, "Kalo 12 miru!", None), (101, "", "aa"), (102, "123", "bb"), (103, None, "cc")]
+
+    def grams(text):
+        out = []
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f"_{word}_"
+            out += [*word, *(padded[i : i + 2] for i in range(len(padded) - 1)), *(padded[i : i + 3] for i in range(len(padded) - 2))]
+        return out
+
+    def code(g):
+        return sum((32 if ch == "_" else ord(ch)) << 21 * (len(g) - 1 - i) for i, ch in enumerate(g))
+
+    def ranked(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][: langid.PROFILE]
+
+    learned = collections.defaultdict(collections.Counter)
+    for i, text, lang in rows:
+        if lang and text and zlib.crc32(str(i).encode()) % 3 != 1:
+            learned[lang].update(grams(text))
+    profiles = {lang: ranked(c) for lang, c in learned.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identified(table).collect()}
+    assert {lang: list(map(code, p)) for lang, p in profiles.items()} == langid.learn(table.where(~langid.held_out(F.col("doc_id"))))
+    for i, text, _ in rows:
+        own = ranked(collections.Counter(grams(text or "")))
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        far = {lang: sum(abs(p.index(g) - k) if g in p else langid.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i].lang_pred == best and math.isclose(got[i].score, 1 - far[best] / (langid.PROFILE * len(own)))
+
+
 def test_language_odd_tables(odd, clashing, empty):
     assert langid.identified(empty).count() == 0
     got = {r.doc_id: r for r in langid.identified(odd).collect()}
@@ -482,5 +590,5 @@ def test_language_odd_tables(odd, clashing, empty):
 def test_ngrams_by_hand():
     text = "Ab, c"
     codes = collections.Counter(langid.ngrams(text).tolist())
-    of = lambda s: sum(0 if ch == "_" else ord(ch) << 21 * (len(s) - 1 - i) for i, ch in enumerate(s))
+    of = lambda s: sum((32 if ch == "_" else ord(ch)) << 21 * (len(s) - 1 - i) for i, ch in enumerate(s))
     assert codes == collections.Counter(map(of, ["a", "b", "c", "_a", "ab", "b_", "_c", "c_", "_ab", "ab_", "_c_"]))
