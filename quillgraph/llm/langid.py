@@ -68,15 +68,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE_PER_LANG) -> dict[str, list[int]]:
-    """Profiles from docs(doc_id, text, lang): one list of n-gram codes a language, all from one job.
+    """Profiles from docs(doc_id, text, lang): one list of n-gram codes a language.
 
     About `sample` documents of a language are read, those of least hashed id (all where it has fewer). What comes to the driver is
-    the model: `size` codes a language, in order.
+    a count of each language with more documents than that, and the model: `size` codes a language, in order. No text is shuffled.
     """
     rows = small_batches(docs).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / 2.0**53
-    picked = rows.withColumn("place", place).join(shares, "lang").where("place < share").select("lang", "text")
+    large = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > sample).collect()}
+    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for lang, n in large.items() for x in (lang, sample / n)]), F.col("lang")), F.lit(1.0)) if large else F.lit(1.0)
+    picked = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / 2.0**53 < share).select("lang", "text")
     counts = picked.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")).alias("place")
     best: dict[str, list[int]] = {}
