@@ -100,10 +100,6 @@ def domains_in(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(emails_in(c), lambda e: F.split_part(e, F.lit("@"), F.lit(2)))))
 
 
-def fingerprint(*parts: Column) -> Column:
-    return F.concat_ws("_", *parts)
-
-
 def short_nickname(name: Column, other: Column) -> Column:
     """`name` is a single token of at most three letters, and `other` is not that token alone. Both are arrays of distinct tokens."""
     return (F.size(name) == 1) & (F.length(F.get(name, F.lit(0))) <= 3) & ~((F.size(other) == 1) & F.arrays_overlap(name, other))

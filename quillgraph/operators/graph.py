@@ -114,3 +114,9 @@ def edges(*parts: tuple[str, DataFrame, Column, Column]) -> DataFrame:
     """(label, a, b): direct edges of several kinds as one relation; a part is (label, rows, from, to)."""
     made = [d.select(F.lit(label).alias("label"), a.cast("string").alias("a"), b.cast("string").alias("b")).where("a is not null and b is not null") for label, d, a, b in parts]
     return reduce(DataFrame.unionByName, made).distinct()
+
+
+def sourced_edges(*parts: tuple[str, DataFrame, Column, Column, Column]) -> DataFrame:
+    """(label, a, b, source): each distinct edge with the least record that it comes from; a part is (label, rows, from, to, source)."""
+    made = [d.select(F.lit(label).alias("label"), a.cast("string").alias("a"), b.cast("string").alias("b"), source.cast("string").alias("source")).where("a is not null and b is not null") for label, d, a, b, source in parts]
+    return reduce(DataFrame.unionByName, made).groupBy("label", "a", "b").agg(F.min("source").alias("source"))

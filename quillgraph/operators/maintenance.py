@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions import text
+
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of old with the non-null values of new's row of the same key, and new's other rows."""
@@ -91,3 +93,45 @@ def safe_target(name: str) -> str:
     if "production" in name.lower():
         raise ValueError(f"refusing to write to {name}")
     return name
+
+
+def absorbed(df: DataFrame, mapping: DataFrame, key: str, name: str, fill: list[str]) -> DataFrame:
+    """Canonical rows after a merge: their own name, blanks of `fill` taken from the merged rows in order of key, aliases of these.
+
+    Names of merged rows become aliases, sorted, but for the canonical name itself.
+    """
+    rows = repointed(df.select(key, name, *fill).withColumn("_part", F.col(key)), mapping, key)
+    own = F.when(F.col("_part") == F.col(key), 0).otherwise(1)  # the canonical row's values come first
+    order = F.struct(own, F.col("_part"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
+    out = rows.groupBy(key).agg(F.min_by(name, order).alias(name), *(first(c).alias(c) for c in fill), F.collect_set(F.when(own == 1, F.col(name))).alias("_names"))
+    return out.withColumn("aliases", F.array_sort(F.array_remove("_names", F.col(name)))).drop("_names")
+
+
+def calendar_safety(df: DataFrame, attendees: str, pending: Column) -> DataFrame:
+    """unsafe (pending without an attendee), with_attendees, total."""
+    n = F.coalesce(F.size(attendees), F.lit(0))
+    return df.agg(F.count_if((n == 0) & pending).alias("unsafe"), F.count_if(n > 0).alias("with_attendees"), F.count(F.lit(1)).alias("total"))
+
+
+def organization_backfill(people: DataFrame, known: DataFrame, key: str, email: str) -> DataFrame:
+    """key, action, domain, org_id of every person, from known(org_id, domain): link, create, malformed or no_address."""
+    rows = people.select(key, email, text.email_domain(F.col(email)).alias("domain"))
+    action = F.when(F.col(email).isNull(), "no_address").when(F.col("domain").isNull(), "malformed").when(F.col("org_id").isNull(), "create").otherwise("link")
+    return rows.join(known, "domain", "left").select(key, action.alias("action"), "domain", "org_id")
+
+
+def reset(df: DataFrame, environment: str) -> DataFrame:
+    """The table without a row; refused outside test and development."""
+    if environment not in ("test", "development"):
+        raise ValueError(f"refusing to reset in {environment}")
+    return df.limit(0)
+
+
+def lifecycle(df: DataFrame, key: str, status: str, target: str) -> DataFrame:
+    """active, merged, no_target, self and invalid rows; a missing status is active."""
+    now, to = F.coalesce(status, F.lit("active")), F.col(target)
+    merged = now == "merged"
+    return df.agg(
+        F.count_if(now == "active").alias("active"), F.count_if(merged & to.isNotNull() & (to != F.col(key))).alias("merged"), F.count_if(merged & to.isNull()).alias("no_target"), F.count_if(merged & (to == F.col(key))).alias("self"), F.count_if(~now.isin("active", "merged")).alias("invalid")
+    )

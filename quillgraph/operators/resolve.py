@@ -146,13 +146,3 @@ def _fold_facts(rows: pd.DataFrame) -> pd.DataFrame:
             found |= {"normal": r["normal"], "value": r["object"], "changes": found["changes"] + 1}
     first = rows.iloc[0]
     return pd.DataFrame([(first.thread_id, first.subject_key, first.predicate, k["fact_key"], k["value"], k["n"], k["changes"]) for k in known], columns=["thread_id", "subject_key", "predicate", "fact_key", "current_value", "n_mentions", "n_changes"])
-
-
-def folded_context(rows: Iterator[dict], fields: list[str]) -> dict[str, list[str]]:
-    """AR4: the state after a thread's deltas, each field a list; a delta has `add` and `remove` by field."""
-    state: dict[str, list[str]] = {f: [] for f in fields}
-    for delta in rows:
-        for f in fields:
-            gone = set(delta.get("remove", {}).get(f, []))
-            state[f] = list(dict.fromkeys([x for x in state[f] if x not in gone] + delta.get("add", {}).get(f, [])))
-    return state

@@ -76,3 +76,14 @@ def evidence(df: DataFrame, kind: str, key: str, summary: list[str], date: str,
     """One record a row: kind, id, date, ids and the summary fields that are present."""
     fields = F.map_filter(F.create_map(*[x for c in summary for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull())
     return df.select(F.lit(kind).alias("record_type"), F.col(key).cast("string").alias("record_id"), F.col(date).alias("at"), fields.alias("summary"), *(c.alias(n) for n, c in ids.items()))
+
+
+def listed(df: DataFrame, key: str, limit: int = 50, **equal: Any) -> DataFrame:
+    """A list tool: rows equal to the arguments that are given, in order of key, the limit clamped to the tools' cap."""
+    return matching(df, **equal).orderBy(key).limit(clamp(limit, TOOL_CAP))
+
+
+def tagged_counts(parts: dict[str, DataFrame], by: str, key: str, basis: str) -> DataFrame:
+    """by, category, basis, n, first_id over the parts' rows; each part is counted before the union."""
+    counted = [d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).select(by, F.lit(name).alias("category"), F.lit(basis).alias("basis"), "n", "first_id") for name, d in parts.items()]
+    return reduce(DataFrame.unionByName, counted)

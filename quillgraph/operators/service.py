@@ -150,8 +150,3 @@ def unique_faults(*specs: tuple[str, DataFrame, list[str]]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def plan_text(df: DataFrame) -> str:
-    """The formatted physical plan, for a baseline."""
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

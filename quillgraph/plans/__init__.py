@@ -1,6 +1,6 @@
 """The reference's operators as queries over the test tables."""
 
-from quillgraph.plans import aggregates, relations, retrieval, service, streams, text
+from quillgraph.plans import aggregates, entities, overview, relations, retrieval, service, streams, text
 from quillgraph.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "relations", "retrieval", "service", "streams", "text"]
+__all__ = ["QUERIES", "SQL", "aggregates", "entities", "overview", "relations", "retrieval", "service", "streams", "text"]

@@ -270,12 +270,6 @@ def fact_dedup(s, d):
     return resolve.facts(p)
 
 
-@query("""SELECT p_name, p_brand, count(*)::BIGINT AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1, 2""")
-def project_blocks(s, d):
-    """ER8, ER9: the blocks within which projects are matched in order."""
-    return table(s, d, "part").where("p_brand is not null").groupBy("p_name", "p_brand").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT regexp_replace(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '^www\\.', '') AS domain, count(*)::BIGINT AS pages, min(page_id)::BIGINT AS first_page FROM pages GROUP BY 1""")
 def organization_resolution(s, d):
     """ER3, DQ16: organizations by domain."""

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillgraph.plans.registry import query, table
 from quillgraph.streaming import ingest
-
-
-def _folder(s):
-    """The shared folder of the session; a local session without one writes below its warehouse."""
-    found = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from quillgraph.tables import shared_path
 
 
 def _drained(s, d, make, mode):
-    """The last state of a stream over the events, replayed twice to show that a replay changes nothing."""
+    """What a stream over the events has written, after it was drained, started again, and replayed from the start.
+
+    The second run reads the old checkpoint and finds nothing new. The third has a new checkpoint and sees every row again; its batches
+    take the place of those of the same number, as a sink keyed by batch does, so a replay changes nothing.
+    """
     schema = s.read.parquet(f"{d}/events.parquet").schema
-    at = _folder(s)
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(s, f"{d}/events.parquet") else d + "/events.parque[t]")
-    ingest.run_once(make(stream), f"{at}/checkpoint", lambda rows, k: rows.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{at}/out"), mode)
+    at = shared_path(s, "stream")
+    path = f"{d}/events.parquet" if _is_folder(s, f"{d}/events.parquet") else d + "/events.parque[t]"
+    for checkpoint in ("first", "first", "second"):
+        stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+        ingest.run_once(make(stream), f"{at}/{checkpoint}", lambda rows, k: ingest.put_batch(rows, k, f"{at}/out"), mode)
     return s.read.parquet(f"{at}/out")
 
 

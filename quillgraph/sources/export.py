@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +83,22 @@ class _ClientReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         yield from self.fetch(partition.value)
+
+
+def in_memory(spark: SparkSession, payloads: list[dict], limit: int | None = None) -> DataFrame:
+    """Given messages as a raw table; fields that a message lacks are null."""
+    names = [x.split(" ")[0] for x in MESSAGE.split(", ")]
+    return spark.createDataFrame([tuple(p.get(n) for n in names) for p in payloads[:limit]], MESSAGE)
+
+
+def demo_messages(seed: int, n: int = 9) -> list[dict]:
+    """n messages of one thread between a lead and the operator, a day apart; the seed chooses their wording alone."""
+    rng, subjects, asks = random.Random(seed), ["Pilot", "Pricing", "Rollout"], ["Could you send a proposal?", "We need 50 seats.", "Let's meet on Monday at 10:30."]
+    subject = rng.choice(subjects)
+    return [
+        {
+            "id": f"demo-{k}", "threadId": "demo-thread", "subject": subject if k == 0 else f"Re: {subject}", "sender": "Ann <ann@lead.example>" if k % 2 == 0 else "me@own.example",
+            "toRecipients": ["me@own.example" if k % 2 == 0 else "ann@lead.example"], "date": (datetime(2024, 1, 1) + timedelta(days=k)).isoformat() + "Z", "plaintextBody": rng.choice(asks),
+        }
+        for k in range(n)
+    ]

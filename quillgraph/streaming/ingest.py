@@ -35,6 +35,11 @@ def run_once(stream: DataFrame, checkpoint: str, process: Callable[[DataFrame, i
     query.awaitTermination()
 
 
+def put_batch(rows: DataFrame, batch: int, folder: str) -> None:
+    """Write a batch under its number, in place of what an earlier try or replay left there."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
 def thread_state(stream: DataFrame, key: str, time: str) -> DataFrame:
     """(key, n, last_at): messages of each thread so far and the latest time, which never goes back. Late rows are counted too."""
 
@@ -49,3 +54,9 @@ def thread_state(stream: DataFrame, key: str, time: str) -> DataFrame:
     rows = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"))
     out = rows.groupBy("key").applyInPandasWithState(update, "key string, n long, last_micros long", "n long, last long", "update", GroupStateTimeout.NoTimeout)
     return out.select("key", "n", F.timestamp_micros("last_micros").alias("last_at"))
+
+
+def advanced(df: DataFrame, ready) -> DataFrame:
+    """Rows that are ready go to the next stage; FAILED and the last stage go nowhere."""
+    after = F.create_map(*[F.lit(x) for pair in zip(STAGES, STAGES[1:], strict=False) for x in pair])
+    return df.withColumn("stage", F.when(ready, F.coalesce(F.try_element_at(after, F.col("stage")), F.col("stage"))).otherwise(F.col("stage")))

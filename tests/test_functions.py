@@ -83,7 +83,6 @@ def test_merges(spark):
         arrays.set_hash(F.array(F.lit("b"), F.lit("a"))).alias("h"),
     ).first()
     assert row.l == ["b", "c"] and row.m == {"b": "2", "c": "3"} and len(row.h) == 16
-    assert resolve.folded_context([{"add": {"x": ["1", "2"]}}, {"remove": {"x": ["1"]}, "add": {"x": ["3", "2"]}}], ["x"]) == {"x": ["2", "3"]}
 
 
 def test_chain_errors(spark):

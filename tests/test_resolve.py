@@ -3,9 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 from quillgraph.functions import text
-from quillgraph.operators import graph, joins, resolve
+from quillgraph.operators import entities, graph, joins, maintenance, resolve
+from quillgraph.sources import export
 
 MAIL = "message_id string, source_thread_id string, in_reply_to string, references array<string>, subject string, participants array<string>, at timestamp"
 
@@ -106,3 +108,38 @@ def test_common_subsequence_and_ratio():
                 rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
         assert text.common_subsequence(a, b) == rows[-1][-1]
     assert text.sorted_token_ratio("b a", "a b") == 100 and text.sorted_token_ratio(None, "a") == 0
+
+
+def test_context_fold_matches_delta_by_delta(spark):
+    random.seed(5)
+    rows, want = [], {}
+    for thread in range(20):
+        state = []
+        for seq in range(random.randint(1, 9)):
+            add, gone = ([random.choice("abcd") for _ in range(random.randint(0, 3))] for _ in range(2))
+            rows.append((thread, seq, "f", add, gone))
+            state = list(dict.fromkeys([x for x in state if x not in gone] + add))
+        want[thread] = state
+    deltas = spark.createDataFrame(rows, "thread long, seq long, field string, add array<string>, remove array<string>")
+    assert {r.thread: r.state for r in entities.folded_context(deltas).collect()} == want
+
+
+def test_projects_match_mention_by_mention(spark):
+    random.seed(6)
+    rows, known, want = [], [], {}
+    for i in range(80):
+        name, pillar, entity = random.choice("xy"), random.choice(["p", None]), random.choice([None, "a", "b", "c"])
+        rows.append((i, i, name, pillar, entity))
+        found = next((k for k in known if k[0] == name and k[1] == pillar and (k[2] is None or entity is None or k[2] == entity)), None)
+        if found is None:
+            known.append(found := [name, pillar, entity, i])
+        found[2] = found[2] or entity
+        want[i] = found[3]
+    got = entities.projects(spark.createDataFrame(rows, "mention long, at long, name string, pillar string, entity string"))
+    assert {r.mention: r.project for r in got.collect()} == want
+
+
+def test_reset_is_refused_in_production(spark):
+    with pytest.raises(ValueError):
+        maintenance.reset(spark.range(3), "production")
+    assert export.in_memory(spark, export.demo_messages(1), 4).count() == 4 and export.demo_messages(1) == export.demo_messages(1)
