@@ -40,7 +40,7 @@ from quillgraph.operators.graph import components
 
 #: Links need 100 * common >= PERCENT * union. SURE: the least estimate that is looked into. Share of registers that must agree.
 PERCENT, SURE, AGREE = 75, 0.55, 0.53
-BLOCK, WEIGHT, PAIRS = 256, 4_000_000, 20_000
+BLOCK, WEIGHT, PAIRS = 1024, 4_000_000, 20_000
 #: Sets of so few shingles link only when equal: 2 of 3 is less than the threshold.
 TINY = 2
 
@@ -223,7 +223,7 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids += columns[4]
         sizes += columns[5]
         registers += columns[6]
-        if len(ids) >= PAIRS // 5:
+        if len(ids) >= 4 * BLOCK:
             yield tied(ids, sizes, registers, asks, groups)
             ids, sizes, registers, asks, groups = [], [], [], [], []
     if ids:
@@ -276,14 +276,14 @@ def labelled(docs: DataFrame) -> DataFrame:
     clusters = components(compared(buckets, ["n", "registers"], _tie_first, _ties))
 
     sized = clusters.join(classes.select("id", "row", "n"), "id")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WEIGHT)).alias("blocks"))
-    named = sized.select("id", "row.doc_id", "row.hash", "component").join(blocks, "component")
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK / 2), F.ceil(F.sum("n") / WEIGHT)).alias("blocks"))
+    named = sized.select("id", "row.doc_id", "row.hash", "component").join(written(blocks, "blocks"), "component")
     texts = docs.select(id_of(docs).alias("doc_id"), F.xxhash64("text").alias("hash"), "text").join(named, ["doc_id", "hash"])
     found = components(compared(texts.select(F.col("component").alias("key"), "id", "blocks", "text"), ["text"], _link_first, _links))
 
     of_class = classes.select(F.col("id").alias("class"), "row").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_class = written(of_class, "components")
-    firsts = of_class.groupBy("component").agg(F.min("row").alias("first"))
+    firsts = written(of_class.groupBy("component").agg(F.min("row").alias("first")), "firsts")  # a table, so that Spark can split the join below
     named = of_class.select("class", "component").join(firsts, "component")
     mine = F.when(F.col("doc_id").isNotNull(), F.col("class"))
     return rows.select("doc_id", "hash", "n", mine.alias("class")).join(named, "class", "left")
