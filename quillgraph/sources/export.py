@@ -49,6 +49,29 @@ def plain_json(column: str, field: str) -> Column:
     return F.coalesce(at("['$oid']"), at("['$date']"), at(""))
 
 
+_VALUE = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|\{[^{}]*\}|[^,{}\[\]\s]+)'
+
+
+def plain_document(document: Column) -> Column:
+    """Extended JSON as plain JSON: `{"$oid": x}` and `{"$date": x}` are x at every depth, and `_id` is dropped.
+
+    Quotes within a JSON string are escaped, so neither pattern begins inside of one. An `_id` is a scalar, wrapped or a flat object.
+    """
+    bare = F.regexp_replace(document, r'\{\s*"\$(?:oid|date)"\s*:\s*' + _VALUE + r"\s*\}", "$1")
+    first = F.regexp_replace(bare, r'\{\s*"_id"\s*:\s*' + _VALUE + r"\s*,?\s*", "{")
+    return F.regexp_replace(first, r'\s*,\s*"_id"\s*:\s*' + _VALUE + r"(?=\s*[,}])", "")
+
+
+def recorded(ledger: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The ledger(path, fingerprint, all_completed) after files(path, fingerprint) were taken, from outcomes(path, n_failed) by message or file.
+
+    A file without any outcome has no message that can be read: it is done, since it would never give more.
+    """
+    failed = outcomes.groupBy("path").agg(F.sum("n_failed").alias("n"))
+    rows = files.join(failed, "path", "left").select("path", "fingerprint", (F.coalesce("n", F.lit(0)) == 0).alias("all_completed"))
+    return ledger.join(files.select("path"), "path", "left_anti").select("path", "fingerprint", "all_completed").unionByName(rows)
+
+
 def new_files(spark: SparkSession, folder: str, ledger: DataFrame) -> DataFrame:
     """(path, fingerprint) of files to take: not in ledger(path, fingerprint, all_completed), changed, or not completed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", F.sha2("content", 256).alias("fingerprint"))

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(id, label, kind, target, text): one row a link; the id is the file's name. A note without a link has none."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("id"), "value")
-    label = F.regexp_extract("value", r"(?m)^# (.*)$", 1)
-    parts = files.select("id", label.alias("label"), F.posexplode(F.split("value", r"(?m)^## ")).alias("n", "part")).where("n > 0")
+    return links(spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("id"), F.col("value").alias("content")))
+
+
+def links(notes: DataFrame) -> DataFrame:
+    """(id, label, kind, target, text) of notes(id, content)."""
+    label = F.regexp_extract("content", r"(?m)^# (.*)$", 1)
+    parts = notes.select("id", label.alias("label"), F.posexplode(F.split("content", r"(?m)^## ")).alias("n", "part")).where("n > 0")
     kind = F.trim(F.split_part("part", F.lit("\n"), F.lit(1)))
-    links = parts.select("id", "label", kind.alias("kind"), F.explode(F.regexp_extract_all("part", F.lit(r"(?m)^- \[\[([^\]]+)\]\].*$"), 0)).alias("line"))
-    return links.select("id", "label", "kind", F.regexp_extract("line", r"\[\[([^\]]+)\]\]", 1).alias("target"), F.trim(F.regexp_extract("line", r"\]\](.*)$", 1)).alias("text"))
+    lines = parts.select("id", "label", kind.alias("kind"), F.explode(F.regexp_extract_all("part", F.lit(r"(?m)^- \[\[([^\]]+)\]\].*$"), 0)).alias("line"))
+    return lines.select("id", "label", "kind", F.regexp_extract("line", r"\[\[([^\]]+)\]\]", 1).alias("target"), F.trim(F.regexp_extract("line", r"\]\](.*)$", 1)).alias("text"))
 
 
 def rendered(edges: DataFrame, names: DataFrame) -> DataFrame:

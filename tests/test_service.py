@@ -87,3 +87,23 @@ def test_replayed_stream_and_failures(spark, tmp_path):
         rows.write.mode("append").parquet(str(folder))  # the same again
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "b"]
     assert [r.stage for r in ingest.split_failures(rows, F.col("v") > 1).orderBy("k").collect()] == ["FAILED", "FAILED", "VALIDATED"]
+
+
+def test_extended_json_equals_a_recursive_walk(spark):
+    import json
+
+    def walk(v):
+        if isinstance(v, dict):
+            if set(v) in ({"$oid"}, {"$date"}):
+                return next(iter(v.values()))
+            return {k: walk(x) for k, x in v.items() if k != "_id"}
+        return [walk(x) for x in v] if isinstance(v, list) else v
+
+    documents = [
+        {"_id": {"$oid": "a"}}, {"_id": 1, "a": 2}, {"a": 2, "_id": "x,}"}, {"a": {"_id": {"k": 1}, "b": [{"$oid": "p"}, {"$date": {"$numberLong": "5"}}]}, "_id": 3, "c": None},
+        {"a": 'say {"$oid": "x"} and "_id": 3, ok', "b": "{", "$oid": "kept"}, {"long": "x\\\"" * 20000, "at": {"$date": "y" * 20000}}, {}, [{"$oid": "q"}, {"_id": 1}],
+    ]
+    rows = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(documents)], "k int, raw string")
+    found = {r.k: json.loads(r.plain) for r in rows.select("k", export.plain_document(F.col("raw")).alias("plain")).collect()}
+    assert found == {k: walk(x) for k, x in enumerate(documents)}
+    assert spark.range(1).select(export.plain_document(F.lit(None).cast("string")).alias("x")).first().x is None
