@@ -65,10 +65,11 @@ def person_360(s, d):
     return joins.tiered([("canonical_id", first), ("legacy_name_match", second)], "person", "category").select("person", "category", "basis", "n")
 
 
-@query()
+@query("""SELECT 'context on Customer' AS question, 'organization_context' AS intent, 'unsupported' AS status, 'That question is not supported.' AS answer UNION ALL SELECT 'who is Zed Nobody', 'person_context', 'no_match', 'No match for that name.' UNION ALL SELECT 'meetings tomorrow', 'meetings', 'ok', '1 records found.' UNION ALL SELECT '???', 'unsupported', 'unsupported', 'That question is not supported.'
+UNION ALL SELECT 'who is Customer', 'person_context', CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'ok' END, CASE WHEN count(*) > 1 THEN 'More than one match; please say which.' ELSE '1 records found.' END FROM customer""")
 def question_status(s, d):
     """Q15: how questions end that cannot be answered with rows."""
-    asked = ["context on Customer", "who is Zed Nobody", "meetings tomorrow", "???"]
+    asked = ["context on Customer", "who is Zed Nobody", "meetings tomorrow", "???", "who is Customer"]
     people = table(s, d, "customer").select("c_custkey", F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("name"))
     sources = _sources(s, d) | {"person_context": service.Source(table(s, d, "orders"), "commitment", "o_orderkey", "o_orderdate", "o_custkey")}
     rows = [(q, a.parsed.intent, a.status, service.wording(a.status, 1, "records")) for q in asked for a in [service.ask(q, ORDERS_NOW, sources, people, "c_custkey", "name")]]

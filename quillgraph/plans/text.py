@@ -207,7 +207,13 @@ def meeting_clarification(s, d):
 
 
 
-@query()
+_AT, _FOR = r"'(?i)\b(\d{1,2})(?::(\d{2}))?\s*(am|pm)?\b'", r"'(?i)\bfor\s+(\d+)\s*(minutes?|mins?|hours?|hrs?)\b'"
+_INT = "try_cast(nullif(regexp_extract(b, {}, {}), '') AS INT)".format
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN hour <= 23 AND minute <= 59 THEN hour * 60 + minute END AS start_minute, CASE WHEN n IS NULL THEN 30 WHEN unit LIKE 'h%' THEN n * 60 ELSE n END AS minutes
+FROM (SELECT conv_id, turn, CASE WHEN half = 'pm' AND h <> 12 THEN h + 12 WHEN half = 'am' AND h = 12 THEN 0 ELSE h END AS hour, minute, n, unit
+FROM (SELECT conv_id, turn, {_INT(_AT, 1)} AS h, coalesce({_INT(_AT, 2)}, 0) AS minute, lower(regexp_extract(b, {_AT}, 3)) AS half, {_INT(_FOR, 1)} AS n, lower(regexp_extract(b, {_FOR}, 2)) AS unit FROM {_said(_BODIES, 'b')}))""")
 def meeting_times(s, d):
     """DT6: start and length of a proposed meeting, in minutes."""
     return _say(s, d, _BODIES, "b").select("conv_id", "turn", dates.clock(F.col("b")).alias("start_minute"), dates.duration(F.col("b")).alias("minutes"))

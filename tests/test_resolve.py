@@ -1,6 +1,7 @@
 """Order-dependent resolution against a plain reading of its rules, and the graph operators under it."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -110,6 +111,34 @@ def test_common_subsequence_and_ratio():
     assert text.sorted_token_ratio("b a", "a b") == 100 and text.sorted_token_ratio(None, "a") == 0
 
 
+def test_facts_match_mention_by_mention(spark):
+    random.seed(8)
+    words = ["50 seats", "60 seats", "50 seats please", "monthly reports", "monthly report", "weekly reports", "SSO login", "sso  login", "budget of 10k", None]
+    rows = [(str(random.randint(0, 3)), "customer", "wants", random.choice(words), seq) for seq in range(120)]
+    plain = dict(spark.createDataFrame([(w,) for w in words], "w string").select("w", F.struct(text.normalize_text(F.col("w")).alias("n"), text.fact_key(text.normalize_text(F.col("w"))).alias("k"))).collect())
+    want = []
+    for thread in sorted({r[0] for r in rows}):
+        facts = []
+        for value in (r[3] for r in rows if r[0] == thread):
+            normal, key = plain[value]
+            match = [f for f in facts if f["key"] == key][:1]
+            if not match and facts:
+                near = max(facts, key=lambda f: text.sorted_token_ratio(f["normal"], normal))
+                match = [near] if text.sorted_token_ratio(near["normal"], normal) >= 80 else []
+            if not match:
+                facts.append({"key": key, "normal": normal, "value": value, "n": 1, "changes": 0})
+                continue
+            f = match[0]
+            f["n"] += 1
+            number = lambda x: (re.findall(r"[0-9]+", x or "") or [None])[0]
+            if f["normal"] != normal and not (f["key"] == "seat_count" and number(f["normal"]) == number(normal)):
+                f.update(normal=normal, value=value, changes=f["changes"] + 1)
+        want += [(thread, f["key"], f["value"], f["n"], f["changes"]) for f in facts]
+    got = resolve.facts(spark.createDataFrame(rows, "thread_id string, subject_key string, predicate string, object string, seq long"))
+    assert sorted(map(repr, want)) == sorted(repr((r.thread_id, r.fact_key, r.current_value, r.n_mentions, r.n_changes)) for r in got.collect())
+    assert any(f[4] for f in want)
+
+
 def test_context_fold_matches_delta_by_delta(spark):
     random.seed(5)
     rows, want = [], {}
