@@ -10,7 +10,8 @@ was undone. Of equal ranks the left merge comes first.
 
 `encoded` works on whole texts: the pattern's matches are encoded one by one, and the ids of recent pieces are kept in a bounded
 cache. Defined results: a null or empty text has no id. Repeated rows and ids are encoded row by row; other columns are ignored.
-Lone surrogates cannot occur, since Spark's strings are UTF-8.
+Lone surrogates cannot occur, since Spark's strings are UTF-8. An empty table gives no row. A very long text is encoded whole, piece by
+piece, in memory of its length.
 """
 
 from __future__ import annotations

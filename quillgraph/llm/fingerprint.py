@@ -9,7 +9,8 @@ the empty fingerprint; it is like an empty one by 1 and like any other by 0.
 
 `edited` pairs each row with the one of the next id (after the last comes the first; rows of one id go by their text, null ids come
 first). Ids are cut into ranges at approximate quantiles; the first row of a range is also sent to the range before, so a range has
-all that it needs and no task holds more than one range and the row after it. Repeated rows are neighbours of each other.
+all that it needs and no task holds more than one range and the row after it. Repeated rows are neighbours of each other. An empty table
+gives no row. A very long text is chunked whole, in memory of its length; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,9 +11,8 @@ the article itself (`post-content share-enabled`). Where marked articles (`artic
 bounds count as good neighbours and blocks outside them as bad; where they hold less (teasers), the marks are not looked at.
 
 Defined results: null or empty html gives an empty text and 0; html without a good block, its undecided ones; an empty table gives
-no row. Broken
-markup is read as far as it goes: an unclosed tag ends with the page, a stray end tag is ignored. Character references are decoded
-once. Repeated rows and ids are read row by row; other columns are ignored. Pages are read whole, in time linear in their length, but
+no row. Broken markup is read as far as it goes: an unclosed tag ends with the page, a stray end tag is ignored. Character references
+are decoded once. Repeated rows and ids are read row by row; other columns are ignored. Pages are read whole, in time linear in their length, but
 that a tag left open costs its own closing.
 """
 

@@ -9,7 +9,7 @@ Sequence ids are the partition's number, then the number within it; a task that
 input comes in the same order (files do). No shuffle is needed.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are packed as they stand; other columns are ignored. An
-empty table gives no piece.
+empty table gives no piece. A very long text is encoded whole and fills as many sequences as it needs.
 """
 
 from __future__ import annotations
