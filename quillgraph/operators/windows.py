@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.tables import written
+
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The latest row of each key, by partial aggregation."""
@@ -22,22 +24,28 @@ def sequenced(df: DataFrame, event: list[str], key: str, out: str, *order: str)
     return numbered(once, key, out, *order)
 
 
-def ids(df: DataFrame, prefix: str, out: str, *order: str) -> DataFrame:
-    """Global ids PREFIX-001, ... in order: ranges of the order are counted, then each row adds its place to its range's start.
+def places(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
+    """Global places 0, 1, ... in order: ranges of the order are written and counted, then each row adds its place to its range's start.
 
-    No window over the whole table: only one count a range comes to the driver.
+    No window over the whole table: only one count a range comes to the driver. The ranges are written once, so that they are the same
+    when they are counted and when they are read.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    ranged = written(ranged, "places")
     sizes = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
     starts, total = [], 0
     for p, n in sizes:
         starts.append((p, total))
         total += n
     if not starts:
-        return df.withColumn(out, F.lit(None).cast("string"))
+        return df.withColumn(out, F.lit(None).cast("long"))
     at = F.element_at(F.create_map(*[F.lit(x) for pair in starts for x in pair]), F.col("_p"))
-    place = at + F.col("_k").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return ranged.withColumn(out, F.format_string(f"{prefix}-%03d", place)).drop("_p", "_k")
+    return ranged.withColumn(out, at + F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_k")
+
+
+def ids(df: DataFrame, prefix: str, out: str, *order: str) -> DataFrame:
+    """Global ids PREFIX-001, ... in order."""
+    return places(df, "_place", *order).withColumn(out, F.format_string(f"{prefix}-%03d", F.col("_place") + 1)).drop("_place")
 
 
 def preceding(key: str, order: str, value: Column, n: int = 20) -> Column:
