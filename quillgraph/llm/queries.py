@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, licenses, neardup, packing, quality, urlfilter
+from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, licenses, mixing, neardup, packing, quality, urlfilter
 from quillgraph.llm.common import table
 
 OP4_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
+        "op11_source_mixing": op11_source_mixing,
     }
 
 
@@ -75,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": urlfilter.sql(),
         "op4_quality_rules": quality.SQL,
         "op10_license_scan": licenses.sql(),
+        "op11_source_mixing": mixing.SQL,
     }
