@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path := shared_path(spark, label))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Folders that nothing reads any more; one that is not there is passed over."""
+    for path in paths:
+        files, at = _files(spark, path)
+        files.delete(at, True)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """A folder under another name at once: a reader finds all of it or nothing."""
+    files, at = _files(spark, old)
+    _, to = _files(spark, new)
+    files.mkdirs(to.getParent())
+    if not files.rename(at, to):
+        raise OSError(f"{old} can't be renamed to {new}")
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; those before come back."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
