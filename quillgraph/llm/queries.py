@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, licenses, mixing, neardup, packing, quality, repair, urlfilter
+from quillgraph.llm import bpe, fingerprint, html, kneserney, langid, leaderboard, licenses, mixing, neardup, packing, quality, repair, urlfilter
 from quillgraph.llm.common import table
 
 OP4_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -59,6 +59,10 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op12_leaderboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.feed(*[table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")])
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair.reported(rows, repair.damaged(rows))
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
         "op11_source_mixing": op11_source_mixing,
+        "op12_leaderboard_feed": op12_leaderboard_feed,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
@@ -87,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality.SQL,
         "op10_license_scan": licenses.sql(),
         "op11_source_mixing": mixing.SQL,
+        "op12_leaderboard_feed": leaderboard.SQL,
     }
