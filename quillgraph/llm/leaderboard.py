@@ -9,7 +9,8 @@ keys only. A board is compared with the one of the day before; each batch begins
 
 Nothing that grows with the input goes through one task, to the driver or into a broadcast: the driver gets a row for each arrival
 day; vendors and prices are joined by sorting; sums are taken before they are shuffled, so hot keys arrive as one row a task. State lies
-in RocksDB, outside the heap. A call has a folder of its own; a batch's files go when its changes are written.
+where the session's `spark.sql.streaming.stateStore.providerClass` puts it: in memory by default, in RocksDB where nations x items are
+too many for that. A call has a folder of its own; a batch's files go when its changes are written.
 
 Defined results: of repeated vendors or items the least nation_id and price count. A null item_id or an item without a row, a null or unknown
 vendor_id, and a vendor without nation are ignored, but count for lateness. A line that arrives before the first day is in the first
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from quillgraph.tables import removed, renamed, settings, shared_path, written
 
 FIRST_DAY, DAYS, BATCHES, LATE, TOP = 19723, 180, 10, 3, 10
-STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Executors leave the state of an earlier start after so long; else several starts' states stand beside each other.
+STATE = {"spark.sql.streaming.stateStore.maintenanceInterval": "5s"}
 CHANGES = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
 KEY = ["nation_id", "item_id"]
 LINE = "nation_id int, item_id long, cents double, shipped long, arrived long, batch int"

@@ -52,7 +52,7 @@ def test_feed_against_the_rules(spark):
     tables = [spark.createDataFrame(x, y) for x, y in ((lines, LINES), (items + items[:3], "item_id long, price double"), (vendors + [(None, 1)], "vendor_id long, nation_id int"))]
     want = by_hand(lines, dict(items), dict(vendors))
     assert len(want) > 200 and {c[4] for c in want} == {"enter", "exit", "move"}
-    key = "spark.sql.streaming.stateStore.providerClass"
+    key = "spark.sql.streaming.stateStore.maintenanceInterval"
     before = spark.conf.get(key)
     got = leaderboard.feed(*tables)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
