@@ -1,26 +1,30 @@
 """Licence scan: licence texts, headers and notices anywhere in a text, by the Dice coefficient of word bigrams, in DataFrame functions only.
 
 A text is lower-cased, `licence` becomes `license`, and its words are its runs of letters and digits. A window is any run of words, so
-also within a paragraph or over lines. A template of b distinct bigrams is met where a window of at most (2 - t) * b / t bigrams has a
-Dice coefficient of t or more with it, over distinct bigrams. The best windows start and end with a bigram of the template, since
-others at an end only lower Dice; so each place of a template's bigram is tried as a start, and one fold from there gives its best end.
+also within a paragraph or over lines, and of any length. A template of b distinct bigrams is met where a window has a Dice coefficient
+of t or more with it, over distinct bigrams; then the window has at most (2 - t) * b / t distinct ones. A window that reaches t has as
+much or more, and no fewer bigrams in common, when it grows to the left over neighbours that are the template's; so the places
+where a run of the template's bigrams begins are all the starts to try, and one fold from there gives the best end.
 
 Size bounds prune: a window that reaches t has t * b / (2 - t) of the template's bigrams. So it has a word of any set of words that
 meets more bigrams than may be missing (`cover`, of long words first): a text without one is left before a bigram is made. Templates
-are then tried only on texts that have that many of their bigrams.
+are then tried only on texts that have that many of their bigrams. Two pointers sweep such a text once for each template tried: from
+each start as far as the distinct bigrams allow; a start in whose reach are too few of the template's is not folded.
 
 Of windows that overlap, the one with the most bigrams in common stays; then the higher Dice, the first name, the first start. So a
 licence's text wins over a notice that it quotes, and two licences that differ in a word are told apart.
 
 Defined results: a null or empty text, or one with fewer than two words, has n_hits 0, null names and best_dice 0; an empty table gives
 no row. Repeated rows and ids are scanned row by row; other columns are ignored. All work is done within a row: nothing is shuffled,
-joined or collected, so a hot source costs what its rows cost. Texts are scanned whole; a row that could meet a template of b bigrams
-costs m * b steps for m places of its bigrams, others one look at each word.
+joined or collected, so a hot source costs what its rows cost. Texts are scanned whole. A row costs one look at each word; one
+that may hold templates, a sort of its bigrams and two steps a word for each template tried, and for each start that has enough of the template's
+bigrams within its reach, as many steps as the reach has words.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from functools import cache
 from pathlib import Path
 
@@ -80,10 +84,6 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
-def _literal(pairs: list[str]) -> Column:
-    return F.split(F.lit("|".join(pairs)), r"\|")
-
-
 def _literal(items: list[str]) -> Column:
     return F.split(F.lit("|".join(items)), r"\|")
 
@@ -114,6 +114,67 @@ def cover(pairs: list[str], t: float = THRESHOLD) -> list[str]:
     return out
 
 
+def buckets(pairs: list[str]) -> list[str]:
+    """A hash table of bigrams: each bucket's, with `;` before and after each."""
+    table = [""] * len(pairs)
+    for p in pairs:
+        k = zlib.crc32(p.encode()) % len(pairs)
+        table[k] = f"{table[k] or ';'}{p};"
+    return table
+
+
+def _neighbours(x: Column, j: Column) -> Column:
+    """Place i of a bigram, where the same one is before it (-1: nowhere) and after it (null: nowhere), and its digest."""
+    beside = lambda k: F.get(F.col("sorted"), k)
+    before = F.when((j > 0) & (beside(j - 1).w == x.w), beside(j - 1).i).otherwise(-1)
+    return F.struct(x.i.alias("i"), before.alias("before"), F.when(beside(j + 1).w == x.w, beside(j + 1).i).alias("after"), x.w.alias("w"), F.crc32(x.w.cast("binary")).alias("h"))
+
+
+def _windows(k: Column, places: Column, t: float) -> Column:
+    """The best window of template k (name, b, table) from each start that may reach t."""
+    most = F.floor(k.b * ((2 - t) / t) + 1e-9)
+    fewest = F.ceil(k.b * (t / (2 - t)) - 1e-9)
+
+    def own(x: Column) -> Column:
+        return F.struct(x.i.alias("i"), x.before.alias("before"), x.after.alias("after"), F.contains(F.get(k.table, (x.h % k.b).cast("int")), F.concat(F.lit(";"), x.w, F.lit(";"))).alias("own"))
+
+    def sweep(at: Column) -> Column:
+        """(start, end) of the starts with enough bigrams of the template among the first `most` distinct ones from there; end is exclusive."""
+
+        def step(s: Column, _: Column) -> Column:
+            there, first = F.get(at, s.hi), F.get(at, s.lo)
+            new = there.before < s.lo
+            grows = (s.hi < F.size(at)) & (~new | (s.a < most))
+            gone = first.after.isNull() | (first.after >= s.hi)
+            begins = first.own & ((s.lo == 0) | ~F.get(at, s.lo - 1).own)
+            grown = _swept(s.lo, s.hi + 1, s.a + new.cast("int"), s.c + (new & there.own).cast("int"), s.found)
+            left = _swept(s.lo + 1, s.hi, s.a - gone.cast("int"), s.c - (gone & first.own).cast("int"), F.when(begins & (s.c >= fewest), F.concat(s.found, F.array(F.struct(s.lo.alias("start"), s.hi.alias("end"))))).otherwise(s.found))
+            return F.when(grows, grown).otherwise(left)
+
+        none = F.array().cast("array<struct<start: int, end: int>>")
+        zero = _swept(F.lit(0), F.lit(0), F.lit(0), F.lit(0), none)
+        return F.aggregate(F.sequence(F.lit(1), 2 * F.size(at)), zero, step, lambda s: s.found)
+
+    def best(at: Column, p: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            a, c = s.a + 1, s.c + x.own.cast("int")
+            dice = F.lit(2.0) * c / (a + k.b)
+            better = dice > s.dice
+            return F.struct(a.alias("a"), c.alias("c"), F.when(better, dice).otherwise(s.dice).alias("dice"), F.when(better, c).otherwise(s.common).alias("common"), F.when(better, x.i).otherwise(s.end).alias("end"))
+
+        zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(0).alias("common"), p.start.alias("end"))
+        new = F.filter(F.slice(at, p.start + 1, p.end - p.start), lambda x: x.before < p.start)
+        return F.aggregate(new, zero, step, lambda s: F.struct((-s.common).alias("less"), (-s.dice).alias("far"), k["name"].alias("name"), p.start.alias("start"), s.end.alias("end")))
+
+    # arrays of one, so that what stands in them is made once
+    found = F.transform(F.array(F.transform(places, own)), lambda at: F.transform(sweep(at), lambda p: best(at, p)))
+    return F.filter(F.flatten(found), lambda h: h.far <= -t + 1e-12)
+
+
+def _swept(lo: Column, hi: Column, a: Column, c: Column, found: Column) -> Column:
+    return F.struct(lo.alias("lo"), hi.alias("hi"), a.alias("a"), c.alias("c"), found.alias("found"))
+
+
 def scanned(docs: DataFrame, known: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_hits (windows that stand), licenses (their distinct names, sorted, joined by a comma), best_license, best_dice, best_words."""
     t = threshold
@@ -123,7 +184,7 @@ def scanned(docs: DataFrame, known: dict[str, str] | None = None, threshold: flo
     none = F.array().cast("array<string>")
 
     def template(name: str) -> Column:
-        return F.struct(F.lit(name.split("/")[0]).alias("name"), _literal(sets[name]).alias("pairs"))
+        return F.struct(F.lit(name.split("/")[0]).alias("name"), F.lit(len(sets[name])).alias("b"), _literal(buckets(sets[name])).alias("table"))
 
     def enough(found: Column, name: str) -> Column:
         return F.size(found) >= least(len(sets[name]), t)
@@ -136,34 +197,12 @@ def scanned(docs: DataFrame, known: dict[str, str] | None = None, threshold: flo
     own = lambda k: F.arrays_overlap("met", _literal(covers[k])) & enough(F.col("few" if k in short else "all"), k)
     tried = [F.when(own(k) & enough(F.array_intersect("few" if k in short else "all", _literal(p)), k), template(k)) for k, p in sets.items()]
     rows = rows.select("doc_id", "words", "all", F.when(F.size("met") > 0, F.array_compact(F.array(*tried))).alias("tried"))
-
-    def windows(k: Column) -> Column:
-        """The best window from each place of one template's bigrams, where it reaches the threshold."""
-        size = F.size(k.pairs)
-        longest = F.floor(size * ((2 - t) / t) + 1e-9).cast("int")
-
-        def place(w: Column, i: Column) -> Column:
-            # back: how far before it the same bigram is, within the longest window; 0 if it is not
-            first = F.greatest(i - longest + 1, F.lit(0))
-            return F.struct(i.alias("i"), F.array_contains(k.pairs, w).alias("own"), F.array_position(F.reverse(F.slice("all", first + 1, i - first)), w).alias("back"))
-
-        def step(s: Column, x: Column, start: Column) -> Column:
-            new = ((x.back == 0) | (x.i - x.back < start)).cast("int")
-            a, c = s.a + new, s.c + new * x.own.cast("int")
-            dice = F.lit(2.0) * c / (a + size)
-            better = dice > s.dice
-            return F.struct(a.alias("a"), c.alias("c"), F.when(better, dice).otherwise(s.dice).alias("dice"), F.when(better, c).otherwise(s.common).alias("common"), F.when(better, x.i).otherwise(s.end).alias("end"))
-
-        def best(places: Column, p: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(0).alias("common"), p.i.alias("end"))
-            return F.aggregate(F.slice(places, p.i + 1, longest), zero, lambda s, x: step(s, x, p.i), lambda s: F.struct((-s.common).alias("less"), (-s.dice).alias("far"), k["name"].alias("name"), p.i.alias("start"), s.end.alias("end")))
-
-        # an array of one, so that the places are made once
-        found = F.transform(F.array(F.transform("all", place)), lambda places: F.transform(F.filter(places, lambda x: x.own), lambda p: best(places, p)))
-        return F.filter(F.flatten(found), lambda h: h.far <= -t + 1e-12)
+    rows = rows.select("doc_id", "words", "tried", F.when(F.size("tried") > 0, F.sort_array(F.transform("all", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).alias("sorted"))
+    rows = rows.select("doc_id", "words", "tried", F.sort_array(F.transform("sorted", _neighbours)).alias("places"))
+    rows = rows.select("doc_id", "words", "places", F.transform("tried", lambda k: _windows(k, F.col("places"), t)).alias("found"))
 
     empty = "array<struct<less: int, far: double, name: string, start: int, end: int>>"
-    found = F.coalesce(F.array_sort(F.flatten(F.transform("tried", windows))), F.array().cast(empty))
+    found = F.coalesce(F.array_sort(F.flatten("found")), F.array().cast(empty))
     rows = rows.select("doc_id", "words", found.alias("hits"))
     kept = F.aggregate("hits", F.slice("hits", 1, 0), lambda s, h: F.when(F.exists(s, lambda x: (x.start <= h.end + 1) & (h.start <= x.end + 1)), s).otherwise(F.concat(s, F.array(h))))
     # The zero is not deterministic, which keeps a later filter above this select: pushed below, it would repeat every window.
@@ -181,7 +220,7 @@ def scanned(docs: DataFrame, known: dict[str, str] | None = None, threshold: flo
 
 
 def sql(threshold: float = THRESHOLD) -> str:
-    """The same scan as DuckDB SQL: all windows that start at a template's bigram, from the texts that have enough of its bigrams."""
+    """The same scan as DuckDB SQL: all windows that start where a run of a template's bigrams begins, from the texts that have enough of its bigrams."""
     t = threshold
     rows = ", ".join("({}, '{}', '{}')".format(i, k.split("/")[0], v.replace("'", "''")) for i, (k, v) in enumerate(sorted(texts().items())))
     norm = "list_filter(regexp_split_to_array(replace(lower({0}), 'licence', 'license'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -194,11 +233,11 @@ occ AS (SELECT *, lag(pos) OVER (PARTITION BY rid, g ORDER BY pos) AS prev FROM
 cand AS (SELECT rid, tid FROM occ JOIN tp USING (g) WHERE prev IS NULL GROUP BY rid, tid, b HAVING count(*) * (2 - {t}::DOUBLE) >= {t} * b - 1e-9),
 own AS (SELECT rid, tid, pos, name, b, longest FROM cand JOIN tp USING (tid) JOIN occ USING (rid, g)),
 ends AS (
-  SELECT s.rid, s.tid, s.name, s.b, s.pos AS s, o.pos AS e, sum(CASE WHEN coalesce(o.prev, 0) < s.pos THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN coalesce(o.prev, 0) < s.pos AND x.pos IS NOT NULL THEN 1 ELSE 0 END) OVER w AS c
-  FROM own s JOIN occ o ON o.rid = s.rid AND o.pos BETWEEN s.pos AND s.pos + s.longest - 1 LEFT JOIN own x ON x.rid = s.rid AND x.tid = s.tid AND x.pos = o.pos
+  SELECT s.rid, s.tid, s.name, s.b, s.longest, s.pos AS s, o.pos AS e, sum(CASE WHEN coalesce(o.prev, 0) < s.pos THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN coalesce(o.prev, 0) < s.pos AND x.pos IS NOT NULL THEN 1 ELSE 0 END) OVER w AS c
+  FROM (SELECT * FROM own y WHERE NOT EXISTS (SELECT 1 FROM own z WHERE z.rid = y.rid AND z.tid = y.tid AND z.pos = y.pos - 1)) s JOIN occ o ON o.rid = s.rid AND o.pos >= s.pos LEFT JOIN own x ON x.rid = s.rid AND x.tid = s.tid AND x.pos = o.pos
   WINDOW w AS (PARTITION BY s.rid, s.tid, s.pos ORDER BY o.pos)
 ),
-best AS (SELECT rid, name, s, e, c, 2.0::DOUBLE * c / (a + b) AS dice FROM ends QUALIFY row_number() OVER (PARTITION BY rid, tid, s ORDER BY 2.0::DOUBLE * c / (a + b) DESC, e) = 1),
+best AS (SELECT rid, name, s, e, c, 2.0::DOUBLE * c / (a + b) AS dice FROM ends WHERE a <= longest QUALIFY row_number() OVER (PARTITION BY rid, tid, s ORDER BY 2.0::DOUBLE * c / (a + b) DESC, e) = 1),
 hits AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY c DESC, dice DESC, name, s, e) AS k FROM best WHERE dice >= {t}::DOUBLE - 1e-12),
 stands(rid, k, kept) AS (
   SELECT rid, 1::BIGINT, [k] FROM hits WHERE k = 1
