@@ -6,8 +6,11 @@ comments and the like are bad by their place. Pass 2 gives every undecided block
 that agree decide; where they differ, the one with the same parent element, then the nearer one; at the same distance a near block is
 good and a short one bad. A heading is kept where the next decided block is good.
 
-Place: an element's tag, or a word of its class, id or role. A word of a class is passed over where another class of the element names
-the article itself (`post-content share-enabled`). Where marked articles (`article`, `main`) hold at least half of the good text, their
+Place: an element's tag, or a word of its class, id or role. A word of a class is passed over after `has`, `with`, `no` and the like, and where
+another class of the element names the article itself (`post-content share-enabled`). A place is sure where its tag says so, where a
+class is the word or ends with it (`site-header`), or the word only ever names such a place (`comment-list`). Forms, and
+classes that begin with other words (`header-fixed`), are unsure: they stand where they hold more than half of the good text that is
+in no sure place. An element that holds `main` is no place. Where marked articles (`article`, `main`) hold at least half of the good text, their
 bounds count as good neighbours and blocks outside them as bad; where they hold less (teasers), the marks are not looked at.
 
 Defined results: null or empty html gives an empty text and 0; html without a good block, its undecided ones; an empty table gives
@@ -55,6 +58,8 @@ BLOCK_TAGS = frozenset(
 SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas select textarea button video audio map noframes frameset".split())
 #: Blocks in these are bad wherever they stand.
 ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
+#: Of these, those that may hold a whole page.
+FORMS = frozenset("form fieldset".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 PAGE = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -69,6 +74,13 @@ ROLE_WORDS = frozenset(
     notice gdpr popup modal overlay newsletter subscribe subscription signup login comment comments reply replies disqus respond
     pagination pager tags toolbar skip copyright""".split()
 )
+#: Of these, those that name no wrapper of a page, whatever stands beside them.
+SURE_WORDS = frozenset(
+    """adverts advertisement advertising sponsored breadcrumb breadcrumbs related recommended cookie cookies consent gdpr newsletter
+    comment comments reply replies disqus respond pagination pager""".split()
+)
+#: After one of these a class says what its page has or lacks.
+SAYING = frozenset("has with no without non not hide show".split())
 #: With one of these, `header` is the article's own.
 OWN_WORDS = frozenset("article post entry content story main".split())
 
@@ -86,38 +98,52 @@ LINKED, SHORT, LONG, SOME_STOPS, MANY_STOPS = 0.3, 10, 25, 0.12, 0.2
 GOOD, NEAR, SHORT_BLOCK, BAD = "good", "near", "short", "bad"
 
 
+NOWHERE, UNSURE, SURE = 0, 1, 2
+
+
+def _named(words: list[str]) -> int:
+    """What a class, id or role of these words names."""
+    own = bool(OWN_WORDS & set(words))
+    found = NOWHERE
+    for k, w in enumerate(words):
+        if w in ROLE_WORDS and not (w == "header" and own) and not (k and words[k - 1] in SAYING):
+            found = max(found, SURE if w in SURE_WORDS or k == len(words) - 1 else UNSURE)
+    return found
+
+
 @lru_cache(4096)
-def beside(attributes: str) -> bool:
-    """Whether an element's attributes name something beside the article, or hide it."""
+def beside(attributes: str) -> int:
+    """Whether an element's attributes name something beside the article, or hide it: NOWHERE, UNSURE or SURE."""
+    found = NOWHERE
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
         if name in ("class", "id", "role"):
-            parts = [{w.lower() for w in SPLIT.split(x)} for x in value.split()]
-            named = [bool(words & (ROLE_WORDS - {"header"} if words & OWN_WORDS else ROLE_WORDS)) for words in parts]
-            if any(named) and not any(words & OWN_WORDS and not bad for words, bad in zip(parts, named, strict=True)):
-                return True
+            parts = [[w.lower() for w in SPLIT.split(x) if w] for x in value.split()]
+            named = [_named(words) for words in parts]
+            if not any(OWN_WORDS & set(words) and not place for words, place in zip(parts, named, strict=True)):
+                found = max([found, *named])
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return SURE
+    return found
 
 
 class Block:
-    __slots__ = ("heading", "home", "linked", "marked", "parts", "place_bad")
+    __slots__ = ("heading", "home", "linked", "marked", "parts", "place_bad", "places")
 
-    def __init__(self, place_bad: bool = False, heading: bool = False, marked: bool = False, home: int = 0):
+    def __init__(self, places: tuple[int, ...] = (), heading: bool = False, marked: bool = False, home: int = 0):
         self.parts: list[str] = []
-        self.linked, self.place_bad, self.heading, self.marked, self.home = 0, place_bad, heading, marked, home
+        self.linked, self.places, self.place_bad, self.heading, self.marked, self.home = 0, places, False, heading, marked, home
 
     def text(self) -> str:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
 class Element(NamedTuple):
-    """An open element: its name, whether it is bad by place, skipped, in an article, in a heading, and the numbers of its innermost block element and of that one's parent."""
+    """An open element: its name, the numbers of the places it is in, whether it is skipped, in an article, in a heading, and the numbers of its innermost block element and of that one's parent."""
 
     name: str
-    bad: bool = False
+    places: tuple[int, ...] = ()
     skipped: bool = False
     marked: bool = False
     heading: bool = False
@@ -126,19 +152,44 @@ class Element(NamedTuple):
 
 
 def blocks(page: str) -> list[tuple[str, Block]]:
-    """Blocks of the page in order, each with its text; none is empty."""
+    """Blocks of the page in order, each with its text and whether its place is bad; none is empty."""
+    out, sure = _read(page)
+    _placed(out, sure)
+    return out
+
+
+def _placed(found: list[tuple[str, Block]], sure: dict[int, bool]) -> None:
+    """Sets place_bad. An unsure place stands if it holds more than half of the good text outside sure places."""
+    stands: set[int] = set()
+    if not all(sure.values()):
+        good = [(len(t), [p for p in b.places if not sure[p]]) for t, b in found if not any(sure[p] for p in b.places) and label(t, b) == GOOD]
+        total, held = sum(n for n, _ in good), Counter()
+        for n, places in good:
+            for p in places:
+                held[p] += n
+        for p in held:
+            if 2 * held[p] > total:
+                stands.add(p)
+    for _, b in found:
+        b.place_bad = any(p not in stands for p in b.places)
+
+
+def _read(page: str) -> tuple[list[tuple[str, Block]], dict[int, bool]]:
+    """The blocks with the places they are in, and of each place whether it is sure."""
     out: list[tuple[str, Block]] = []
     root = Element("")
     stack: list[Element] = []
     open_: Counter[str] = Counter()  # names on the stack
     now, number = Block(), 0
+    sure: dict[int, bool] = {}
+    holding: set[int] = set()  # places that hold a main element
 
     def close() -> None:
         nonlocal now
         if now.parts and (text := now.text()):
             out.append((text, now))
         top = stack[-1] if stack else root
-        now = Block(top.bad, top.heading, top.marked, top.home)
+        now = Block(top.places, top.heading, top.marked, top.home)
 
     def pop(name: str) -> None:
         while stack:
@@ -182,11 +233,15 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if name == "body" and open_["head"]:
             pop("head")
         up = stack[-1] if stack else root
-        away = name in ASIDE and not (name == "header" and up.marked) or name not in PAGE and m[3] and beside(m[3])
+        away = SURE if name in ASIDE and name not in FORMS and not (name == "header" and up.marked) else max(UNSURE if name in FORMS else NOWHERE, beside(m[3]) if name not in PAGE and m[3] else NOWHERE)
         number += 1
+        if away and block:
+            sure[number] = away == SURE
+        if name == "main":
+            holding.update(up.places)
         heading = name in HEADINGS or up.heading and not block
         place = (number, up.block) if block else (up.block, up.home)
-        stack.append(Element(name, up.bad or bool(away), up.skipped or name in SKIPPED or bool(away and not block), up.marked or name in ("article", "main"), heading, *place))
+        stack.append(Element(name, (*up.places, number) if away and block else up.places, up.skipped or name in SKIPPED or bool(away and not block), up.marked or name in ("article", "main"), heading, *place))
         open_[name] += 1
         if block:
             close()
@@ -196,7 +251,9 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         elif m[3].endswith("/") and not block:
             pop(name)
     close()
-    return out
+    for _, b in out if holding else ():
+        b.places = tuple(p for p in b.places if p not in holding)
+    return out, sure
 
 
 def label(text: str, block: Block) -> str:
