@@ -38,19 +38,22 @@ class TextIds:
     """
 
     def __init__(self, path: str):
-        ranks = ranks_of(path)
-        self.tokenizer = None if ranks else library(path)
-        self.fast = ranks and tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks, added = ranks_of(path), added_of(path)
+        fast = ranks is not None and added is not None and not set(added.values()) & set(ranks.values())
+        self.tokenizer = None if fast else Tokenizer.from_file(path)
+        self.fast = fast and tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(self, text: str) -> bytes:
-        ids = self.fast.encode_to_numpy(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.fast.encode_to_numpy(text, allowed_special="all") if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
 
-def library(path: str) -> Tokenizer:
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+def added_of(path: str) -> dict[str, int] | None:
+    """Added tokens of the file, which a text is split at before all else; None if one takes in space or is looked for within words only."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    plain = not any(t.get(k) for t in found for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return {t["content"]: t["id"] for t in found} if plain else None
 
 
 def ranks_of(path: str) -> dict[bytes, int] | None:

@@ -377,11 +377,12 @@ def test_bpe_query_and_odd_tables(spark, texts, odd, clashing, empty):
 
 def test_packing_ids_equal_the_library():
     ids, t = packing.TextIds(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for text in ODD_TEXTS:
+    added = ["<|endoftext|> hello", "a <|endoftext|><|endoftext|>b", "x  <|endoftext|>  y\n", "<|endoftext", "<|endoftext|>", "it's <|endoftext|>'s"]
+    assert np.frombuffer(ids.encode(added[0]), "<u4").tolist() == [50256, 23748] and ids.fast
+    for text in [*ODD_TEXTS, *added, *[a.join(ODD_TEXTS[:5]) for a in added]]:
         assert np.frombuffer(ids.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
     slow = packing.TextIds(P.path("byte_bpe_50k.json"))
-    slow.fast, slow.tokenizer = None, packing.library(P.path("byte_bpe_50k.json"))
+    slow.fast, slow.tokenizer = None, t
     assert slow.encode("Some text, twice.") == ids.encode("Some text, twice.")
     assert packing.ranks_of(P.path("word_bpe_49k.json")) is None
 
