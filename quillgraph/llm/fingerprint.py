@@ -7,16 +7,19 @@ fingerprint is the set of chunk digests, each with its length; the likeness of a
 Written form: 13 hexadecimal digits a chunk, 10 of the digest and 3 of the length, sorted, without repeats. A null or empty text has
 the empty fingerprint; it is like an empty one by 1 and like any other by 0.
 
-`edited` pairs each row with the one of the next id (after the last comes the first; rows of one id go by their text, null ids come
-first). Ids are cut into ranges at approximate quantiles; the first row of a range is also sent to the range before, so a range has
-all that it needs and no task holds more than one range and the row after it. Repeated rows are neighbours of each other. An empty table
+`edited` pairs each row with the one of the next id (after the last comes the first; rows of one id go by a digest of their text, then by
+the text; null ids come first). Ids are of any type that Python orders as Spark does: numbers, strings, dates, binary. Rows are dealt by
+ranges of (id, digest), so many rows of one id are split too; equal rows stay together. The cuts come from a sample of SAMPLE
+keys a range, and their number from the bytes of all texts: a range has about RANGE_BYTES, more where that would make over MOST_RANGES.
+The first rows of a range are also sent to the range before, so a range has all that it needs and no task holds more
+than one range and the row after it. Repeated rows are neighbours of each other. An empty table
 gives no row. A very long text is chunked whole, in memory of its length; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgraph.llm.common import small_batches
 
 #: Chunk sizes in bytes, and the bits of the strict and the loose mask.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 16, 64, 512, 8, 4
 WINDOW = 32
+#: Text of a range of ids, how many ranges there may be, and keys that are sampled for each.
+RANGE_BYTES, MOST_RANGES, SAMPLE = 32 << 20, 20_000, 20
 #: A random number for each byte, from a digest of its value.
 GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear" + bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
 
@@ -105,38 +111,57 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
-def by_range(docs: DataFrame, n_ranges: int) -> DataFrame:
+def _key(doc_id: object, digest: int) -> tuple:
+    return (False, 0, digest) if doc_id is None else (True, doc_id, digest)
+
+
+def _cuts(keys: DataFrame, n_ranges: int | None) -> list[tuple]:
+    """The keys at which ranges begin, but for the first. keys: doc_id, digest, bytes."""
+    whole = keys.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    n_ranges = n_ranges or min(MOST_RANGES, -(-whole["bytes"] // RANGE_BYTES))
+    if n_ranges < 2 or not whole["n"]:
+        return []
+    share = min(1.0, SAMPLE * n_ranges / whole["n"])
+    sample = sorted(_key(r["doc_id"], r["digest"]) for r in keys.select("doc_id", "digest").sample(share, seed=1).collect())
+    return sorted({sample[k * len(sample) // n_ranges] for k in range(1, n_ranges)}) if sample else []
+
+
+def by_range(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """docs(doc_id, text) dealt by ranges of ids: columns range, after (0 own row, 1 the row after the range), doc_id, text; sorted."""
     spark = small_batches(docs).sparkSession
-    first = -(2**63)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(first)).alias("id"))
-    shares = [k / n_ranges for k in range(1, n_ranges)]
-    cuts = sorted(set(ids.agg(F.percentile_approx("id", shares, max(10_000, 20 * n_ranges)).alias("q")).first()["q"] or [])) if shares else []
-    cut = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # one number a range
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("digest"))
+    cut = spark.sparkContext.broadcast(_cuts(rows.select("doc_id", "digest", F.octet_length("text").alias("bytes")), n_ranges))  # at most MOST_RANGES keys
+
+    def ranged(batch: pa.RecordBatch) -> list[tuple[int, tuple]]:
+        keys = [_key(*x) for x in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), strict=True)]
+        return [(bisect_right(cut.value, k), k) for k in keys]
 
     def leasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple[tuple, int, pa.RecordBatch]] = {}
         for batch in batches:
-            ids_ = batch.column(0).fill_null(first).to_numpy()
-            at = np.searchsorted(cut.value, ids_, "right")
-            found = np.unique(at)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([ids_[at == k].min() for k in found], pa.int64())], names=["range", "least"])
+            for i, (at, key) in enumerate(ranged(batch)):
+                if at not in least or key < least[at][0]:
+                    least[at] = (key, i, batch)
+            least = {at: (key, 0, b.slice(i, 1)) for at, (key, i, b) in least.items()}
+        for at, (_, i, b) in least.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *b.slice(i, 1).columns], names=["range", "doc_id", "digest"])
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts = np.array(list(before.value), np.int64)
         for batch in batches:
-            ids_ = batch.column(0).fill_null(first).to_numpy()
-            at = np.searchsorted(cut.value, ids_, "right")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.zeros(len(at)), pa.int32()), *batch.columns], names=names)
-            for least in np.unique(ids_[np.isin(ids_, firsts)]).tolist():
-                rows, to = batch.filter(pa.array(ids_ == least)), before.value[least]
-                yield pa.RecordBatch.from_arrays([pa.array([to] * rows.num_rows, pa.int32()), pa.array([1] * rows.num_rows, pa.int32()), *rows.columns], names=names)
+            found, (ids, _, texts) = ranged(batch), (batch.column(c) for c in ("doc_id", "digest", "text"))
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in found], pa.int32()), pa.array([0] * n, pa.int32()), *batch.columns], names=names)
+            if first := [i for i, (_, key) in enumerate(found) if key in before.value]:
+                part = batch.take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([pa.array([before.value[found[i][1]] for i in first], pa.int32()), pa.array([1] * len(first), pa.int32()), *part.columns], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = ["range", "after", "doc_id", "text"]
-    least = sorted((r["range"], r["least"]) for r in rows.select("doc_id").mapInArrow(leasts, "range int, least long").groupBy("range").agg(F.min("least").alias("least")).collect())
-    before = spark.sparkContext.broadcast({v: least[k - 1][0] for k, (_, v) in enumerate(least)})  # least id of a range -> the range before it
-    dealt = rows.mapInArrow(ranges, "range int, after int, doc_id long, text string")
-    return dealt.repartition(max(1, n_ranges // 4), "range").sortWithinPartitions("range", "after", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    names, kind = ["range", "after", *rows.columns], rows.schema["doc_id"].dataType.simpleString()
+    lists = rows.select("doc_id", "digest").mapInArrow(leasts, f"range int, doc_id {kind}, digest long").groupBy("range").agg(F.min(F.struct("doc_id", "digest")).alias("k")).collect()
+    least = sorted((r["range"], _key(*r["k"])) for r in lists)
+    before = spark.sparkContext.broadcast({v: least[k - 1][0] for k, (_, v) in enumerate(least)})  # least key of a range -> the range before it
+    dealt = rows.mapInArrow(ranges, f"range int, after int, doc_id {kind}, text string, digest long")
+    return dealt.repartition(max(1, len(least)), "range").sortWithinPartitions("range", "after", F.asc_nulls_first("doc_id"), "digest", "text").drop("digest")
 
 
 def edited(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
@@ -144,9 +169,10 @@ def edited(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
 
     The edited text is the text with its last quarter (floor) replaced by the first as many code points of the next row's text.
     """
-    n_ranges = n_ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = by_range(docs, n_ranges)
+    kind = dealt.schema["doc_id"].dataType
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, size = [], None, 0  # held: the row that waits for the next
@@ -172,5 +198,5 @@ def edited(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return by_range(docs, n_ranges).mapInArrow(run, schema)
+    schema = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return dealt.mapInArrow(run, schema)
