@@ -11,7 +11,8 @@
 
 A bucket or cluster of more than BLOCK members (or WEIGHT shingles) is first compared with its first member. Members that tie with it
 are joined, so only the rest still ask: each block of the rest meets each block of all members. A group of copies of one text costs
-one comparison a member; nothing is left out.
+one comparison a member; nothing is left out. Where more than SPREAD blocks of a cluster's texts still ask (long chains), the cluster is
+compared within the buckets of step 2 that hold one that asks, so that a text moves at most once for each of its 40 buckets.
 
 Misses: a pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^40 < 3e-7. It is passed over if fewer than AGREE of its
 160 registers agree (probability 2e-10) or its estimate lies below SURE, over five standard errors of 0.035 away (below 1e-7). Together
@@ -41,6 +42,8 @@ from quillgraph.operators.graph import components
 #: Links need 100 * common >= PERCENT * union. SURE: the least estimate that is looked into. Share of registers that must agree.
 PERCENT, SURE, AGREE = 75, 0.55, 0.53
 BLOCK, WEIGHT, PAIRS = 1024, 4_000_000, 20_000
+#: A cluster in which more than so many blocks' worth of texts do not link with its first is compared within its buckets.
+SPREAD = 4
 #: Sets of so few shingles link only when equal: 2 of 3 is less than the threshold.
 TINY = 2
 
@@ -80,12 +83,13 @@ def together(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
 
-def compared(rows: DataFrame, payload: list[str], near: Callable, run: Callable) -> DataFrame:
+def compared(rows: DataFrame, payload: list[str], near: Callable, run: Callable, split: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b): spanning forests of the links within the keys of rows(key, id, blocks, *payload).
 
     run() takes columns key, x, y, asks, id, *payload and compares the pairs of which one asks. Keys of one block are compared as they
     are. Of larger ones, near() tells first which members link with the key's first one, from columns id, first, *payload and the
-    first's payload; the others ask.
+    first's payload; the others ask. Where they would ask more than SPREAD blocks' worth and split is given, it deals the key's rows and the
+    ids that ask into smaller keys, which hold every pair that can link.
     """
     columns = ["key", "x", "y", "asks", "id", *payload]
     zero, yes = F.lit(0), F.lit(True)
@@ -98,12 +102,35 @@ def compared(rows: DataFrame, payload: list[str], near: Callable, run: Callable)
     told = written(large.join(first, "key").select("key", "id", "first", *payload, *(f"first_{c}" for c in payload)).mapInArrow(near, "key long, id long, first long, near boolean"), "told")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     asking = told.where("not near").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("askers"))
+    spread = None
+    if split:
+        asking = written(asking, "asking")
+        far = asking.where(F.col("askers") > SPREAD).select("key")
+        if not far.isEmpty():
+            asks = told.where("not near").join(far, "key", "left_semi").select("key", "id")
+            spread = compared(split(large.join(far, "key", "left_semi"), asks), payload, near, run)
+            asking = asking.where(F.col("askers") <= SPREAD)
     members = large.join(asking, "key").withColumn("y", own).withColumn("x", F.explode(F.sequence(zero, F.col("askers") - 1)))
     askers = large.join(told.where("not near").select("key", "id"), ["key", "id"], "left_semi").join(asking, "key")
     askers = askers.withColumn("x", F.pmod(F.xxhash64("id"), F.col("askers")).cast("int")).withColumn("y", F.explode(F.sequence(zero, F.col("blocks").cast("int") - 1)))
     both = members.withColumn("asks", F.lit(False)).unionByName(askers.withColumn("asks", yes))
     rest = together(both.select(*columns)).mapInArrow(run, "a long, b long")
-    return links.unionByName(told.where("near and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))).unionByName(rest)
+    found = links.unionByName(told.where("near and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))).unionByName(rest)
+    return found if spread is None else found.unionByName(spread)
+
+
+def by_bands(entries: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Deals large clusters by the buckets of their members: a text goes to as many keys as it has buckets with one that asks, at most."""
+
+    def split(rows: DataFrame, asks: DataFrame) -> DataFrame:
+        band = entries.withColumnRenamed("key", "band")
+        placed = rows.select("key", "id", F.octet_length("text").alias("bytes")).join(band, "id").join(asks.withColumn("asks", F.lit(1)), ["key", "id"], "left")
+        placed = written(placed.select(F.xxhash64("key", "band").alias("at"), "id", "bytes", F.coalesce("asks", F.lit(0)).alias("asks")), "dealt")
+        sizes = placed.groupBy("at").agg(F.count(F.lit(1)).alias("members"), F.sum("asks").alias("asks"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK / 2), F.ceil(F.sum("bytes") / (8 * WEIGHT))).alias("blocks"))
+        kept = placed.select("at", "id").join(sizes.where("members > 1 and asks > 0").select("at", "blocks"), "at")
+        return kept.join(rows.select("id", "text"), "id").select(F.col("at").alias("key"), "id", "blocks", "text")
+
+    return split
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[list]]:
@@ -279,7 +306,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK / 2), F.ceil(F.sum("n") / WEIGHT)).alias("blocks"))
     named = sized.select("id", "row.doc_id", "row.hash", "component").join(written(blocks, "blocks"), "component")
     texts = docs.select(id_of(docs).alias("doc_id"), F.xxhash64("text").alias("hash"), "text").join(named, ["doc_id", "hash"])
-    found = components(compared(texts.select(F.col("component").alias("key"), "id", "blocks", "text"), ["text"], _link_first, _links))
+    found = components(compared(texts.select(F.col("component").alias("key"), "id", "blocks", "text"), ["text"], _link_first, _links, by_bands(entries)))
 
     of_class = classes.select(F.col("id").alias("class"), "row").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_class = written(of_class, "components")
@@ -296,7 +323,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one row of each component stays, that of the least id; of texts without a word one row of an id and text stays."""
+    """The rows of docs, all columns, of which one row of each component stays, that of the least id; of texts without a word one row of an id and text stays. Of rows with one id and text any may stay: which, where other columns differ, is not defined."""
     rows = labelled(docs).where("doc_id is not null")
     kept = rows.where("component is not null").select("first.doc_id", "first.hash").unionByName(rows.where("component is null").select("doc_id", "hash")).distinct()
     key, text = "dedup key of a row", "dedup hash of a text"

@@ -429,9 +429,31 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
         base[k : k + 2] = [f"new{i}", f"x{i}"]
         texts[i] = " ".join(base).upper() if i % 2 else " ".join(base)
     texts |= {100 + i: texts[i] for i in range(5)}
+    rows, want = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), linked_by_hand(texts)
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "SPREAD", 1000)
+    assert near_rows(rows) == want
+
+
+def test_long_chains_are_compared_within_buckets(spark, monkeypatch):
+    """A cluster of which most texts do not link with its first: a text moves once a bucket at most, however long the chain."""
+    random.seed(12)
+    base, texts = [f"w{random.randint(0, 999)}" for _ in range(120)], {}
+    for i in range(400):
+        k = (i * 7) % 120
+        base[k : k + 2] = [f"new{i}", f"x{i}"]
+        texts[i] = " ".join(base)
+    moved = []
+
+    def dealt(entries, real=neardup.by_bands):
+        split = real(entries)
+        return lambda rows, asks: moved.append((rows.count(), (out := split(rows, asks)).count())) or out
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "by_bands", dealt)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert near_rows(rows) == linked_by_hand(texts)
+    assert moved and all(0 < out <= 40 * n for n, out in moved)
 
 
 def test_near_duplicates_odd_tables(odd, clashing, empty):
