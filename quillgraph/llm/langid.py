@@ -24,6 +24,8 @@ from quillgraph.llm.common import crc_of_id, small_batches
 #: Entries of a profile, and the number of documents of a language whose n-grams are counted (expected; rows are picked by hash).
 PROFILE = 300
 SAMPLE_PER_LANG = 2000
+#: Languages that are learned, those with most documents first: a profile has a few KB, so the model stays below a few MB.
+MOST_LANGS = 500
 UND = "und"
 BLANK = 32
 #: The least score that the pipeline accepts.
@@ -67,15 +69,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
 
-def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE_PER_LANG) -> dict[str, list[int]]:
+def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE_PER_LANG, most: int = MOST_LANGS) -> dict[str, list[int]]:
     """Profiles from docs(doc_id, text, lang): one list of n-gram codes a language.
 
-    About `sample` documents of a language are read, those of least hashed id (all where it has fewer). What comes to the driver is
-    a count of each language with more documents than that, and the model: `size` codes a language, in order. No text is shuffled.
+    About `sample` documents of a language are read, those of least hashed id (all where it has fewer). The `most` languages with most
+    documents are learned, ties by name, so that dirty labels do not make the model grow. What comes to the driver is a count of each
+    of them, and the model: `size` codes a language, in order. No text is shuffled.
     """
     rows = small_batches(docs).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    large = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > sample).collect()}
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for lang, n in large.items() for x in (lang, sample / n)]), F.col("lang")), F.lit(1.0)) if large else F.lit(1.0)
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not known:
+        return {}
+    shares = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, sample / r["n"]))])
+    share = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0))
     picked = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / 2.0**53 < share).select("lang", "text")
     counts = picked.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")).alias("place")

@@ -610,6 +610,13 @@ def test_language_odd_tables(odd, clashing, empty):
     assert {r.lang_pred for r in langid.identified(unlabelled).collect()} == {"und"}
 
 
+def test_only_the_most_frequent_labels_are_learned(spark):
+    rows = [(i, f"some text of label {i % 7}", f"l{i % 7}") for i in range(60)] + [(100 + i, "dirty", f"dirty{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.learn(df, most=7)) == {f"l{k}" for k in range(7)}
+    assert len(langid.learn(df)) == 207 and langid.learn(df.limit(0)) == {}
+
+
 def test_ngrams_by_hand():
     text = "Ab, c"
     codes = collections.Counter(langid.ngrams(text).tolist())
