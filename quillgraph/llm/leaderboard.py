@@ -101,7 +101,7 @@ def changed(found: DataFrame, lines: DataFrame, days: list[int], batch: int) ->
     start = F.lit(days[0] - 1).cast("long")
     rows = found.select(*KEY, F.explode(F.array(start, *[F.lit(d).cast("long") for d in days])).alias("arrived"), "opening")
     rows = rows.select(*KEY, "arrived", F.when(F.col("arrived") == start, F.col("opening")).otherwise(0.0).alias("cents"))
-    own = lines.join(found.select(*KEY), KEY, "left_semi").groupBy(*KEY, "arrived").agg(F.sum("cents").alias("cents"))
+    own = lines.groupBy(*KEY, "arrived").agg(F.sum("cents").alias("cents")).join(found.select(*KEY), KEY, "left_semi")  # summed first: a hot key comes as a row a day
     each = rows.unionByName(own).groupBy(*KEY, "arrived").agg(F.sum("cents").alias("cents"))
     key = Window.partitionBy(*KEY).orderBy("arrived")
     each = each.withColumn("revenue", F.sum("cents").over(key.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", _place(["nation_id", "arrived"], "revenue"))
