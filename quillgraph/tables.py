@@ -67,3 +67,37 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file under a name that must be free: it is written beside it and renamed, so that it is there whole or not at all."""
+    files, at = _files(spark, path)
+    files.mkdirs(at.getParent())
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = files.create(beside, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(beside, at, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:
+        files.delete(beside, False)
+        raise FileExistsError(path) if "AlreadyExists" in str(e) else e
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    files, at = _files(spark, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; files that are still being written are left out."""
+    files, at = _files(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(at) if not s.getPath().getName().endswith(".part")) if files.exists(at) else []
