@@ -105,3 +105,29 @@ def inherited(child: DataFrame, parent: DataFrame, on: str, *columns: str) -> Da
     up = parent.select(on, *(F.col(c).alias(f"_{c}") for c in columns))
     out = child.join(up, on, "left")
     return out.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+
+
+def reference_relation(specs: list[tuple[str, DataFrame, dict[str, tuple[Column, str]]]]) -> DataFrame:
+    """(collection, field, target, ref, n): how often each field of each collection names each record; scalars and lists alike, nulls left out.
+
+    specs: collection, its rows, and for each field its column (or list) and the collection that it refers to. All fields of a
+    table come from one scan; equal references are counted before anything is shuffled.
+    """
+
+    def uses(df: DataFrame, field: str, ref: Column, target: str) -> Column:
+        entries = ref if df.select(ref).schema[0].dataType.typeName() == "array" else F.array(ref)
+        return F.transform(entries, lambda x: F.struct(F.lit(field).alias("field"), F.lit(target).alias("target"), x.cast("string").alias("ref")))
+
+    parts = []
+    for name, df, fields in specs:
+        each = F.flatten(F.array_compact(F.array(*(uses(df, f, c, t) for f, (c, t) in fields.items()))))
+        parts.append(df.select(F.lit(name).alias("collection"), F.explode(each).alias("r")).select("collection", "r.*").where("ref is not null"))
+    return reduce(DataFrame.unionByName, parts).groupBy("collection", "field", "target", "ref").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reference_faults(relation: DataFrame, records: DataFrame) -> DataFrame:
+    """(collection, field, n_references, dangling, merged) of a reference relation against records(target, ref, merged): one join for all fields."""
+    known = records.groupBy("target", F.col("ref").cast("string").alias("ref")).agg(F.min("merged").alias("merged"))
+    joined = relation.join(known, ["target", "ref"], "left")
+    sums = {"n_references": F.col("n"), "dangling": F.when(F.col("merged").isNull(), F.col("n")).otherwise(0), "merged": F.when(F.col("merged"), F.col("n")).otherwise(0)}
+    return joined.groupBy("collection", "field").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items())).select("collection", "field", *(F.col(f"_{k}").alias(k) for k in sums))

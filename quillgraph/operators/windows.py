@@ -80,3 +80,32 @@ def first_known(value: str, order: str) -> Column:
 def distinct_in_order(value: str, order: str) -> Column:
     """Distinct values in the order of their first row."""
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]))
+
+
+def intervals(changes: DataFrame, key: str, at: str, value: Column, *order: str, ended: Column | None = None) -> DataFrame:
+    """(key, value, valid_from, valid_to) from changes of value at times: valid_to is the next change's time, null where it still holds.
+
+    Of the changes of one key and time the last in `order` counts; changes without a key or time are left out. A change to the same value
+    starts nothing; `ended` ends what held. Times of one key are brought together first, so a busy key costs what its times cost.
+    """
+    now = F.when(~F.coalesce(ended, F.lit(False)), value) if ended is not None else value
+    last = changes.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, F.col(at).alias("valid_from")).agg(F.max_by(F.struct(now.alias("value")), F.struct(*order)).alias("r"))
+    w = Window.partitionBy(key).orderBy("valid_from")
+    rows = last.select(key, "valid_from", F.col("r.value").alias("value")).withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag("value").over(w))
+    starts = rows.where((F.col("_n") == 1) | ~F.col("value").eqNullSafe(F.col("_before")))
+    return starts.withColumn("valid_to", F.lead("valid_from").over(w)).where("value is not null").select(key, "value", "valid_from", "valid_to")
+
+
+def valid_when(rows: DataFrame, held: DataFrame, key: str, at: str) -> DataFrame:
+    """rows with value, valid_from and valid_to of the interval of their key that holds at their time; rows without one are left out.
+
+    Intervals are listed by the days that they touch, up to the last day of the rows, and key and day make the join: a busy key's rows
+    meet the few intervals of their day, and Spark can split them.
+    """
+    last = rows.agg(F.max(F.to_date(at)).alias("d")).first()["d"]
+    if last is None:
+        return rows.join(held, key).limit(0)
+    until = F.least(F.to_date(F.coalesce("valid_to", F.lit(last))), F.lit(last))
+    days = held.where(F.to_date("valid_from") <= F.lit(last)).withColumn("_day", F.explode(F.sequence(F.to_date("valid_from"), F.greatest(until, F.to_date("valid_from")))))
+    joined = rows.withColumn("_day", F.to_date(at)).join(days, [key, "_day"])
+    return joined.where((F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))).drop("_day")
