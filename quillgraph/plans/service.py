@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import joins, service
+from quillgraph.operators import joins, provider, service
 from quillgraph.plans.registry import ORDERS_NOW, query, table
 
 
@@ -74,3 +74,22 @@ def question_status(s, d):
     sources = _sources(s, d) | {"person_context": service.Source(table(s, d, "orders"), "commitment", "o_orderkey", "o_orderdate", "o_custkey")}
     rows = [(q, a.parsed.intent, a.status, service.wording(a.status, 1, "records")) for q in asked for a in [service.ask(q, ORDERS_NOW, sources, people, "c_custkey", "name")]]
     return s.createDataFrame(rows, "question string, intent string, status string, answer string")
+
+
+def _word_counter():
+    """A provider of the tests: counts words, and answers no batch with a question in it, as a service that fails would."""
+
+    def call(texts):
+        if any("?" in t for t in texts):
+            raise RuntimeError("questions are not answered")
+        return [{"n_words": len(t.split()), "label": "long" if len(t.split()) > 40 else "short"} for t in texts]
+
+    return call
+
+
+@query("""SELECT conv_id, turn, CASE WHEN NOT contains(text, '?') THEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) END::BIGINT AS n_words,
+CASE WHEN contains(text, '?') THEN NULL WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 40 THEN 'long' ELSE 'short' END AS label, CASE WHEN contains(text, '?') THEN 'RuntimeError: questions are not answered' END AS error FROM conversations""")
+def provider_analysis(s, d):
+    """UD1, UD4, UD5: a provider called in batches on the executors; texts that it fails on keep their rows, with the error, after one retry."""
+    rows = table(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return provider.provided(rows, "text", _word_counter, "n_words long, label string").drop("text")
