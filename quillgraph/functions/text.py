@@ -105,6 +105,18 @@ def short_nickname(name: Column, other: Column) -> Column:
     return (F.size(name) == 1) & (F.length(F.get(name, F.lit(0))) <= 3) & ~((F.size(other) == 1) & F.arrays_overlap(name, other))
 
 
+def envelope(addresses: Column) -> Column:
+    """Addresses once each, whatever the case of their letters, as they were first written."""
+    low = F.transform(addresses, F.lower)
+    return F.filter(addresses, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def meeting_fingerprint(title: Column, start: Column, end: Column) -> Column:
+    """What tells one proposed meeting from another: its title and times, in ISO form."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat_ws("_", title, iso(start), iso(end))
+
+
 def json_block(c: Column) -> Column:
     """The JSON object that a text, less the code fence around it, starts with; what follows it does not count. Null if there is none."""
     bare = F.trim(c, F.lit(" \t\r\n"))

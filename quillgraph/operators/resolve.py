@@ -7,10 +7,12 @@ block is one task's work; blocks are as large as the correspondence of people wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from datetime import timedelta
+from itertools import groupby
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,29 +122,98 @@ def _fold_threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["message_id", "thread_id", "signal"])
 
 
-def facts(mentions: DataFrame) -> DataFrame:
-    """thread_id, subject_key, predicate, fact_key, current_value, n_mentions, n_changes of the facts of mentions(..., object, seq)."""
-    rows = mentions.select("thread_id", "subject_key", "predicate", "object", "seq", normalize_text(F.col("object")).alias("normal"))
-    rows = rows.withColumn("fact_key", fact_key(F.col("normal")))
+Verify = Callable[[str, str, str, str], bool]
+
+
+def facts(mentions: DataFrame, verify: Verify | None = None) -> DataFrame:
+    """thread_id, subject_key, predicate, fact_key, current_value, n_mentions, n_changes of the facts of mentions(..., object, seq).
+
+    A mention belongs to the fact of its key; else to the most similar one (the first of several) if their ratio is SAME or more, or if it
+    is MAYBE or more and verify(known value, value, subject, predicate) agrees; without verify, VERIFIED or more agrees. Mentions of a
+    thread, subject and predicate stream through one task in order; what it holds is the facts, not the mentions.
+    """
+    key = ["thread_id", "subject_key", "predicate"]
+    rows = mentions.select(*(F.col(c).cast("string").alias(c) for c in key), F.col("object").cast("string").alias("object"), "seq", normalize_text(F.col("object")).alias("normal"))
+    rows = rows.withColumn("fact_key", fact_key(F.col("normal"))).repartition(*key).sortWithinPartitions(*key, "seq", "object").drop("seq")
     schema = "thread_id string, subject_key string, predicate string, fact_key string, current_value string, n_mentions long, n_changes long"
-    return rows.groupBy("thread_id", "subject_key", "predicate").applyInPandas(_fold_facts, schema)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-def _fold_facts(rows: pd.DataFrame) -> pd.DataFrame:
-    known: list[dict] = []
-    for r in rows.sort_values("seq").to_dict("records"):
-        found = next((k for k in known if k["fact_key"] == r["fact_key"]), None)
-        if found is None:
-            best, ratio = max(((k, sorted_token_ratio(k["normal"], r["normal"])) for k in known), key=lambda x: x[1], default=(None, 0.0))
-            if ratio >= SAME or ratio >= MAYBE and ratio >= VERIFIED:
-                found = best
-        if found is None:
-            known.append({"fact_key": r["fact_key"], "normal": r["normal"], "value": r["object"], "n": 1, "changes": 0})
-            continue
-        found["n"] += 1
-        digits = lambda x: next(iter(pd.Series([x]).str.extract(r"(\d+)")[0]), None)
-        same_number = found["fact_key"] == "seat_count" and digits(found["normal"]) == digits(r["normal"])
-        if r["normal"] != found["normal"] and not same_number:
-            found |= {"normal": r["normal"], "value": r["object"], "changes": found["changes"] + 1}
-    first = rows.iloc[0]
-    return pd.DataFrame([(first.thread_id, first.subject_key, first.predicate, k["fact_key"], k["value"], k["n"], k["changes"]) for k in known], columns=["thread_id", "subject_key", "predicate", "fact_key", "current_value", "n_mentions", "n_changes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, group in groupby(read(batches), key=lambda r: r[:3]):
+            found = Facts(own[1], own[2], verify)
+            for *_, value, normal, name in group:
+                found.take(value, normal, name)
+            columns = list(zip(*((*own, *f) for f in found.rows()), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 5 else pa.int64()) for k, c in enumerate(columns)], names=[*key, "fact_key", "current_value", "n_mentions", "n_changes"])
+
+    return rows.mapInArrow(run, schema)
+
+
+class Facts:
+    """The facts of one thread, subject and predicate so far.
+
+    Which may be similar is told by an upper bound of the ratio: a common subsequence is no longer than what the two texts have in common
+    of each character. The bound is taken of all facts at once; ratios are then computed from the largest bound down, until no
+    bound reaches the best ratio.
+    """
+
+    CLASSES = 32
+
+    def __init__(self, subject: str | None, predicate: str | None, verify: Verify | None = None):
+        self.subject, self.predicate, self.verify = subject, predicate, verify
+        self.keys: dict[str | None, int] = {}
+        self.facts: list[list] = []  # key, value, mentions, changes, normal text, its sorted tokens
+        self.counts, self.sizes = np.zeros((16, self.CLASSES), np.int32), np.zeros(16, np.int32)
+
+    def _classes(self, tokens: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(tokens.encode("utf-32-le", "surrogatepass"), np.uint32) % self.CLASSES, minlength=self.CLASSES).astype(np.int32)
+
+    def _put(self, k: int, normal: str | None) -> None:
+        tokens = None if normal is None else " ".join(sorted(normal.split()))
+        self.facts[k][4:] = [normal, tokens]
+        if k == len(self.sizes):
+            self.counts, self.sizes = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.counts[k], self.sizes[k] = (0, -1) if tokens is None else (self._classes(tokens), len(tokens))
+
+    def nearest(self, normal: str | None) -> tuple[int, float]:
+        """The fact with the greatest ratio of MAYBE or more, the first of several, and the ratio; -1 if there is none."""
+        if normal is None or not self.facts:
+            return -1, 0.0
+        tokens, n = " ".join(sorted(normal.split())), len(self.facts)
+        sizes = self.sizes[:n] + len(tokens)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bounds = np.where(sizes > 0, 200.0 * np.minimum(self.counts[:n], self._classes(tokens)).sum(axis=1) / sizes, 100.0)
+        bounds[self.sizes[:n] < 0] = 0.0
+        best, ratio = -1, 0.0
+        at = np.flatnonzero(bounds >= MAYBE - 1e-9)
+        for k in at[np.argsort(-bounds[at], kind="stable")].tolist():
+            if bounds[k] < ratio - 1e-9:
+                break
+            found = sorted_token_ratio(self.facts[k][4], normal)
+            if found >= MAYBE and (found > ratio or found == ratio and k < best):
+                best, ratio = k, found
+        return best, ratio
+
+    def take(self, value: str | None, normal: str | None, name: str | None) -> None:
+        k = self.keys.get(name, -1)
+        if k < 0:
+            near, ratio = self.nearest(normal)
+            if near >= 0 and (ratio >= SAME or (self.verify(self.facts[near][1], value, self.subject, self.predicate) if self.verify else ratio >= VERIFIED)):
+                k = near
+        if k < 0:
+            self.keys[name] = len(self.facts)
+            self.facts.append([name, value, 1, 0, None, None])
+            self._put(len(self.facts) - 1, normal)
+            return
+        fact = self.facts[k]
+        fact[2] += 1
+        number = lambda x: next(iter(re.findall(r"[0-9]+", x or "")), None)
+        if normal != fact[4] and not (fact[0] == "seat_count" and number(fact[4]) == number(normal)):
+            fact[1], fact[3] = value, fact[3] + 1
+            self._put(k, normal)
+
+    def rows(self) -> Iterator[tuple]:
+        return (tuple(f[:4]) for f in self.facts)

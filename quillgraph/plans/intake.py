@@ -88,9 +88,10 @@ def note_links(s, d):
     return markdown.links(notes).select("id", "label", "kind", "target")
 
 
-@query("""SELECT count(*)::BIGINT AS rows_, count(*)::BIGINT AS intact, 0::BIGINT AS damaged FROM supplier""")
+@query("""SELECT count(*)::BIGINT AS rows_, count(*) FILTER (s_suppkey % 10 <> 3)::BIGINT AS intact, count(*) FILTER (s_suppkey % 10 = 3)::BIGINT AS damaged FROM supplier""")
 def plan_file(s, d):
-    """SNK5: rows of a plan written with a checksum each, read back and checked."""
+    """SNK5: rows of a plan written with a checksum each, of which every tenth is changed, read back and checked."""
     plan = table(s, d, "supplier").select(F.to_json(F.struct("s_suppkey", "s_name")).alias("step"))
-    back = written(plan.withColumn("checksum", F.sha2("step", 256)), "plan")
+    changed = F.when(F.get_json_object("step", "$.s_suppkey").cast("long") % 10 == 3, F.concat("step", F.lit(" "))).otherwise(F.col("step"))
+    back = written(plan.withColumn("checksum", F.sha2("step", 256)).withColumn("step", changed), "plan")
     return back.agg(F.count(F.lit(1)).alias("rows_"), F.count_if(F.sha2("step", 256) == F.col("checksum")).alias("intact"), F.count_if(F.sha2("step", 256) != F.col("checksum")).alias("damaged"))

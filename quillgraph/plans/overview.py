@@ -56,11 +56,12 @@ def page_with_next(s, d):
     return page.agg(F.count(F.lit(1)).alias("rows_"), (F.count(F.lit(1)) == 25).alias("has_next"), F.count_if(retrieve.containing("c_name", "6")).alias("shown"))
 
 
-@query("""SELECT 'customer' AS collection, 0::BIGINT AS n UNION ALL SELECT 'orders', 0::BIGINT""")
+@query("""SELECT 'customer' AS collection, count(*)::BIGINT AS n_before, 0::BIGINT AS n FROM customer UNION ALL SELECT 'orders', count(*)::BIGINT, 0::BIGINT FROM orders UNION ALL SELECT 'events', count(*)::BIGINT, 0::BIGINT FROM events""")
 def guarded_reset(s, d):
     """SNK10: collections without a row, in test and development alone."""
-    left = [maintenance.reset(table(s, d, t), "test").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("collection"), "n") for t in ("customer", "orders")]
-    return left[0].unionByName(left[1])
+    count = lambda df, c, t: df.agg(F.count(F.lit(1)).alias(c)).withColumn("collection", F.lit(t))
+    rows = [count(table(s, d, t), "n_before", t).join(count(maintenance.reset(table(s, d, t), "test"), "n", t), "collection") for t in ("customer", "orders", "events")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("""SELECT 'demo-' || k AS id, 'demo-thread' AS thread, CASE WHEN k % 2 = 0 THEN 'ann@lead.example' ELSE 'me@own.example' END AS sender, TIMESTAMP '2024-01-01' + to_days(CAST(k AS INTEGER)) AS at FROM range(9) t(k)""")
@@ -126,10 +127,10 @@ def merge_records(s, d):
     return rows.select("l_orderkey", F.array_join(F.transform(merged, lambda x: F.concat(x["value"], F.lit(":"), x["source"])), ",").alias("records")).where("records <> ''")
 
 
-@query("""SELECT conv_id, turn, turn % 3 = 0 AND turn % 2 = 0 OR turn % 3 = 1 AND turn % 2 = 0 AS warned FROM conversations""")
+@query("""SELECT conv_id, turn, turn % 3 <> 2 AND turn % 2 = 0 AS warned FROM conversations""")
 def missed_commitments(s, d):
-    """TX9: commitment language while nothing was extracted."""
+    """TX9: commitment language anywhere in a text, here after all that was said, while nothing was extracted."""
     t = F.col("turn")
-    body = F.when(t % 3 == 0, "I will send it").when(t % 3 == 1, "Could you look?").otherwise("Thanks")
+    body = F.concat("text", F.when(t % 3 == 0, "\nI will send it").when(t % 3 == 1, "\nCould you look?").otherwise("\nThanks"))
     found = F.when(t % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
     return table(s, d, "conversations").select("conv_id", "turn", classify.missed_commitment(body, found).alias("warned"))

@@ -91,7 +91,7 @@ def references_to_merged(s, d):
 
 @query("""SELECT o_orderkey, CASE WHEN count(c_custkey) = 0 THEN 'unknown' WHEN bool_and(s_nationkey = c_nationkey) THEN 'internal' ELSE 'external' END AS class FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def internal_meetings(s, d):
-    """JN24, TX12."""
+    """JN24."""
     o, line = table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "lineitem").select("l_orderkey", "l_suppkey")
     rows = o.join(line, F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     same = F.bool_and(F.col("s_nationkey") == F.col("c_nationkey"))
@@ -259,7 +259,7 @@ def thread_resolution(s, d):
 
 @query("""SELECT user_id, event_type, count(*)::BIGINT AS mentions FROM events GROUP BY 1, 2""")
 def facts_by_key(s, d):
-    """ER14-ER16, first rung: exact keys."""
+    """How often each exact key is mentioned."""
     return table(s, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("mentions"))
 
 

@@ -104,10 +104,17 @@ def email_domains(s, d):
     return table(s, d, "customer").select("c_custkey", a.alias("a")).select("c_custkey", text.email_domain(F.col("a")).alias("domain"))
 
 
-@query("""SELECT user_id, arg_min(event_type, event_id) AS first_kind, count(DISTINCT lower(event_type))::BIGINT AS n FROM events GROUP BY 1""")
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> '') AS v FROM conversations),
+a AS (SELECT conv_id, turn, list_transform(list_concat(v[1:4], list_transform(v[2:5], lambda x: upper(x))), lambda x: x || '@x.example') AS v FROM w)
+SELECT conv_id, turn, array_to_string(list_filter(v, lambda x, i: list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i), ',') AS envelope, coalesce(v[1], '') || '_2024-01-01T0' || turn % 9 || ':00:00_2024-01-01T0' || turn % 9 || ':30:00' AS fingerprint FROM a""")
 def envelope_distinct(s, d):
-    """FN15, FN16."""
-    return table(s, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_kind"), F.count_distinct(F.lower("event_type")).alias("n"))
+    """FN15, FN16: addresses made of a text's words, each once whatever its letters' case, as first written; the fingerprint of a meeting."""
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
+    rows = table(s, d, "conversations").select("conv_id", "turn", words.alias("v"))
+    rows = rows.select("conv_id", "turn", F.transform(F.concat(F.slice("v", 1, 4), F.transform(F.slice("v", 2, 4), F.upper)), lambda x: F.concat(x, F.lit("@x.example"))).alias("v"))
+    at = lambda minute: F.to_timestamp_ntz(F.format_string(f"2024-01-01 %02d:{minute}:00", (F.col("turn") % 9).cast("int")))
+    mark = text.meeting_fingerprint(F.coalesce(F.get("v", F.lit(0)), F.lit("")), at("00"), at("30"))
+    return rows.select("conv_id", "turn", F.array_join(text.envelope(F.col("v")), ",").alias("envelope"), mark.alias("fingerprint"))
 
 
 @query()
@@ -119,13 +126,13 @@ def fuzzy_names(s, d):
     return pairs.select("a", "b", F.round(text.fuzzy_ratio("a", "b"), 2).alias("ratio"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN '{"k":' || o_orderkey || ',"s":"a } b"}' END AS block FROM orders""")
+@query("""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 IN (0, 1, 2) THEN '{"k":' || conv_id || ',"s":' || CAST(to_json('a } ' || text) AS VARCHAR) || '}' END AS block FROM conversations""")
 def json_blocks(s, d):
-    """FN18: fenced, bare, followed by other text; a list or prose first is no object."""
-    one = F.concat(F.lit('{"k": '), F.col("o_orderkey").cast("string"), F.lit(', "s": "a } b"}'))
-    case = F.col("o_orderkey") % 5
+    """FN18: whole texts in an object that is fenced, bare or followed by other text; a list or prose first is no object."""
+    one = F.to_json(F.struct(F.col("conv_id").alias("k"), F.concat(F.lit("a } "), "text").alias("s")))
+    case = (F.col("conv_id") + F.col("turn")) % 5
     body = F.when(case == 0, F.concat(F.lit("```json\n"), one, F.lit("\n```\n"))).when(case == 1, F.concat(one, F.lit("\nand {\"k\": 0}"))).when(case == 2, one).when(case == 3, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit("Sure: "), one))
-    return table(s, d, "orders").select("o_orderkey", text.json_block(body).alias("block"))
+    return table(s, d, "conversations").select("conv_id", "turn", text.json_block(body).alias("block"))
 
 
 @query("""SELECT event_id, printf('- [%s] %s: %s', event_type, CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d')) AS line, CASE WHEN value > 50 THEN 'ok' WHEN value > 10 THEN 'empty' ELSE 'error' END AS answer FROM events""")
@@ -162,13 +169,15 @@ _BODIES = [
     "We use Salesforce; pricing is slow and manual. Can you send a demo?", "I will meet you tomorrow at 3pm for 45 minutes", "As discussed, during our call we saw HubSpot", "We need 50 seats and 20 users, security review first",
     "I'll follow up on Friday at 10:30", "Maybe we chat sometime soon", "Our sync is on Monday", "procurement asks for a proposal in 2 weeks", "call on tuesday at 14:00 for 2 hours", "see you June 5th", "nothing here",
 ]
-_B_SQL = "CASE (o_orderkey % 11) " + " ".join("WHEN {} THEN '{}'".format(k, b.replace("'", "''")) for k, b in enumerate(_BODIES)) + " END"
+_B_SQL = "CASE ((conv_id + turn) % 11) " + " ".join("WHEN {} THEN '{}'".format(k, b.replace("'", "''")) for k, b in enumerate(_BODIES)) + " END"
 
 
 def _bodies(s, d):
-    """Orders with one of the bodies, for rules that need a date of each row."""
-    pick = F.get(F.array(*map(F.lit, _BODIES)), (F.col("o_orderkey") % 11).cast("int"))
-    return table(s, d, "orders").select("o_orderkey", pick.alias("b"), F.col("o_orderdate").alias("now"))
+    """Whole texts, every fourth as it is and the others with a body after them, each with a time of its own."""
+    k = F.col("conv_id") + F.col("turn")
+    pick = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.get(F.array(*map(F.lit, _BODIES)), (k % 11).cast("int"))))
+    now = F.make_timestamp_ntz(F.lit(1996), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval((k % 1000).cast("int"), (F.col("turn") % 24).cast("int"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.concat("text", pick).alias("b"), now.alias("now"))
 
 
 _SIGNALS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(b, '(?i){p}') THEN '{v}' END" for p, v in classify.SIGNALS) + "], lambda x: x IS NOT NULL)"
@@ -253,15 +262,15 @@ def date_phrases(s, d):
 
 
 
-@query(f"""WITH p AS (SELECT o_orderkey, o_orderdate AS now, {_PHRASE} AS phrase FROM (SELECT o_orderkey, o_orderdate, {_B_SQL} AS b FROM orders)),
+@query(f"""WITH p AS (SELECT conv_id, turn, now, {_PHRASE} AS phrase FROM (SELECT conv_id, turn, TIMESTAMP '1996-01-01' + to_days(CAST((conv_id + turn) % 1000 AS INTEGER)) + to_hours(CAST(turn % 24 AS INTEGER)) AS now, text || CASE WHEN (conv_id + turn) % 4 = 0 THEN '' ELSE ' ' || {_B_SQL} END AS b FROM conversations)),
 w AS (SELECT *, CASE lower(phrase) WHEN 'monday' THEN 1 WHEN 'tuesday' THEN 2 WHEN 'friday' THEN 5 END AS dow FROM p)
-SELECT o_orderkey, CASE WHEN phrase = 'June 5th' THEN CASE WHEN make_date(year(now), 6, 5) < CAST(now AS DATE) THEN make_date(year(now) + 1, 6, 5) ELSE make_date(year(now), 6, 5) END::TIMESTAMP
+SELECT conv_id, turn, CASE WHEN phrase = 'June 5th' THEN CASE WHEN make_date(year(now), 6, 5) < CAST(now AS DATE) THEN make_date(year(now) + 1, 6, 5) ELSE make_date(year(now), 6, 5) END::TIMESTAMP
 WHEN phrase = 'tomorrow' THEN now + INTERVAL 1 DAY WHEN dow IS NOT NULL THEN now + to_days(CAST(CASE WHEN (dow - isodow(now) + 7) % 7 = 0 THEN 7 ELSE (dow - isodow(now) + 7) % 7 END AS INTEGER)) WHEN phrase = 'in 2 weeks' THEN now + INTERVAL 14 DAY END AS at,
 CASE WHEN phrase IS NULL THEN NULL WHEN phrase = 'June 5th' THEN 'stated' WHEN phrase = 'sometime' THEN 'window' ELSE 'inferred' END AS kind FROM w""")
 def date_phrase_resolution(s, d):
     """DT3."""
-    rows = _bodies(s, d).select("o_orderkey", "now", dates.date_phrase(F.col("b")).alias("phrase")).select("o_orderkey", dates.resolved_phrase(F.col("phrase"), F.col("now")).alias("r"))
-    return rows.select("o_orderkey", "r.at", "r.kind")
+    rows = _bodies(s, d).select("conv_id", "turn", "now", dates.date_phrase(F.col("b")).alias("phrase")).select("conv_id", "turn", dates.resolved_phrase(F.col("phrase"), F.col("now")).alias("r"))
+    return rows.select("conv_id", "turn", "r.at", "r.kind")
 
 
 

@@ -139,6 +139,47 @@ def test_facts_match_mention_by_mention(spark):
     assert any(f[4] for f in want)
 
 
+def test_bounds_lose_no_similar_fact():
+    """The nearest fact against all ratios, over texts of many kinds and after values have changed."""
+    rng = random.Random(3)
+    for _ in range(40):
+        f = resolve.Facts("s", "p", lambda *_: False)
+        for k in range(60):
+            words = " ".join(rng.choice(["monthly", "weekly", "report", "reports", "seat", "日本", "x", ""]) for _ in range(rng.randrange(5))).strip()
+            want = max(((text.sorted_token_ratio(g[4], words), -i) for i, g in enumerate(f.facts)), default=(0.0, 0))
+            near, ratio = f.nearest(words)
+            assert (near, ratio) == ((-want[1], want[0]) if want[0] >= 60 else (-1, 0.0))
+            f.take(words, words, words if rng.random() < 0.7 else f"key {k}")
+
+
+def test_the_rung_that_asks():
+    """90 or more is the same fact, 60 to 90 is what the verifier says, below 60 is another."""
+    asked = []
+
+    def verify(known, new, subject, predicate):
+        asked.append((known, new, subject, predicate))
+        return new == "concerns about data migration"
+
+    f = resolve.Facts("customer", "has", verify)
+    for value in ("data migration concerns", "concerns about data migration", "pricing request", "proposal request", "data  migration concerns!", "zzz"):
+        f.take(value, value, value)
+    assert [r[1:] for r in f.rows()] == [("concerns about data migration", 2, 1), ("pricing request", 1, 0), ("proposal request", 1, 0), ("data  migration concerns!", 1, 0), ("zzz", 1, 0)]
+    assert ("data migration concerns", "concerns about data migration", "customer", "has") in asked and ("pricing request", "proposal request", "customer", "has") in asked
+    assert all(60 <= text.sorted_token_ratio(a, b) < 90 for a, b, *_ in asked)
+
+
+def test_many_mentions_of_one_key():
+    """Twenty thousand mentions of two thousand facts within a minute; only bounds are taken of all facts."""
+    import time
+
+    rng, f, began = random.Random(1), resolve.Facts("s", "p", lambda *_: False), time.perf_counter()
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(2000)]
+    for _ in range(20_000):
+        x = rng.choice(names)
+        f.take(x, x, x)
+    assert sum(r[2] for r in f.rows()) == 20_000 and time.perf_counter() - began < 60
+
+
 def test_context_fold_matches_delta_by_delta(spark):
     random.seed(5)
     rows, want = [], {}
