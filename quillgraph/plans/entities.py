@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.operators import entities, maintenance
+from quillgraph.operators import entities, maintenance, people
 from quillgraph.plans.registry import query, table
 
 FIRST, LAST = ["ann", "bo", "cy", "dee", "eve"], ["lee", "kim", "fox", "roe", "day", "may", "orr"]
@@ -212,3 +212,17 @@ def organization_merge(s, d):
     merged = maintenance.absorbed(rows, mapping, "id", "name", ["website"])
     lines = maintenance.repointed(table(s, d, "lineitem").select("l_suppkey"), mapping, "l_suppkey").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("n_lines"))
     return merged.join(lines, "id", "left").select("id", "name", "website", F.array_join("aliases", ",").alias("aliases"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
+
+
+@query()
+def person_fold(s, d):
+    """ER4, ER5, AG16, AG17: all mentions in order: by address with backfills, by organization and name with aliases that grow, by thread."""
+    k = F.col("c_custkey")
+    first, last = (F.array(*map(F.lit, x.split())) for x in ("Ann Bo Cy Dee Eve Flo Gus Hal", "Lee Kim Roe Poe Orr Fox Day Moss Hill Lake Wood"))
+    one, two = F.element_at(first, (k % 8 + 1).cast("int")), F.element_at(last, (k % 11 + 1).cast("int"))
+    name = F.when(k % 5 == 0, one).when(k % 5 == 1, two).when(k % 5 < 4, F.concat_ws(" ", one, two))
+    mentions = table(s, d, "customer").select(
+        F.lpad(k.cast("string"), 12, "0").alias("mention"), F.timestamp_seconds(F.lit(1704067200) + k).alias("at"), F.concat(F.lit("t"), (k % 97).cast("string")).alias("thread"), F.when(k % 3 == 0, F.concat(F.lit("p"), (k % 88).cast("string"), F.lit("@x.example"))).alias("email"),
+        name.alias("name"), F.when(k % 4 > 0, F.concat(F.lit("Org "), F.col("c_nationkey").cast("string"))).alias("org"), F.when(k % 6 == 0, F.lit("CTO")).alias("role"), F.when(k % 7 < 5, k % 2 == 0).alias("sender"),
+    )
+    return people.outcomes(people.folded(mentions))
