@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -126,6 +126,13 @@ def _cuts(keys: DataFrame, n_ranges: int | None) -> list[tuple]:
     return sorted({sample[k * len(sample) // n_ranges] for k in range(1, n_ranges)}) if sample else []
 
 
+def _apart(spark: SparkSession, n: int) -> list[int]:
+    """For each of n ranges a number that hash partitioning puts into a partition of its own."""
+    found = spark.range(16 * n + 64).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    of = {r["p"]: r["id"] for r in found}
+    return [of.get(p, 16 * n + 64 + p) for p in range(n)]
+
+
 def by_range(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """docs(doc_id, text) dealt by ranges of ids: columns range, after (0 own row, 1 the row after the range), doc_id, text; sorted."""
     spark = small_batches(docs).sparkSession
@@ -151,17 +158,18 @@ def by_range(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
         for batch in batches:
             found, (ids, _, texts) = ranged(batch), (batch.column(c) for c in ("doc_id", "digest", "text"))
             n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in found], pa.int32()), pa.array([0] * n, pa.int32()), *batch.columns], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([apart[at] for at, _ in found], pa.int32()), pa.array([0] * n, pa.int32()), *batch.columns], names=names)
             if first := [i for i, (_, key) in enumerate(found) if key in before.value]:
                 part = batch.take(pa.array(first))
-                yield pa.RecordBatch.from_arrays([pa.array([before.value[found[i][1]] for i in first], pa.int32()), pa.array([1] * len(first), pa.int32()), *part.columns], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([apart[before.value[found[i][1]]] for i in first], pa.int32()), pa.array([1] * len(first), pa.int32()), *part.columns], names=names)
 
     names, kind = ["range", "after", *rows.columns], rows.schema["doc_id"].dataType.simpleString()
     lists = rows.select("doc_id", "digest").mapInArrow(leasts, f"range int, doc_id {kind}, digest long").groupBy("range").agg(F.min(F.struct("doc_id", "digest")).alias("k")).collect()
     least = sorted((r["range"], _key(*r["k"])) for r in lists)
+    apart = _apart(spark, len(cut.value) + 1)
     before = spark.sparkContext.broadcast({v: least[k - 1][0] for k, (_, v) in enumerate(least)})  # least key of a range -> the range before it
     dealt = rows.mapInArrow(ranges, f"range int, after int, doc_id {kind}, text string, digest long")
-    return dealt.repartition(max(1, len(least)), "range").sortWithinPartitions("range", "after", F.asc_nulls_first("doc_id"), "digest", "text").drop("digest")
+    return dealt.repartition(len(apart), "range").sortWithinPartitions("range", "after", F.asc_nulls_first("doc_id"), "digest", "text").drop("digest")
 
 
 def edited(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:

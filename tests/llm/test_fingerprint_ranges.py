@@ -29,6 +29,8 @@ def test_next_row_of_any_id(spark, kind, n_ranges):
 def test_rows_of_one_id_are_split(spark):
     df = spark.createDataFrame([(7, f"text {i}") for i in range(4000)], "doc_id long, text string")
     sizes = [r["n"] for r in fingerprint.by_range(df, 8).groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    dealt = fingerprint.by_range(df, 8).withColumn("p", F.spark_partition_id())
+    assert dealt.select("p", "range").distinct().count() == dealt.select("p").distinct().count() == 8  # a task has one range
     assert len(sizes) == 8 and max(sizes) < 1500 and sum(sizes) == 4008
 
 
