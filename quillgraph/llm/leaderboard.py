@@ -98,13 +98,13 @@ def contenders(keys: DataFrame) -> DataFrame:
 
 def changed(found: DataFrame, lines: DataFrame, days: list[int], batch: int) -> DataFrame:
     """The changes of the boards over the batch's arrival days. found: contenders; lines: the batch's counted lines."""
-    start = F.lit(days[0] - 1).cast("long")
-    rows = found.select(*KEY, F.explode(F.array(start, *[F.lit(d).cast("long") for d in days])).alias("arrived"), "opening")
-    rows = rows.select(*KEY, "arrived", F.when(F.col("arrived") == start, F.col("opening")).otherwise(0.0).alias("cents"))
-    own = lines.groupBy(*KEY, "arrived").agg(F.sum("cents").alias("cents")).join(found.select(*KEY), KEY, "left_semi")  # summed first: a hot key comes as a row a day
-    each = rows.unionByName(own).groupBy(*KEY, "arrived").agg(F.sum("cents").alias("cents"))
-    key = Window.partitionBy(*KEY).orderBy("arrived")
-    each = each.withColumn("revenue", F.sum("cents").over(key.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", _place(["nation_id", "arrived"], "revenue"))
+    start, key = F.lit(days[0] - 1).cast("long"), Window.partitionBy(*KEY).orderBy("arrived")
+    own = lines.groupBy(*KEY, "arrived").agg(F.sum("cents").alias("cents"))  # summed first: a hot key comes as a row a day
+    lists = found.join(own, KEY, "left").groupBy(*KEY, "opening").agg(F.collect_list(F.struct("arrived", "cents")).alias("own"))  # at most a row a day
+    dates = F.array(start, *[F.lit(d).cast("long") for d in days])
+    until = F.aggregate(F.filter("own", lambda x: x["arrived"] <= F.col("day")), F.col("opening"), lambda t, x: t + x["cents"])
+    each = lists.select(*KEY, "opening", "own", F.explode(dates).alias("day")).select(*KEY, F.col("day").alias("arrived"), until.alias("revenue"))
+    each = each.withColumn("place", _place(["nation_id", "arrived"], "revenue"))
     each = each.withColumn("new_rank", F.when((F.col("place") <= TOP) & (F.col("revenue") > 0), F.col("place"))).withColumn("old_rank", F.lag("new_rank").over(key))
     change = F.when(F.col("old_rank").isNull(), "enter").when(F.col("new_rank").isNull(), "exit").otherwise("move")
     return each.where((F.col("arrived") > start) & ~F.col("new_rank").eqNullSafe(F.col("old_rank"))).select(
