@@ -1,7 +1,8 @@
 """Resolution of people, projects, opportunities, meetings, personal items and links between records.
 
 Names are compared as token sets within a scope (an organization, a mail, a thread): scope and token make one key, so that a pair is
-only met within its scope, at a set's rarest token. What the reference does mail by mail in order of arrival is written here as
+only met within its scope, at a set's rarest token. Who asks for the one match or the first never needs the pairs: rows of one name are one
+class, and the least and the greatest record of the classes that a name meets tell. What the reference does mail by mail in order of arrival is written here as
 aggregates over (order, value), wherever the outcome depends on first and last values alone.
 """
 
@@ -34,11 +35,35 @@ def alias_matches(mentions: DataFrame, records: DataFrame) -> DataFrame:
     return met.where("met = n").select("mention", "record")
 
 
+def _bounds(mentions: DataFrame, known: DataFrame, inward: bool = False) -> DataFrame:
+    """(mention, lo, hi) of mentions(mention, scope, name) over the sets of known(bt, lo, hi) that their names meet; none without one."""
+    known = known.where(F.size("bt") > 0).groupBy("bt").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = mentions.select("scope", "name").distinct().withColumn("at", F.array_sort(F.array_distinct(scoped(F.col("scope"), text.tokens(F.col("name"))))))
+    met = joins.set_pairs(asked, known, inward).join(known, "bt").groupBy("at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_name = asked.join(met, "at").select("scope", "name", "lo", "hi")
+    return mentions.select("mention", "scope", "name").join(by_name, ["scope", "name"]).select("mention", "lo", "hi")
+
+
+def name_bounds(mentions: DataFrame, records: DataFrame, value: Column | None = None) -> DataFrame:
+    """(mention, lo, hi): the least and the greatest record, or value of a record, of name_matches(), without its pairs.
+
+    A mention has a row for each of its rows that has a match.
+    """
+    value = F.col("record") if value is None else value
+    known = records.groupBy("scope", "name").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return _bounds(mentions, known.select(F.array_sort(scoped(F.col("scope"), text.tokens(F.col("name")))).alias("bt"), "lo", "hi"))
+
+
 def unique_match(pairs: DataFrame) -> DataFrame:
     """The record of each mention that has exactly one; the others are never guessed."""
     return joins.only_candidate(pairs, "mention", "record")
 
 
+def only_match(bounds: DataFrame) -> DataFrame:
+    """(mention, record) of each mention whose least and greatest record are one; the others are never guessed."""
+    return bounds.groupBy("mention").agg(F.min("lo").alias("record"), F.max("hi").alias("hi")).where("record = hi").drop("hi")
+
+
 def first_match(pairs: DataFrame, order: DataFrame) -> DataFrame:
     """The record of each mention that is first in order(record, place)."""
     return pairs.join(order, "record").groupBy("mention").agg(F.min_by("record", F.struct("place", "record")).alias("record"))
@@ -92,11 +117,12 @@ def attributed(facts: DataFrame, people: DataFrame) -> DataFrame:
 
     An address that one person of the mail has decides; one that several have decides against; else the only name match.
     """
-    by_address = facts.where("email is not null").select("fact", "mail", F.lower(F.trim("email")).alias("address")).join(people.select("mail", "person", F.lower("email").alias("address")).distinct(), ["mail", "address"])
-    counted = by_address.groupBy("fact").agg(F.min("person").alias("person"), F.count_distinct("person").alias("n"))
+    known = people.select("mail", "person", F.lower("email").alias("address")).groupBy("mail", "address").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
+    by_address = facts.where("email is not null").select("fact", "mail", F.lower(F.trim("email")).alias("address")).join(known, ["mail", "address"])
+    counted = by_address.groupBy("fact").agg(F.min("lo").alias("person"), F.max("hi").alias("hi"))
     rest = facts.join(counted.select("fact"), "fact", "left_anti")
-    named = unique_match(name_matches(rest.select(F.col("fact").alias("mention"), F.col("mail").alias("scope"), "name"), people.select(F.col("person").alias("record"), F.col("mail").alias("scope"), "name")))
-    return counted.where("n = 1").select("fact", "person").unionByName(named.select(F.col("mention").alias("fact"), F.col("record").alias("person")))
+    named = only_match(name_bounds(rest.select(F.col("fact").alias("mention"), F.col("mail").alias("scope"), "name"), people.select(F.col("person").alias("record"), F.col("mail").alias("scope"), "name")))
+    return counted.where("person = hi").select("fact", "person").unionByName(named.select(F.col("mention").alias("fact"), F.col("record").alias("person")))
 
 
 def linked_knowledge(items: DataFrame, people: DataFrame, organizations: DataFrame) -> DataFrame:
