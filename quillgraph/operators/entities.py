@@ -64,11 +64,6 @@ def only_match(bounds: DataFrame) -> DataFrame:
     return bounds.groupBy("mention").agg(F.min("lo").alias("record"), F.max("hi").alias("hi")).where("record = hi").drop("hi")
 
 
-def first_match(pairs: DataFrame, order: DataFrame) -> DataFrame:
-    """The record of each mention that is first in order(record, place)."""
-    return pairs.join(order, "record").groupBy("mention").agg(F.min_by("record", F.struct("place", "record")).alias("record"))
-
-
 def people_without_address(mentions: DataFrame, people: DataFrame) -> DataFrame:
     """(mention, record): the one person with an address whose organization is the mention's and whose name or aliases match it."""
     known = people.where("email is not null")
@@ -132,8 +127,8 @@ def linked_knowledge(items: DataFrame, people: DataFrame, organizations: DataFra
     """
     parts = []
     for tier, (kind, records) in enumerate((("person", people), ("organization", organizations))):
-        found = first_match(name_matches(items, records), records.select("record", "place").distinct())
-        parts.append(found.select("mention", F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), F.col("record").cast("string").alias("record")).alias("r")))
+        found = name_bounds(items, records, F.struct("place", "record")).groupBy("mention").agg(F.min("lo").alias("lo"))
+        parts.append(found.select("mention", F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), F.col("lo.record").cast("string").alias("record")).alias("r")))
     return parts[0].unionByName(parts[1]).groupBy("mention").agg(F.min("r").alias("r")).select("mention", "r.kind", "r.record")
 
 
