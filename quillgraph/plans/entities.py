@@ -195,10 +195,11 @@ def reference_proposals(s, d):
     """DQ17, AG21: proposals of canonical references for records that name a person, by status."""
     k, everywhere = F.col("o_orderkey"), F.lit("").alias("scope")
     rows = table(s, d, "orders").select(k.alias("mention"), _name(k).alias("name"), F.when(k % 10 == 0, F.col("o_custkey")).alias("has"))
-    pairs = entities.name_matches(rows.where("has is null").select("mention", everywhere, "name"), _people(s, d).where("email is not null").select(F.col("id").alias("record"), everywhere, "name"))
-    found = pairs.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("target"))
-    status = F.when(F.col("has").isNotNull(), "already_set").when(F.col("n").isNull(), "no_match").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
-    return rows.join(found, "mention", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("n") == 1, F.col("target"))).alias("targets"))
+    bounds = entities.name_bounds(rows.where("has is null").select("mention", everywhere, "name"), _people(s, d).where("email is not null").select(F.col("id").alias("record"), everywhere, "name"))
+    found = bounds.groupBy("mention").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    one = F.col("lo") == F.col("hi")
+    status = F.when(F.col("has").isNotNull(), "already_set").when(F.col("lo").isNull(), "no_match").when(one, "resolved").otherwise("ambiguous")
+    return rows.join(found, "mention", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(one, F.col("lo"))).alias("targets"))
 
 
 @query("""WITH m AS (SELECT s_suppkey AS old, s_suppkey - s_suppkey % 4 AS new FROM supplier WHERE s_suppkey % 4 > 0), v AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 > 1 THEN 'site' || s_suppkey END AS website FROM supplier),

@@ -53,6 +53,7 @@ def rows_of(df, sql, at):
 @pytest.mark.parametrize("name, nations", [
     ("fact_attribution", 1),
     ("knowledge_links", 1),
+    ("reference_proposals", 1),
 ])
 def test_copies_of_a_name_are_not_paired(spark, tmp_path, name, nations):
     df = QUERIES[name](spark, at := copies(spark, tmp_path, nations))
