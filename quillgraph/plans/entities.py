@@ -54,7 +54,7 @@ def people_of_one_mail(s, d):
     """ER6: a free name among the people already resolved in its mail, if it is exactly one."""
     k = F.col("o_orderkey")
     mentions = table(s, d, "orders").select(k.alias("mention"), _name(k).alias("name"), (k % 300).alias("scope"))
-    return entities.unique_match(entities.name_matches(mentions, _people(s, d).select(F.col("id").alias("record"), "name", (F.col("id") % 300).alias("scope"))))
+    return entities.only_match(entities.name_bounds(mentions, _people(s, d).select(F.col("id").alias("record"), "name", (F.col("id") % 300).alias("scope"))))
 
 
 @query(f"""SELECT id, CASE WHEN email IS NOT NULL THEN lower(email) = 'p40@x.example' ELSE name = 'cy fox' END AS is_operator FROM {_PEOPLE}""")
