@@ -146,20 +146,18 @@ def duplicate_people(people: DataFrame) -> DataFrame:
     orphan: a person without an address and the one person with an address whose name matches; among several, the only one that shares
     a thread. anchor: two people with addresses, one name and one organization; the later id is the source.
     """
-    rows = people.select("id", "name", text.normalize_text(F.col("name")).alias("normal"), F.nullif(text.normalize_text(F.coalesce(F.col("org").cast("string"), F.lit(""))), F.lit("")).alias("org"), "email", F.coalesce("threads", F.array()).alias("threads"))
+    rows = people.select("id", "name", text.normalize_text(F.col("name")).alias("normal"), F.nullif(text.normalize_text(F.coalesce(F.col("org").cast("string"), F.lit(""))), F.lit("")).alias("org"), "email", F.array_compact(F.coalesce("threads", F.array())).alias("threads"))
     anchors, orphans = rows.where("email is not null"), rows.where("email is null")
-    everywhere = F.lit("").alias("scope")
-    pairs = name_matches(orphans.select(F.col("id").alias("mention"), everywhere, "name"), anchors.select(F.col("id").alias("record"), everywhere, "name"))
+    named = lambda d, k, scope: d.select(F.col("id").alias(k), scope.alias("scope"), "name")
+    bounds = lambda scope: name_bounds(named(orphans, "mention", scope), named(anchors, "record", scope)).groupBy("mention").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    all_, met = bounds(F.lit("")), bounds(F.explode("threads")).where("lo = hi").select("mention", F.col("lo").alias("met"))
+    chosen = all_.join(met, "mention", "left").select("mention", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("met")).alias("record")).where("record is not null")
     side = lambda d, k, p: d.select(F.col("id").alias(k), F.col("org").alias(f"{p}_org"), F.col("threads").alias(f"{p}_threads"))
-    known = pairs.join(side(orphans, "mention", "a"), "mention").join(side(anchors, "record", "b"), "record").withColumn("shared", F.array_intersect("a_threads", "b_threads"))
-    sure = classify.confidence(F.col("shared"), F.coalesce(F.col("a_org") == F.col("b_org"), F.lit(False)))
-    known = known.select("mention", "record", (F.size("shared") > 0).alias("meets"), sure.alias("confidence"))
-    one = known.groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.count_if("meets").alias("m"), F.min(F.struct("record", "confidence")).alias("any"), F.min(F.when(F.col("meets"), F.struct("record", "confidence"))).alias("met"))
-    chosen = F.when(F.col("n") == 1, F.col("any")).when(F.col("m") == 1, F.col("met"))
-    orphan = one.select(F.col("mention").alias("source"), chosen.alias("t")).where("t is not null").select("source", F.col("t.record").alias("target"), F.lit("orphan").alias("axis"), "t.confidence")
-    same = joins.anchored_pairs(anchors.where("org is not null"), "id", F.col("normal"), F.col("org"))
-    threads = same.join(anchors.select(F.col("id").alias("a"), F.col("threads").alias("s")), "a").join(anchors.select(F.col("id").alias("b"), F.col("threads").alias("t")), "b")
-    anchor = threads.select(F.col("b").alias("source"), F.col("a").alias("target"), F.lit("anchor").alias("axis"), F.when(F.arrays_overlap("s", "t"), "HIGH").otherwise("MEDIUM").alias("confidence"))
+    known = chosen.join(side(orphans, "mention", "a"), "mention").join(side(anchors, "record", "b"), "record")
+    sure = classify.confidence(F.array_intersect("a_threads", "b_threads"), F.coalesce(F.col("a_org") == F.col("b_org"), F.lit(False)))
+    orphan = known.select(F.col("mention").alias("source"), F.col("record").alias("target"), F.lit("orphan").alias("axis"), sure.alias("confidence"))
+    same = joins.anchored_pairs(anchors.where("org is not null"), "id", F.col("normal"), F.col("org"), carried="threads")
+    anchor = same.select(F.col("b").alias("source"), F.col("a").alias("target"), F.lit("anchor").alias("axis"), F.when(F.arrays_overlap("a_threads", "b_threads"), "HIGH").otherwise("MEDIUM").alias("confidence"))
     return orphan.unionByName(anchor)
 
 
