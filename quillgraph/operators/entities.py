@@ -27,14 +27,6 @@ def name_matches(mentions: DataFrame, records: DataFrame) -> DataFrame:
     return joins.token_subsets(left, right, "mention", "t", "record", "u").select(F.col("a").alias("mention"), F.col("b").alias("record"))
 
 
-def alias_matches(mentions: DataFrame, records: DataFrame) -> DataFrame:
-    """(mention, record) where a record's aliases together hold all tokens of the mention's name, within a scope."""
-    left = mentions.select("mention", F.array_distinct(scoped(F.col("scope"), text.tokens(F.col("name")))).alias("t")).where(F.size("t") > 0)
-    right = records.select("record", "scope", F.explode("aliases").alias("alias")).select("record", F.explode(scoped(F.col("scope"), text.tokens(F.col("alias")))).alias("token")).distinct()
-    met = left.select("mention", F.size("t").alias("n"), F.explode("t").alias("token")).join(right, "token").groupBy("mention", "record", "n").agg(F.count(F.lit(1)).alias("met"))
-    return met.where("met = n").select("mention", "record")
-
-
 def _bounds(mentions: DataFrame, known: DataFrame, inward: bool = False) -> DataFrame:
     """(mention, lo, hi) of mentions(mention, scope, name) over the sets of known(bt, lo, hi) that their names meet; none without one."""
     known = known.where(F.size("bt") > 0).groupBy("bt").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -54,6 +46,13 @@ def name_bounds(mentions: DataFrame, records: DataFrame, value: Column | None =
     return _bounds(mentions, known.select(F.array_sort(scoped(F.col("scope"), text.tokens(F.col("name")))).alias("bt"), "lo", "hi"))
 
 
+def alias_bounds(mentions: DataFrame, records: DataFrame) -> DataFrame:
+    """(mention, lo, hi): the least and the greatest of the records whose aliases together hold all tokens of the mention's name, within a scope."""
+    known = records.groupBy("scope", "aliases").agg(F.min("record").alias("lo"), F.max("record").alias("hi"))
+    words = F.flatten(F.transform(F.array_compact("aliases"), text.tokens))
+    return _bounds(mentions, known.select(F.array_sort(F.array_distinct(scoped(F.col("scope"), words))).alias("bt"), "lo", "hi"), inward=True)
+
+
 def unique_match(pairs: DataFrame) -> DataFrame:
     """The record of each mention that has exactly one; the others are never guessed."""
     return joins.only_candidate(pairs, "mention", "record")
@@ -67,7 +66,7 @@ def only_match(bounds: DataFrame) -> DataFrame:
 def people_without_address(mentions: DataFrame, people: DataFrame) -> DataFrame:
     """(mention, record): the one person with an address whose organization is the mention's and whose name or aliases match it."""
     known = people.where("email is not null")
-    return unique_match(name_matches(mentions, known).unionByName(alias_matches(mentions, known)).distinct())
+    return only_match(name_bounds(mentions, known).unionByName(alias_bounds(mentions, known)))
 
 
 def is_operator(email: Column, name: Column, own_email: str, own_name: str) -> Column:

@@ -56,6 +56,7 @@ def rows_of(df, sql, at):
     ("reference_proposals", 1),
     ("people_of_one_mail", 1),
     ("duplicate_people", 150),
+    ("people_without_address", 1),
 ])
 def test_copies_of_a_name_are_not_paired(spark, tmp_path, name, nations):
     df = QUERIES[name](spark, at := copies(spark, tmp_path, nations))
