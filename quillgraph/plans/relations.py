@@ -49,12 +49,10 @@ def previous_meetings_10(s, d):
 @query("""WITH o AS (SELECT s_suppkey AS id, s_nationkey AS nk, 'site' || (s_suppkey % 40) AS web, 'site' || ((s_suppkey + 3) % 55) AS dom FROM supplier), p AS (SELECT a.id AS a, b.id AS b, 0 AS e FROM o a JOIN o b ON a.nk = b.nk AND a.id < b.id
 UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), 1 FROM o a JOIN o b ON a.web = b.dom AND a.id <> b.id) SELECT a, b, CASE min(e) WHEN 0 THEN 'name_match' ELSE 'domain_cross_match' END AS evidence FROM p GROUP BY 1, 2""")
 def org_dup_pairs(s, d):
-    """JN19, DQ8: two equi-joins instead of one OR condition."""
+    """JN19, DQ8: two equi-joins instead of one OR condition, no pair in both."""
     k = F.col("s_suppkey")
     o = table(s, d, "supplier").select(k.alias("id"), "s_nationkey", F.concat(F.lit("site"), (k % 40).cast("string")).alias("web"), F.concat(F.lit("site"), ((k + 3) % 55).cast("string")).alias("dom"))
-    by_name = joins.anchored_pairs(o, "id", F.col("s_nationkey"))
-    cross = o.select(F.col("id").alias("x"), F.col("web").alias("dom")).join(o.select(F.col("id").alias("y"), "dom"), "dom").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return joins.either_pairs(by_name, cross, ("name_match", "domain_cross_match"))
+    return joins.evidenced_pairs(o, "id", F.col("s_nationkey"), F.col("web"), F.col("dom"), ("name_match", "domain_cross_match"))
 
 
 @query("""WITH t AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS tier FROM events) SELECT user_id, event_id, CASE tier WHEN 0 THEN 'canonical' WHEN 1 THEN 'organization' ELSE 'legacy' END AS basis FROM t QUALIFY tier = min(tier) OVER (PARTITION BY user_id)""")

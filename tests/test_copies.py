@@ -71,3 +71,8 @@ def test_an_overlap_is_met_once(spark, tmp_path):
     rows = [tuple(r) for r in df.collect()]
     assert len(set(rows)) == len(rows) == 200 * 199
     assert most(df, "numOutputRows") <= 200 * 200 and most(df, "shuffleRecordsWritten") < 5000
+
+
+def test_pairs_of_organizations_are_not_gathered(spark, tmp_path):
+    df = QUERIES["org_dup_pairs"](spark, at := copies(spark, tmp_path, 7))
+    assert rows_of(df, SQL["org_dup_pairs"], at) > 20 * N and most(df, "shuffleRecordsWritten") < 10 * N
