@@ -8,7 +8,7 @@ aggregates over (order, value), wherever the outcome depends on first and last v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import classify, text
@@ -164,11 +164,15 @@ def folded_context(deltas: DataFrame) -> DataFrame:
     """thread, field, state: the list after all deltas(thread, seq, field, add, remove) of a thread and field.
 
     A delta takes its removals out, then appends what is not there yet. So a value stays if its last addition is not before its last
-    removal, and its place is that of its first addition since then: both are aggregates, whatever the number of deltas.
+    removal, and its place is that of its first addition since then. Additions and removals are one relation, so there is no join, and
+    deltas that are dealt by thread already are not shuffled again.
     """
-    added = deltas.select("thread", "field", "seq", F.posexplode("add").alias("pos", "value"))
-    gone = deltas.select("thread", "field", "seq", F.explode("remove").alias("value")).groupBy("thread", "field", "value").agg(F.max("seq").alias("gone"))
-    since = added.join(gone, ["thread", "field", "value"], "left").where(F.col("gone").isNull() | (F.col("seq") >= F.col("gone")))
-    places = since.groupBy("thread", "field", "value").agg(F.min(F.struct("seq", "pos")).alias("place"))
-    lists = places.groupBy("thread", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("state"))
-    return deltas.select("thread", "field").distinct().join(lists, ["thread", "field"], "left").withColumn("state", F.coalesce("state", F.array().cast("array<string>")))
+    said = lambda c, pos: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, i: F.struct(v.alias("value"), pos(i).alias("pos")))
+    each = F.concat(said("add", lambda i: i), said("remove", lambda i: F.lit(None).cast("int")))
+    rows = deltas.select("thread", "field", "seq", F.explode_outer(each).alias("r")).select("thread", "field", "seq", F.col("r").isNotNull().alias("said"), "r.*")
+    removal = F.when(F.col("said") & F.col("pos").isNull() & F.col("value").isNotNull(), F.col("seq"))
+    rows = rows.withColumn("gone", F.max(removal).over(Window.partitionBy("thread", "field", "value")))
+    stays = F.col("pos").isNotNull() & (F.col("gone").isNull() | (F.col("seq") >= F.col("gone")))
+    places = rows.groupBy("thread", "field", "value").agg(F.min(F.when(stays, F.struct("seq", "pos"))).alias("place"))
+    kept = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "value")))
+    return places.groupBy("thread", "field").agg(F.transform(F.array_sort(kept), lambda x: x["value"]).alias("state"))

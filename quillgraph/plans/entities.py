@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text
 from quillgraph.operators import entities, maintenance, people
 from quillgraph.plans.registry import query, table
+from quillgraph.tables import dealt
 
 FIRST, LAST = ["ann", "bo", "cy", "dee", "eve"], ["lee", "kim", "fox", "roe", "day", "may", "orr"]
 # people = customers: every second has a last name, every fortieth an address, every eightieth an alias
@@ -167,7 +168,7 @@ SELECT t.thread, coalesce(string_agg(CAST(k.v AS VARCHAR), ',' ORDER BY k.place)
 def context_fold(s, d):
     """AR4, SS6: the list after all additions and removals of a thread. Lines of one number are one delta, in order of value."""
     line = table(s, d, "lineitem").select(F.col("l_orderkey").alias("thread"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 7).cast("string").alias("v"), F.when(F.col("l_suppkey") % 3 == 0, (F.col("l_partkey") % 5).cast("string")).alias("g"))
-    deltas = line.groupBy("thread", "seq").agg(F.array_sort(F.collect_list("v")).alias("add"), F.collect_list("g").alias("remove")).withColumn("field", F.lit("requirements"))
+    deltas = dealt(line, line.count(), "thread").groupBy("thread", "seq").agg(F.array_sort(F.collect_list("v")).alias("add"), F.collect_list("g").alias("remove")).withColumn("field", F.lit("requirements"))
     return entities.folded_context(deltas).select("thread", F.array_join("state", ",").alias("state"))
 
 

@@ -35,6 +35,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, n: int, *by: str, rows: int = 500_000) -> DataFrame:
+    """df of n rows, dealt by key over partitions of about so many rows, so that a task's memory doesn't grow with the table."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)), *by)
+
+
 def _files(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from quillgraph.plans import QUERIES, SQL
+from quillgraph.tables import dealt
 
 N = 600
 
@@ -76,3 +77,16 @@ def test_an_overlap_is_met_once(spark, tmp_path):
 def test_pairs_of_organizations_are_not_gathered(spark, tmp_path):
     df = QUERIES["org_dup_pairs"](spark, at := copies(spark, tmp_path, 7))
     assert rows_of(df, SQL["org_dup_pairs"], at) > 20 * N and most(df, "shuffleRecordsWritten") < 10 * N
+
+
+def test_a_thread_is_folded_where_it_was_dealt(spark, tmp_path):
+    i = F.col("id")
+    spark.range(3000).select((i / 5).cast("long").alias("l_orderkey"), (i % 5).cast("int").alias("l_linenumber"), (i * 13).alias("l_partkey"), i.alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["context_fold"](spark, str(tmp_path))
+    assert df.count() == 600 and len(df.collect()) == 600
+    kinds = [s.getClass().getSimpleName() for s in steps(df._jdf.queryExecution().executedPlan())]
+    assert sum("ShuffleExchange" in k for k in kinds) == 1 and not any("Join" in k for k in kinds)
+
+
+def test_parts_grow_with_rows(spark):
+    assert dealt(spark.range(1000), 1000, "id", rows=100).rdd.getNumPartitions() == 10
