@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.tables import written
+from quillgraph.tables import dealt, written
 
 MOST_NODES, MOST_DEPTH = 10, 5
 
@@ -99,15 +99,17 @@ def co_occurrence(df: DataFrame, group: str, item: str) -> DataFrame:
     """(a, b, n, first_source), a < b: items met in a same group, the number of such groups, and the least of their ids.
 
     The pairs of a group are the result, so their number is what the question asks; a large group's rows are dealt over `b`'s blocks by
-    a salt of its size, so that no task makes all pairs of a group.
+    a salt of its size, so that no task makes all pairs of a group. Rows and pairs are dealt over so many parts that a task's share, and
+    with it its memory, does not grow with the table.
     """
-    rows = df.select(group, F.col(item).alias("b")).distinct()
-    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("salts"))
-    sized = rows.join(sizes, group)
+    rows = written(dealt(df.select(group, F.col(item).alias("b")), df.count(), group).distinct(), "groups")
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    n = sizes.agg(F.count(F.lit(1)), F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+    sized = dealt(rows, n[1] or 0, group).join(sizes.select(group, F.ceil(F.col("size") / 1000).cast("int").alias("salts")), group)
     right = sized.withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).drop("salts")
     left = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(group, F.col("b").alias("a"), "salt")
     pairs = left.join(right, [group, "salt"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(group).alias("first_source"))
+    return dealt(pairs, int(n[2] or 0), "a", "b", rows=1_000_000).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(group).alias("first_source"))
 
 
 def edges(*parts: tuple[str, DataFrame, Column, Column]) -> DataFrame:

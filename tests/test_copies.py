@@ -1,8 +1,11 @@
 """Tables of many copies of a name or a group: results against the SQL, and rows in proportion to the tables, not to pairs of copies."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from quillgraph.operators import graph
 from quillgraph.plans import QUERIES, SQL
 from quillgraph.tables import dealt
 
@@ -90,3 +93,8 @@ def test_a_thread_is_folded_where_it_was_dealt(spark, tmp_path):
 
 def test_parts_grow_with_rows(spark):
     assert dealt(spark.range(1000), 1000, "id", rows=100).rdd.getNumPartitions() == 10
+
+
+def test_pairs_of_a_large_group_are_dealt_over_parts_by_their_number(spark):
+    df = graph.co_occurrence(spark.range(3000).select(F.lit(1).alias("g"), "id"), "g", "id")
+    assert re.search(r"hashpartitioning\(a#\d+L?, b#\d+L?, 5\)", df._jdf.queryExecution().executedPlan().toString())  # 4,498,500 pairs
