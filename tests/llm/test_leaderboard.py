@@ -66,3 +66,13 @@ def test_only_keys_that_can_lead_are_followed(spark):
     rows = [(1, i, 1e6 + i, 1e6 + i, 1e6 + i - 5) for i in range(10)] + [(1, 100 + i, float(i), float(i) + (2e6 if i == 500 else 10), float(i) - 10) for i in range(1000)] + [(2, 1, -5.0, -1.0, -9.0), (2, 2, -5.0, 1.0, -9.0)]
     found = leaderboard.contenders(spark.createDataFrame(rows, "nation_id int, item_id long, opening double, most double, least double"))
     assert {(r.nation_id, r.item_id) for r in found.collect()} == {(1, i) for i in range(10)} | {(1, 600), (2, 2)}
+
+
+def test_a_batch_makes_few_shuffles(spark):
+    """Boards are built once for all batches, so that a batch costs the stream's shuffle and those of its own lines."""
+    lines = [(k, 1, k % 20, k % 5, 1, 10.0 + k % 7, "kept", dt.datetime(2024, 1, 1) + dt.timedelta(days=k % 12), "mine", "mine") for k in range(400)]
+    tables = [spark.createDataFrame(x, y) for x, y in ((lines, LINES), ([(i, 5.0) for i in range(20)], "item_id long, price double"), ([(v, v % 2) for v in range(5)], "vendor_id long, nation_id int"))]
+    shuffles = spark.sparkContext._jsc.sc().newShuffleId
+    before = shuffles()
+    assert leaderboard.feed(*tables).count() > 0
+    assert shuffles() - before < 34  # 26; 40 when each batch built its boards itself
