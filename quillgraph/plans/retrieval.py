@@ -254,7 +254,7 @@ def company_summary(s, d):
 @query("""SELECT DISTINCT a.user_id AS a, b.user_id AS b FROM events a JOIN events b ON a.event_type = b.event_type AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND a.user_id <> b.user_id WHERE a.event_type = 'purchase'""")
 def related_people(s, d):
     """JN12."""
-    e = table(s, d, "events").where("event_type = 'purchase'").select("user_id", F.array(F.to_date("ts").cast("string")).alias("threads"))
+    e = table(s, d, "events").where("event_type = 'purchase'").select("user_id", F.array(F.to_date("ts")).alias("threads"))
     return joins.overlap_pairs(e, "user_id", F.col("threads"))
 
 

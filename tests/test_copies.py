@@ -1,11 +1,12 @@
 """Tables of many copies of a name or a group: results against the SQL, and rows in proportion to the tables, not to pairs of copies."""
 
+import random
 import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from quillgraph.operators import graph
+from quillgraph.operators import graph, joins
 from quillgraph.plans import QUERIES, SQL
 from quillgraph.tables import dealt
 
@@ -77,6 +78,27 @@ def test_an_overlap_is_met_once(spark, tmp_path):
     assert most(df, "numOutputRows") <= 200 * 200 and most(df, "shuffleRecordsWritten") < 5000
 
 
+def test_overlaps_are_made_by_many_tasks(spark, tmp_path):
+    i = F.col("id")
+    spark.range(400 * 6).select(i.alias("event_id"), F.when(i % 400 > 0, i % 400).alias("user_id"), F.lit("purchase").alias("event_type"), F.when(i % 11 > 0, F.timestamp_seconds(i * 7919 % 13 * 86400)).cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = QUERIES["related_people"](spark, str(tmp_path))
+    rows = df.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b) for r in rows) == sorted(con.execute(SQL["related_people"]).fetchall())
+    assert len({r.part for r in rows}) > 1
+
+
+def test_an_overlap_is_met_once_among_many_items(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 2)  # several chunks and blocks
+    rng = random.Random(5)
+    lists = {k: rng.choices(range(300), [1 + 2000 // (1 + x) for x in range(300)], k=rng.randint(0, 9)) for k in range(120)}
+    df = spark.createDataFrame([(str(k), [f"t{x}" for x in v] + [None] * (k % 3 == 0)) for k, v in lists.items()] * 2, "k string, items array<string>")
+    found = sorted(map(tuple, joins.overlap_pairs(df, "k", F.col("items")).collect()))
+    assert found == sorted((str(a), str(b)) for a in lists for b in lists if a != b and set(lists[a]) & set(lists[b]))
+    assert len({x for v in lists.values() for x in v}) > joins.BITS
+
+
 def test_pairs_of_organizations_are_not_gathered(spark, tmp_path):
     df = QUERIES["org_dup_pairs"](spark, at := copies(spark, tmp_path, 7))
     assert rows_of(df, SQL["org_dup_pairs"], at) > 20 * N and most(df, "shuffleRecordsWritten") < 10 * N
